@@ -20,7 +20,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

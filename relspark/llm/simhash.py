@@ -1,174 +1,164 @@
-"""Near duplicates by 64-bit SimHash fingerprints, compared bit-sliced.
+"""Near duplicates by SimHash fingerprints, compared bit-sliced.
 
-Fingerprints that differ in at most RADIUS bits agree on two of six bit fields (four bits can spoil four fields),
-so each distinct fingerprint goes to the cells of all fifteen pairs of fields. In a cell the fingerprints are stored
-as bit planes; one XOR of a plane updates 64 distances at a time in carry-save counters, and what exceeds the
-radius everywhere is abandoned. A cell gives the edges of a spanning forest only. Cells above HOT fingerprints are
-split into blocks, and each pair of blocks is compared in a task of its own.
+Fingerprints are grouped into cells such that near ones share a cell. In a cell they are stored as bit planes, 64 to a
+word; the XOR of a plane with a query's bit is added to 64 distances at once by carry-save adders, and words in which
+every distance exceeds the radius are abandoned. A cell gives the edges of a spanning forest only. Cells above HOT
+fingerprints are split into blocks, and each pair of blocks is compared in a task of its own.
+
+Plan "exact" (64 bits, RADIUS): fingerprints at most four bits apart agree on two of six bit fields, so the cells of
+all fifteen pairs of fields miss none. Plan "similar": WIDE bits of the set of shingles and the radius that all but
+one in a hundred pairs of the wanted Jaccard similarity keep; cells are bands of bits, as many as let all but one in a
+hundred such pairs share one. The length of a band grows with the logarithm of the number of fingerprints.
 """
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, partitions, small_batches, written
+from .substring import mix
 
 RADIUS = 4
 SEED = 42
 HOT = 4096
+WIDE = 256
 FIELDS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(data: bytes | None, k: int = 4) -> int:
-    """SimHash of the k-word shingles of A-Z-lowered text; 0 without words."""
+def shingles(data: bytes | None, k: int) -> np.ndarray:
+    """XXH64 of the k-word shingles of A-Z-lowered text; of the whole sequence if it is shorter, none without words."""
     words = (data or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line, xx = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= k:
-        hashes = [xx(line, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[: -k] + 1))
-        hashes = [xx(line[a:b], SEED) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist(), strict=True)]
+        return np.array([xx(line, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-k] + 1))
+    return np.array([xx(line[a:b], SEED) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if set in over half of the hashes; 0 without any."""
     bits = np.zeros(64, np.int64)
-    every = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
+    every = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
     for at in range(0, len(every), 1 << 16):
         bits += np.unpackbits(every[at : at + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * bits > len(every), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4) -> DataFrame:
-    """(key, fp long) of each document; null and word-less texts get 0."""
+def fingerprint(data: bytes | None, k: int = 4, bits: int = 64) -> list[int]:
+    """64 bits over all shingles, or more over the set of shingles, whose further words rehash the first ones."""
+    hashes = shingles(data, k)
+    if bits == 64:
+        return [majority(hashes)]
+    hashes = np.unique(hashes)
+    out = []
+    for n in range(bits // 64):
+        out.append(majority(hashes))
+        hashes = mix(hashes + np.uint64(n + 1))
+    return out
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, bits: int = 64) -> DataFrame:
+    """(key, f0, f1, ... long) of each document; null and word-less texts get 0."""
     small_batches(docs.sparkSession)
+    names = [f"f{n}" for n in range(bits // 64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(x, k) for x in b.column(1).cast(pa.binary()).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=[key, "fp"])
+            fps = np.array([fingerprint(x, k, bits) for x in b.column(1).cast(pa.binary()).to_pylist()], np.uint64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(f).view(np.int64)) for f in fps.T)], names=[key, *names])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, fp long")
-
-
-def _exceeds(c0, c1, c2, full, radius: int):
-    """Lanes whose three-bit counter is above the radius."""
-    at_least = radius + 1
-    out, equal = full.copy(), ~full
-    for bit, c in ((4, c2), (2, c1), (1, c0)):
-        if at_least & bit:
-            equal &= c
-        else:
-            out |= equal & c
-            equal &= ~c
-    return out | equal if at_least <= 7 else full
-
-
-class _Counter:
-    """Distances of many lanes, 64 to a word, as three bit planes and an overflow plane."""
-
-    def __init__(self, shape):
-        self.c = [np.zeros(shape, np.uint64) for _ in range(4)]
-
-    def add(self, x: np.ndarray) -> None:
-        c0, c1, c2, full = self.c
-        t = c0 & x
-        c0 ^= x
-        x = c1 & t
-        c1 ^= t
-        t = c2 & x
-        c2 ^= x
-        full |= t
-
-    def over(self, radius: int) -> np.ndarray:
-        c0, c1, c2, full = self.c
-        return _exceeds(c0, c1, c2, full, radius)
-
-    def keep(self, which) -> None:
-        self.c = [x[which] for x in self.c]
-
-
-def planes_of(fps: np.ndarray, words: int) -> np.ndarray:
-    """(64, words) bit planes of up to 64 * words fingerprints; unused lanes are zero."""
-    padded = np.zeros(64 * words, np.uint64)
-    padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
-
-
-def near_in_block(queries: np.ndarray, block: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (query, member) of all pairs within the radius; queries are dropped once their whole block exceeds it."""
-    words = -(-len(block) // 64)
-    planes = planes_of(block, words)
-    valid = np.full(words, ONES)
-    if len(block) % 64:
-        valid[-1] = ONES >> np.uint64(64 - len(block) % 64)
-    found_q, found_b = [], []
-    step = max(1, (1 << 15) // words)
-    for at in range(0, len(queries), step):
-        alive = np.arange(at, min(at + step, len(queries)))
-        q, count, over = queries[alive], _Counter((len(alive), words)), None
-        for p in range(64):
-            count.add(planes[p][None, :] ^ (np.uint64(0) - ((q >> np.uint64(p)) & np.uint64(1)))[:, None])
-            if p >= radius and p % 6 == 5 or p == 63:
-                over = count.over(radius)
-                left = ((~over) & valid).any(axis=1)
-                if not left.all():
-                    alive, q, over = alive[left], q[left], over[left]
-                    count.keep(left)
+    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} long" for n in names))
+
+
+class Counter:
+    """Distances of many words of 64 lanes: bit planes up to the radius's length, and what ran over them."""
+
+    def __init__(self, size: int, radius: int) -> None:
+        self.radius = radius
+        self.planes = [np.zeros(size, np.uint64) for _ in range(radius.bit_length())]
+        self.full = np.zeros(size, np.uint64)
+
+    def add(self, xs: list[np.ndarray]) -> None:
+        """Adds several planes of weight 1: three numbers become a sum and a carry until one is left of each weight."""
+        column = xs
+        for k, c in enumerate(self.planes):
+            column, carries = [c, *column], []
+            while len(column) > 1:
+                a, b = column.pop(), column.pop()
+                if column:
+                    d = column.pop()
+                    t = a ^ b
+                    carries.append((a & b) | (t & d))
+                    column.append(t ^ d)
+                else:
+                    carries.append(a & b)
+                    column.append(a ^ b)
+            self.planes[k], column = column[0], carries
+        for x in column:
+            self.full |= x
+
+    def over(self) -> np.ndarray:
+        """Lanes above the radius."""
+        out, equal = self.full.copy(), ~self.full
+        for k in range(len(self.planes) - 1, -1, -1):
+            if self.radius >> k & 1:
+                equal &= self.planes[k]
+            else:
+                out |= equal & self.planes[k]
+                equal &= ~self.planes[k]
+        return out
+
+    def keep(self, which: np.ndarray) -> None:
+        self.planes, self.full = [p[which] for p in self.planes], self.full[which]
+
+
+def planes_of(fps: np.ndarray) -> np.ndarray:
+    """Bit planes (bits, blocks) of fingerprints (blocks, 64, words)."""
+    blocks, _, words = fps.shape
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(blocks, 64, 8 * words), axis=2, bitorder="little")
+    return np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view(np.uint64)[:, :, 0]
+
+
+def near(queries: np.ndarray, planes: np.ndarray, valid: np.ndarray, q: np.ndarray, b: np.ndarray, radius: int, step: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """(row, lane) of what is within the radius; row r compares query q[r] with the 64 lanes of block b[r]."""
+    rows, lanes = [], []
+    for at in range(0, len(q), 1 << 15):
+        alive = np.arange(at, min(at + (1 << 15), len(q)))
+        mine, block, count, over = queries[q[alive]], b[alive], Counter(len(alive), radius), None
+        use = valid[block]
+        for p in range(0, len(planes), step):
+            some = range(p, min(p + step, len(planes)))
+            count.add([planes[i][block] ^ (np.uint64(0) - ((mine[:, i >> 6] >> np.uint64(i & 63)) & np.uint64(1))) for i in some])
+            if some[-1] + 1 <= radius:
+                continue
+            over = count.over()
+            left = (~over & use) != 0
+            if left.sum() < 0.8 * len(left):
+                alive, mine, block, use, over = alive[left], mine[left], block[left], use[left], over[left]
+                count.keep(left)
                 if not len(alive):
                     break
         if len(alive):
-            hit = np.unpackbits(((~over) & valid).view(np.uint8), axis=1, bitorder="little")
+            hit = np.unpackbits((~over & use).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             i, j = np.nonzero(hit)
-            found_q.append(alive[i])
-            found_b.append(j)
+            rows.append(alive[i])
+            lanes.append(j)
     none = np.zeros(0, np.int64)
-    return (np.concatenate(found_q), np.concatenate(found_b)) if found_q else (none, none)
-
-
-def near_in_cells(lanes: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cell, i, j), i < j, of the pairs within the radius in many cells of up to 64 fingerprints at once.
-
-    lanes: cells x 64 fingerprints. One word holds a cell's plane; all cells take their i-th member as query together.
-    """
-    cells = len(lanes)
-    bits = np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8).reshape(cells, 64, 8), axis=2, bitorder="little")
-    planes = np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view(np.uint64)[:, :, 0]
-    valid = ONES >> (64 - sizes).astype(np.uint64)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for i in range(int(sizes.max(initial=0)) - 1):
-        alive = np.flatnonzero(sizes > i + 1)
-        later = valid[alive] & (ONES << np.uint64(i + 1))
-        count, mine = _Counter(len(alive)), planes[:, alive]
-        over = np.zeros(len(alive), np.uint64)
-        for p in range(64):
-            x = mine[p]
-            count.add(x ^ (np.uint64(0) - ((x >> np.uint64(i)) & np.uint64(1))))
-            if p >= radius and p % 6 == 5 or p == 63:
-                over = count.over(radius)
-                left = ((~over) & later) != 0
-                if not left.all():
-                    alive, later, over, mine = alive[left], later[left], over[left], mine[:, left]
-                    count.keep(left)
-                if not len(alive):
-                    break
-        if len(alive):
-            hit = np.unpackbits(((~over) & later).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            c, j = np.nonzero(hit)
-            out.append((alive[c], np.full(len(c), i), j))
-    if not out:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
+    return (np.concatenate(rows), np.concatenate(lanes)) if rows else (none, none)
 
 
 class Forest:
@@ -192,97 +182,141 @@ class Forest:
         return True
 
 
-def _edges_of_cells(cell: np.ndarray, side: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> tuple[list, list]:
-    """Spanning edges within runs of equal cell numbers. side: 0 in whole cells and diagonal blocks, else 1 or 2."""
-    cuts = np.flatnonzero(np.diff(cell)) + 1
-    starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(cell)]))
-    sizes = ends - starts
-    left, right = [], []
-
-    def take(pairs) -> None:
-        forest = Forest()
-        for x, y in pairs:
-            if forest.join(x, y):
-                left.append(x)
-                right.append(y)
-
-    small = np.flatnonzero((sizes > 1) & (sizes <= 64) & (side[starts] == 0))
-    for at in range(0, len(small), 1 << 14):
-        some = small[at : at + (1 << 14)]
-        most = int(sizes[some].max())
-        index = starts[some][:, None] + np.arange(most)[None, :]
-        used = np.arange(most)[None, :] < sizes[some][:, None]
-        lanes = np.zeros((len(some), 64), np.uint64)
-        lanes[:, :most] = np.where(used, fp[np.minimum(index, len(fp) - 1)], np.uint64(0))
-        c, i, j = near_in_cells(lanes, sizes[some])
-        take(zip(rep[starts[some[c]] + i].tolist(), rep[starts[some[c]] + j].tolist(), strict=True))
-    for k in np.flatnonzero((sizes > 1) & ((sizes > 64) | (side[starts] != 0))):
-        own = slice(starts[k], ends[k])
-        f, r, s = fp[own], rep[own], side[own]
-        whole = s[0] == 0
-        q, qr = (f, r) if whole else (f[s == 1], r[s == 1])
-        b, br = (f, r) if whole else (f[s == 2], r[s == 2])
+def edges_of_groups(group: np.ndarray, side: np.ndarray, fps: np.ndarray, rep: np.ndarray, radius: int) -> tuple[list, list]:
+    """Spanning edges within runs of equal group numbers. side: 0 in groups compared with themselves, else 1 with 2."""
+    left: list = []
+    right: list = []
+    if not len(group):
+        return left, right
+    first = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1))
+    size = np.diff(np.concatenate((first, [len(group)])))
+    number = np.repeat(np.arange(len(first)), size)
+    lane = np.flatnonzero((side != 1) & (size[number] > 1))
+    query = np.flatnonzero((side != 2) & (size[number] > 1))
+    lanes = np.bincount(number[lane], minlength=len(first))
+    queries = np.bincount(number[query], minlength=len(first))
+    lane_at, query_at = np.cumsum(lanes) - lanes, np.cumsum(queries) - queries
+    todo, at = np.flatnonzero((lanes > 0) & (queries > 0)), 0
+    while at < len(todo):  # groups of up to some thousand blocks together
+        blocks = -(-lanes[todo[at:]] // 64)
+        n = max(1, int(np.searchsorted(np.cumsum(blocks), 2048, side="right")))
+        some, blocks = todo[at : at + n], blocks[:n]
+        at += n
+        base = np.cumsum(blocks) - blocks
+        which = np.repeat(np.arange(n), lanes[some])
+        place = np.arange(len(which)) - np.repeat(np.cumsum(lanes[some]) - lanes[some], lanes[some])
+        member = lane[lane_at[some][which] + place]
+        slot = 64 * base[which] + place
+        held = np.zeros((64 * int(blocks.sum()), fps.shape[1]), np.uint64)
+        held[slot] = fps[member]
+        names = np.zeros(len(held), rep.dtype)
+        names[slot] = rep[member]
+        used = np.zeros(len(held), np.uint8)
+        used[slot] = 1
+        valid = np.packbits(used.reshape(-1, 64), axis=1, bitorder="little").view(np.uint64)[:, 0]
+        planes = planes_of(held.reshape(-1, 64, fps.shape[1]))
+        which = np.repeat(np.arange(n), queries[some])
+        place = np.arange(len(which)) - np.repeat(np.cumsum(queries[some]) - queries[some], queries[some])
+        asks = query[query_at[some][which] + place]
         forest = Forest()
-        for at in range(0, len(q) if len(b) else 0, 256):
-            i, j = near_in_block(q[at : at + 256], b)
-            for x, y in zip(qr[at + i].tolist(), br[j].tolist(), strict=True):
-                if x != y and forest.join(x, y):
-                    left.append(x)
-                    right.append(y)
+        for part in range(0, len(asks), 1 << 13):
+            mine, of = asks[part : part + (1 << 13)], which[part : part + (1 << 13)]
+            q = np.repeat(np.arange(len(mine)), blocks[of])
+            b = np.repeat(base[of], blocks[of]) + np.arange(len(q)) - np.repeat(np.cumsum(blocks[of]) - blocks[of], blocks[of])
+            r, j = near(fps[mine], planes, valid, q, b, radius)
+            x, y = rep[mine[q[r]]], names[64 * b[r] + j]
+            for c, d in zip(x[x != y].tolist(), y[x != y].tolist(), strict=True):
+                if forest.join(c, d):
+                    left.append(c)
+                    right.append(d)
     return left, right
 
 
-def links(reps: DataFrame) -> DataFrame:
-    """Edges (a, b) that span the components of distinct fingerprints (fp, rep) at RADIUS or fewer differing bits."""
+def field_cells() -> list[Column]:
+    """Cells by pairs of bit fields of f0: near fingerprints share at least one."""
+    part = lambda at, w: F.shiftrightunsigned("f0", at).bitwiseAND(F.lit((1 << w) - 1))
+    return [F.lit(n << 22).cast("long") + F.shiftleft(part(*a), b[1]) + part(*b) for n, (a, b) in enumerate(combinations(FIELDS, 2))]
+
+
+def apart(similarity: float) -> float:
+    """Share of bits in which SimHash fingerprints of sets of that Jaccard similarity differ."""
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
+def similar_radius(similarity: float, bits: int = WIDE) -> int:
+    p = apart(similarity)
+    return math.floor(bits * p + 2.33 * math.sqrt(bits * p * (1 - p)))
+
+
+def band_cells(n: int, similarity: float, bits: int = WIDE) -> list[Column]:
+    """Cells by bands of fixed pseudo-random bits."""
+    length = min(30, max(12, round(math.log2(max(n, 2))) - 6))
+    bands = math.ceil(math.log(0.01) / math.log(1 - (1 - apart(similarity)) ** length))
+    rng = random.Random(17)
+    bit = lambda i, k: F.shiftleft(F.shiftrightunsigned(f"f{i >> 6}", i & 63).bitwiseAND(F.lit(1)), k)
+    out = []
+    for n in range(bands):
+        key = F.lit(n << length).cast("long")
+        for k, i in enumerate(rng.sample(range(bits), length)):
+            key = key + bit(i, k)
+        out.append(key)
+    return out
+
+
+def links(reps: DataFrame, cells: list[Column], radius: int) -> DataFrame:
+    """Edges (a, b) that span the components of distinct fingerprints (f0, ..., rep) within the radius."""
     spark = reps.sparkSession
-    keys = []
-    for n, pair in enumerate(combinations(FIELDS, 2)):
-        (a, wa), (b, wb) = pair
-        part = lambda at, w: F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << w) - 1))
-        keys.append(F.lit(n << 22).cast("long") + F.shiftleft(part(a, wa), wb) + part(b, wb))
-    cells = reps.select("fp", "rep", F.explode(F.array(*keys)).alias("cell"))
-    hot = cells.groupBy("cell").count().where(F.col("count") > HOT).select("cell", F.ceil(F.col("count") / HOT).cast("int").alias("blocks"))
-    cells = cells.join(hot, "cell", "left")
-    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int")
+    names = [c for c in reps.columns if c != "rep"]
+    rows = reps.select("rep", *names, F.explode(F.array(*cells)).alias("cell"))
+    hot = rows.groupBy("cell").count().where(F.col("count") > HOT).select("cell", F.ceil(F.col("count") / HOT).cast("int").alias("blocks"))
+    rows = rows.join(hot, "cell", "left")
+    own = F.pmod(F.xxhash64(*names, F.lit(1)), F.col("blocks")).cast("int")
     other = F.expr("transform(sequence(0, blocks - 1), j -> struct(least(own, j) AS i, greatest(own, j) AS j, IF(own = j, 0, IF(own < j, 1, 2)) AS side))")
     alone = F.expr("array(struct(0 AS i, 0 AS j, 0 AS side))")
-    cells = cells.withColumn("own", own).select("cell", "fp", "rep", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(other)).alias("p"))
-    cells = cells.select("cell", "p.i", "p.j", "p.side", "fp", "rep").repartition(partitions(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    rows = rows.withColumn("own", own).select("cell", "rep", *names, F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(other)).alias("p"))
+    rows = rows.select("cell", "p.i", "p.j", "p.side", "rep", *names).repartition(partitions(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(parts: list[tuple], last: bool):
+        def flush(parts: list[list[np.ndarray]], last: bool):
             """Edges of all whole groups; what may go on in the next batch stays."""
-            cell, i, j, side, fp, rep = (np.concatenate(x) for x in zip(*parts, strict=True))
+            cell, i, j, side, rep, *fps = (np.concatenate(x) for x in zip(*parts, strict=True))
             changes = np.flatnonzero((np.diff(cell) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
             whole = len(cell) if last else int(changes[-1]) if len(changes) else 0
             number = np.zeros(whole, np.int64)
             number[changes[changes < whole]] = 1
-            edges = _edges_of_cells(np.cumsum(number), side[:whole], fp[:whole], rep[:whole]) if whole else ([], [])
-            return edges, [tuple(x[whole:] for x in (cell, i, j, side, fp, rep))] if whole < len(cell) else []
+            x, y = edges_of_groups(np.cumsum(number), side[:whole], np.stack([f[:whole] for f in fps], axis=1).view(np.uint64), rep[:whole], radius)
+            edges = pa.RecordBatch.from_pydict({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
+            return edges, [[c[whole:] for c in (cell, i, j, side, rep, *fps)]] if whole < len(cell) else []
 
-        parts: list[tuple] = []
+        parts: list[list[np.ndarray]] = []
         for b in batches:
-            got = [b.column(n).to_numpy() for n in range(6)]
-            parts.append((*got[:4], got[4].view(np.uint64), got[5]))
+            parts.append([c.to_numpy() for c in b.columns])
             if sum(len(x[0]) for x in parts) >= 1 << 17:
-                (x, y), parts = flush(parts, False)
-                yield pa.RecordBatch.from_pydict({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
+                edges, parts = flush(parts, False)
+                yield edges
         if parts:
-            (x, y), _ = flush(parts, True)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
+            yield flush(parts, True)[0]
+
+    return rows.mapInArrow(run, "a long, b long")
+
 
-    return cells.mapInArrow(run, "a long, b long")
+def components(fps: DataFrame, key: str, similarity: float | None) -> DataFrame:
+    """fps with component_id, the smallest key reachable over links."""
+    names = [c for c in fps.columns if c != key]
+    reps = written(fps.groupBy(*names).agg(F.min(key).alias("rep")), "classes")
+    cells, radius = (field_cells(), RADIUS) if similarity is None else (band_cells(reps.count(), similarity), similar_radius(similarity))
+    small_batches(fps.sparkSession, 1 << 14)
+    labels = connected_components(links(reps, cells, radius)).withColumnRenamed("node", "rep")
+    classes = reps.join(labels, "rep", "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(classes, names)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4) -> DataFrame:
-    """(key, fp, component_id) for each row: component_id is the smallest key reachable over links of RADIUS bits.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, similarity: float | None = None) -> DataFrame:
+    """(key, f0, ..., component_id) for each row: component_id is the smallest key reachable over links.
 
-    Null, empty and word-less texts all have fingerprint 0 and are linked like any other. Keys must be unique longs;
+    Without a similarity, plan "exact" over 64 bits; with one, plan "similar" over WIDE bits. Null, empty and
+    word-less texts all have fingerprint 0 and are linked like any other. Keys must be unique longs that aren't null;
     other columns are ignored. An empty table gives no rows.
     """
-    fps = written(fingerprints(docs, key, text, k), "fingerprints")
-    reps = written(fps.groupBy("fp").agg(F.min(key).alias("rep")), "classes")
-    small_batches(docs.sparkSession, 1 << 14)
-    labels = connected_components(links(reps)).withColumnRenamed("node", "rep")
-    classes = reps.join(labels, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(classes, "fp").select(key, "fp", "component_id")
+    fps = written(fingerprints(docs, key, text, k, 64 if similarity is None else WIDE), "fingerprints")
+    return components(fps, key, similarity)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from relspark.llm import simhash
@@ -32,22 +33,35 @@ def components(fps):
 def test_fingerprints_match_the_definition():
     rng = random.Random(1)
     texts = [None, "", " \t\n", "One", "a B c", "a b c d", "É x y \x1f z"] + [" ".join(rng.choice("ab cd efg É".split()) for _ in range(n)) for n in (4, 5, 9, 300)]
-    assert [simhash.fingerprint(t and t.encode()) for t in texts] == [slow(t) for t in texts]
+    assert [simhash.fingerprint(t and t.encode())[0] for t in texts] == [slow(t) for t in texts]
 
 
-def test_blocks_and_cells_find_every_near_pair():
+@pytest.mark.parametrize("words,radius", [(1, 4), (1, 0), (4, 50), (2, 31)])
+def test_groups_give_the_components_of_near_pairs(words, radius):
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
-    fps = [int(b) for b in base] + [int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(1, 7), replace=False)) for b in base for _ in range(12)]
-    arr = np.array(fps, dtype=np.uint64)
-    want = {(i, j) for i in range(len(fps)) for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 4}
-    i, j = simhash.near_in_block(arr, arr)
-    assert set(zip(i.tolist(), j.tolist())) == want
-    lanes, sizes = np.zeros((3, 64), np.uint64), np.array([64, 60, 2])
-    for c, n in enumerate(sizes):
-        lanes[c, :n] = arr[c * 40 : c * 40 + n] if c < 2 else arr[:n]
-    got = set(zip(*(x.tolist() for x in simhash.near_in_cells(lanes, sizes))))
-    assert got == {(c, i, j) for c, n in enumerate(sizes) for i in range(n) for j in range(i + 1, n) if (int(lanes[c, i]) ^ int(lanes[c, j])).bit_count() <= 4}
+    base = rng.integers(0, 1 << 63, (6, words), dtype=np.uint64)
+    fps, group = [], []
+    for g, size in enumerate((1, 2, 63, 64, 65, 150, 40)):
+        for _ in range(size):
+            f = [int(x) for x in base[rng.integers(6)]]
+            for k in rng.choice(64 * words, min(64 * words, int(rng.integers(0, 2 * radius + 2))), replace=False):
+                f[k >> 6] ^= 1 << int(k & 63)
+            fps.append(f)
+            group.append(g)
+    arr, group, rep = np.array(fps, dtype=np.uint64), np.array(group), np.arange(len(fps)) + 100
+    side = np.where(group == 6, rng.integers(1, 3, len(group)), 0)
+
+    def parts(pairs):
+        f = simhash.Forest()
+        for a, b in pairs:
+            f.join(a, b)
+        return [f.root(int(r)) for r in rep]
+
+    far = lambda i, j: sum((a ^ b).bit_count() for a, b in zip(fps[i], fps[j], strict=True))
+    want = [(int(rep[i]), int(rep[j])) for i in range(len(fps)) for j in range(i) if group[i] == group[j] and (side[i] != side[j] or not side[i]) and far(i, j) <= radius]
+    got = list(zip(*simhash.edges_of_groups(group, side, arr, rep, radius), strict=True))
+    assert parts(got) == parts(want)
+    assert len(got) <= len(fps)
 
 
 def test_components(spark):
@@ -75,3 +89,22 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
         got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
         assert got == want
     assert simhash.near_duplicates(df.where("false")).count() == 0
+
+
+def test_similar_sets_are_linked(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    docs, pairs = [], []
+    for g in range(150):
+        w = [word() for _ in range(300)]
+        docs.append((2 * g, " ".join(w)))
+        for at in range(0, 300, 60):  # five words changed: 25 of about 296 shingles
+            w[at + 10] = word()
+        docs.append((2 * g + 1, " ".join(w)))
+        pairs.append((2 * g, 2 * g + 1))
+    docs += [(1000 + i, " ".join(word() for _ in range(40))) for i in range(200)] + [(2000, None), (2001, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, k=5, similarity=0.8).collect()}
+    assert len(got) == len(docs)
+    assert sum(got[a] == got[b] == a for a, b in pairs) >= 147
+    assert all(got[1000 + i] == 1000 + i for i in range(200)) and got[2001] == 2000
