@@ -1,12 +1,78 @@
-"""Quality rules, toxicity, SimHash near-dedup, substring dedup and packing, one after the other over documents."""
+"""Quality rules, toxicity, SimHash near-dedup, substring dedup and packing, one after the other over documents.
+
+Every stage takes all that the one before it kept. Rows without a doc_id can't be referred to and leave in the first
+stage, with what the quality rules reject; toxic rows leave in the second; of near duplicates (five-word shingles, a
+similarity of 0.8 or more) the smallest doc_id stays, once; repeated passages are cut out of the texts that stay, which
+are otherwise unchanged (a text may become empty); the last stage packs all texts. Null and empty texts have no words
+and leave with the quality rules. Extra columns are kept up to the last stage. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from relspark.llm import packing, quality, simhash, substring, toxicity
+from relspark.llm.common import new_folder, table
+
+
+def only(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is among the keys."""
+    return docs.join(keys.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.where("doc_id IS NOT NULL")
+    judged = quality.judge(docs.select("doc_id", "lang", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return only(docs, judged.where("kept"))
+
+
+def toxic_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    name = "toxicity_score"
+    while name in docs.columns:
+        name += "_"
+    scored = toxicity.annotate(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), name)
+    return scored.where(F.col(name) < 0.5).drop(name)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicates(docs.select("doc_id", "text"), k=5, similarity=0.8)
+    return only(docs, groups.where("doc_id = component_id")).dropDuplicates(["doc_id"])
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    parsed = substring.parse(docs, carry=rest)
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.col("kept"))
+    out = parsed.withColumn("text", text)
+    if "n_chars" in rest:
+        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocabularies
+
+    pieces = packing.pack(docs.select("doc_id", "text"), vocabularies.path("byte_bpe_50k.json"), length=1024, end_id=0)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
 
-STAGES: list = []
+STAGES = [
+    ("quality rules", quality_rules),
+    ("toxicity", toxic_texts),
+    ("near duplicates", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("packing", packed),
+]
+#: Learnt weights and tokenizers are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Rows of the last stage; each stage is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for n, (_, stage) in enumerate(STAGES):
+        path = new_folder(spark, f"stage{n}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

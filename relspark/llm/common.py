@@ -50,6 +50,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def cell_blocks(rows: DataFrame, identity: list[str], most: int) -> DataFrame:
+    """rows with i, j, side: within a cell, what has the same (i, j) is compared, side 1 with side 2, or side 0 with itself.
+
+    A cell of up to `most` rows is one group. A larger one is dealt into blocks by a hash of the identity columns, and
+    each row goes to the groups of its block with every block: all pairs of the cell meet in exactly one group.
+    """
+    hot = rows.groupBy("cell").count().where(F.col("count") > most).select("cell", F.ceil(F.col("count") / most).cast("int").alias("blocks"))
+    kept = rows.columns
+    rows = rows.join(hot, "cell", "left")
+    own = F.pmod(F.xxhash64(*identity, F.lit(1)), F.col("blocks")).cast("int")
+    other = F.expr("transform(sequence(0, blocks - 1), j -> struct(least(own, j) AS i, greatest(own, j) AS j, IF(own = j, 0, IF(own < j, 1, 2)) AS side))")
+    alone = F.expr("array(struct(0 AS i, 0 AS j, 0 AS side))")
+    rows = rows.withColumn("own", own).select(*kept, F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(other)).alias("p"))
+    rows = rows.select("cell", "p.i", "p.j", "p.side", *[c for c in kept if c != "cell"])
+    return rows.repartition(partitions(rows.sparkSession), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
     """(node, component) for each node of the edges; component is the smallest node reachable.
 

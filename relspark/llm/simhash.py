@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, partitions, small_batches, written
+from .common import cell_blocks, connected_components, small_batches, written
 from .substring import mix
 
 RADIUS = 4
@@ -265,16 +265,9 @@ def band_cells(n: int, similarity: float, bits: int = WIDE) -> list[Column]:
 
 def links(reps: DataFrame, cells: list[Column], radius: int) -> DataFrame:
     """Edges (a, b) that span the components of distinct fingerprints (f0, ..., rep) within the radius."""
-    spark = reps.sparkSession
     names = [c for c in reps.columns if c != "rep"]
     rows = reps.select("rep", *names, F.explode(F.array(*cells)).alias("cell"))
-    hot = rows.groupBy("cell").count().where(F.col("count") > HOT).select("cell", F.ceil(F.col("count") / HOT).cast("int").alias("blocks"))
-    rows = rows.join(hot, "cell", "left")
-    own = F.pmod(F.xxhash64(*names, F.lit(1)), F.col("blocks")).cast("int")
-    other = F.expr("transform(sequence(0, blocks - 1), j -> struct(least(own, j) AS i, greatest(own, j) AS j, IF(own = j, 0, IF(own < j, 1, 2)) AS side))")
-    alone = F.expr("array(struct(0 AS i, 0 AS j, 0 AS side))")
-    rows = rows.withColumn("own", own).select("cell", "rep", *names, F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(other)).alias("p"))
-    rows = rows.select("cell", "p.i", "p.j", "p.side", "rep", *names).repartition(partitions(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    rows = cell_blocks(rows, names, HOT).select("cell", "i", "j", "side", "rep", *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parts: list[list[np.ndarray]], last: bool):

@@ -95,8 +95,8 @@ def stretches(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tup
     return least[at[first]], mix(content ^ shape), first, count
 
 
-def parse(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(key, text, n_words, spans, kept): spans are (first word, end) of duplicate spans, kept the other words.
+def parse(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, carry: list[str] | None = None) -> DataFrame:
+    """(key, text, n_words, spans, kept) and the columns to carry: spans are (first word, end) of duplicate spans, kept the other words.
 
     A word goes if a window that covers it also starts anywhere else, in the same text or another; all windows are
     judged on the input. Null and empty texts have no words; texts of fewer than `window` words keep all. Rows
@@ -107,8 +107,10 @@ def parse(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     if not 0 < gram <= window < gram + (1 << SHIFT) - 1:
         raise ValueError(f"a window may hold at most {(1 << SHIFT) - 1} grams")
     small_batches(spark)
-    docs = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("k IS NOT NULL")
-    kind = docs.schema["k"].dataType.simpleString()
+    carry = carry or []
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(carry)])
+    docs = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), rest.alias("c")).where("k IS NOT NULL")
+    kind, kind_c = docs.schema["k"].dataType.simpleString(), docs.schema["c"].dataType.simpleString()
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,7 +126,7 @@ def parse(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                 a, s, at = (pa.array(np.concatenate(c)) for c in cols[:3])
                 yield pa.RecordBatch.from_arrays([a, s, b.column(0).take(pa.array(np.concatenate(row))), at], names=["anchor", "stretch", "k", "at"])
 
-    every = written(docs.mapInArrow(index, f"anchor long, stretch long, k {kind}, at long"), "stretches")
+    every = written(docs.select("k", "t").mapInArrow(index, f"anchor long, stretch long, k {kind}, at long"), "stretches")
     again = every.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("stretch") == F.max("stretch")).alias("same")).where("n > 1").select("anchor", "same")
     found = written(every.join(again, "anchor"), "repeated")
     mixed = found.where("NOT same").drop("same")
@@ -152,8 +154,8 @@ def parse(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                 a, h, s, u = (pa.array(np.concatenate(c)) for c in (anchor, [x.view(np.int64) for x in hashes], at, unsure))
                 yield pa.RecordBatch.from_arrays([a, h, b.column(0).take(pa.array(np.concatenate(row))), s, u], names=["anchor", "h", "k", "start", "unsure"])
 
-    # Both joins with the texts deal them by key, in one query, so that they are shuffled once.
-    singles = docs.join(check, "k", "left").select("k", "t", "e").mapInArrow(windows, f"anchor long, h long, k {kind}, start long, unsure boolean")
+    # Both joins with the texts deal them by key, in one query and with the same columns, so that they are shuffled once.
+    singles = docs.join(check, "k", "left").select("k", "t", "e", "c").mapInArrow(windows, f"anchor long, h long, k {kind}, start long, unsure boolean")
     twice = singles.groupBy("anchor", "h").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "h")
     edges = singles.where("unsure").join(twice, ["anchor", "h"]).select("k", F.expr(f"start << {SHIFT} | 1L").alias("at"))
     spans = whole.unionByName(edges).groupBy("k").agg(F.collect_list("at").alias("at"))
@@ -178,8 +180,8 @@ def parse(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                 out.append([{"first": a, "end": z} for a, z in edge.reshape(-1, 2).tolist()])
                 kept.append(b" ".join(compress(words, (~gone).tolist())))
             span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-            cols = [b.column(0), b.column(1), pa.array(number, pa.int64()), pa.array(out, span), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=["k", "t", "n_words", "spans", "kept"])
+            cols = [b.column(0), b.column(1), b.column(3), pa.array(number, pa.int64()), pa.array(out, span), pa.array(kept, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=["k", "t", "c", "n_words", "spans", "kept"])
 
-    out = docs.join(spans, "k", "left").select("k", "t", "at").mapInArrow(keep, f"k {kind}, t string, n_words long, spans array<struct<first: long, end: long>>, kept string")
-    return out.select(F.col("k").alias(key), F.col("t").alias(text), "n_words", "spans", "kept")
+    out = docs.join(spans, "k", "left").select("k", "t", "at", "c").mapInArrow(keep, f"k {kind}, t string, c {kind_c}, n_words long, spans array<struct<first: long, end: long>>, kept string")
+    return out.select(F.col("k").alias(key), F.col("t").alias(text), "n_words", "spans", "kept", *[F.col(f"c.c{n}").alias(c) for n, c in enumerate(carry)])

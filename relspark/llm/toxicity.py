@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import small_batches
 
@@ -396,25 +397,30 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str)
     return out, (ones or 0) / max(n, 1)
 
 
-def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """(key, held_out, score, predicted) of each row of docs.
-
-    Null, empty and word-less texts get the share of ones among the labels, but less than 1/2. With fewer than three
-    labels of either class nothing can be learnt and every row gets that. Null labels and labels of absent texts are
-    ignored, a null key is not held out, repeated rows are scored alike; other columns are ignored.
-    """
+def annotate(docs: DataFrame, labels: DataFrame, name: str, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """docs with its score in a column of that name, which docs must not have. Edge cases as in score()."""
     spark = docs.sparkSession
     small_batches(spark)
     rows, ones = sample(docs, labels, key, text, label)
-    scorer = train(rows, ones)
-    sent = spark.sparkContext.broadcast((scorer, min(ones, 0.49)))
+    sent = spark.sparkContext.broadcast((train(rows, ones), min(ones, 0.49)))
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, constant = sent.value
         for b in batches:
-            s = own.scores(b.column(1).to_pylist()) if own else np.full(len(b), constant)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.clip(s, 0, 1), pa.float64())], names=["k", "score"])
+            s = own.scores(b.column(at).cast(pa.string()).to_pylist()) if own else np.full(len(b), constant)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.clip(s, 0, 1), pa.float64())], names=[*b.schema.names, name])
+
+    schema = StructType([StructField(f.name, f.dataType) for f in docs.schema] + [StructField(name, DoubleType())])
+    return docs.mapInArrow(run, schema)
 
-    kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"k {kind}, score double")
+
+def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """(key, held_out, score, predicted) of each row of docs.
+
+    Null, empty and word-less texts get the share of ones among the labels, but less than 1/2. With fewer than three
+    labels of either class nothing can be learnt and every row gets that. Null labels and labels of absent texts are
+    ignored, a null key is not held out, repeated rows are scored alike; other columns are ignored.
+    """
+    out = annotate(docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")), labels.withColumnRenamed(key, "k"), "score", "k", "t", label)
     return out.select(F.col("k").alias(key), F.coalesce(held_out(F.col("k")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
