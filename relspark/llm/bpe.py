@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Chunks
+from .chunks import Chunks, Kept
 from .common import small_batches
 
 
@@ -32,83 +34,130 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], most: int = 400_000) -> None:
+    """A state is a dictionary from byte to (next state, tokens that leave), filled as bytes are met."""
+
+    NONE = 1 << 60
+
+    def __init__(self, ranks: dict[bytes, int], most: int = 600_000) -> None:
         self.ranks, self.most = ranks, most
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.begun = {k[:i] for k in ranks for i in range(1, len(k))}
+        self.single = [bytes((b,)) for b in range(256)]
         self.fits: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.spines: dict[int, tuple | None] = {}
         self.reset()
 
     def reset(self) -> None:
         self.number: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.moves: dict[int, tuple[int, tuple]] = {}
+        self.moves: list[dict[int, tuple[int, tuple]]] = []
+        self.made = 0
         self.start = self._intern(((-1, b"", ()),))
-        if len(self.fits) > 4 * self.most:
+        if len(self.fits) > self.most:
             self.fits.clear()
 
     def _intern(self, state: tuple) -> int:
         n = self.number.setdefault(state, len(self.states))
         if n == len(self.states):
             self.states.append(state)
+            self.moves.append({})
         return n
 
-    def merge(self, data: bytes) -> list[bytes]:
-        """Plain merging by least rank, used for pairs of tokens only."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        ranks = self.ranks
-        while len(parts) > 1:
-            found = [(r, i) for i in range(len(parts) - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
-            if not found:
-                break
-            i = min(found)[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    def merge(self, data: bytes, steps: list | None = None) -> list[bytes]:
+        """Plain merging by least rank, used for tokens only. steps: gets rank, first and last part at each merge."""
+        get, none = self.ranks.get, self.NONE
+        parts = [self.single[b] for b in data]
+        best = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while best and (least := min(best)) != none:
+            i = best.index(least)
+            parts[i] += parts.pop(i + 1)
+            del best[i]
+            if i < len(best):
+                best[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                best[i - 1] = get(parts[i - 1] + parts[i], none)
+            if steps is not None:
+                steps.append((least, parts[0], parts[-1]))
         return parts
 
+    def _spine(self, token: int) -> tuple | None:
+        """Merges that make a token: rank and first part, rank and last part; None if merging makes something else."""
+        if token not in self.spines:
+            steps: list = []
+            data = self.bytes_of[token]
+            whole = len(self.merge(data, steps)) == 1
+            self.spines[token] = ([(r, a) for r, a, _ in steps], [(r, z) for r, _, z in steps], data[:1], data[-1:]) if whole else None
+        return self.spines[token]
+
     def _stands(self, last: int, token: int) -> bool:
-        """Whether token is its own encoding and may follow last (-1: the start)."""
-        if (ok := self.whole.get(token)) is None:
-            ok = self.whole[token] = len(self.merge(self.bytes_of[token])) == 1
-        if not ok or last < 0:
-            return ok
+        """Whether token is its own encoding and may follow last (-1: the start).
+
+        Both tokens' merges run in the order of their ranks, the left one's first at the same rank; the pair stands
+        if at no time the part that ends the one and the part that begins the other would merge before.
+        """
+        if last < 0:
+            return self._spine(token) is not None
         if (ok := self.fits.get((last, token))) is None:
-            a, b = self.bytes_of[last], self.bytes_of[token]
-            ok = self.fits[last, token] = self.merge(a + b) == [a, b]
+            ok = self.fits[last, token] = self._meet(self._spine(last), self._spine(token))
         return ok
 
+    def _meet(self, left: tuple | None, right: tuple | None) -> bool:
+        if left is None or right is None:
+            return False
+        get, none = self.ranks.get, self.NONE
+        (_, a, _, x), (b, _, y, _) = left, right
+        i, j, m, n = 0, 0, len(a), len(b)
+        across = get(x + y, none)
+        while i < m or j < n:
+            p = a[i][0] if i < m else none
+            q = b[j][0] if j < n else none
+            if p <= q:
+                if across < p:
+                    return False
+                x = a[i][1]
+                i += 1
+            else:
+                if across <= q:
+                    return False
+                y = b[j][1]
+                j += 1
+            across = get(x + y, none)
+        return across == none
+
     def _move(self, state: int, byte: int) -> tuple[int, tuple]:
-        grown, done = [], None
+        grown, done, begun_by, rank, one = [], None, self.begun, self.ranks.get, self.single[byte]
         for last, begun, waiting in self.states[state]:
-            now = begun + bytes((byte,))
-            if done is None and (t := self.ranks.get(now)) is not None and self._stands(last, t):
+            now = begun + one
+            if done is None and (t := rank(now)) is not None and self._stands(last, t):
                 done = (t, b"", (*waiting, t))
-            if now in self.begun:
+            if now in begun_by:
                 grown.append((last, now, waiting))
         if done:
             grown.append(done)
         if not grown:
             raise ValueError(f"byte {byte} has no token")
-        out, shortest = 0, min(len(h[2]) for h in grown)
-        first = grown[0][2]
-        while out < shortest and all(h[2][out] == first[out] for h in grown):
-            out += 1
-        move = (self._intern(tuple((a, b, w[out:]) for a, b, w in grown)), first[:out])
-        self.moves[state << 8 | byte] = move
+        first, out = grown[0][2], 0
+        if first:
+            shortest = min([len(h[2]) for h in grown])
+            while out < shortest and all([h[2][out] == first[out] for h in grown]):
+                out += 1
+        move = (self._intern(tuple([(a, b, w[out:]) for a, b, w in grown] if out else grown)), first[:out])
+        self.moves[state][byte] = move
+        self.made += 1
         return move
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one pre-token; a piece that is a token by itself is that token."""
         if (t := self.ranks.get(piece)) is not None:
             return [t]
-        if len(self.moves) > self.most:
+        if self.made > self.most:
             self.reset()
         state, ids, moves = self.start, [], self.moves
         for byte in piece:
-            move = moves.get(state << 8 | byte) or self._move(state, byte)
-            state = move[0]
-            if move[1]:
-                ids += move[1]
+            move = moves[state].get(byte) or self._move(state, byte)
+            state, out = move
+            if out:
+                ids += out
         for _, begun, waiting in self.states[state]:
             if not begun:
                 return ids + list(waiting)
@@ -181,25 +230,27 @@ class Decoder:
         return held
 
 
+def little_endian(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    data = array("I", ids)
+    if data.itemsize != 4 or sys.byteorder != "little":
+        return np.array(ids, dtype="<u4").tobytes()
+    return data.tobytes()
+
+
 @lru_cache(2)
 def codec(path: str, pattern: str) -> tuple[Chunks, Transducer, Decoder]:
     """Encoder and decoder of a rank file, once for each worker."""
     machine = Transducer(read_ranks(path))
     split = regex.compile(pattern).findall
-    known: dict[str, bytes] = {}
-
-    def encode(chunks: list[str]) -> list[bytes]:
-        if len(known) > 150_000:
-            known.clear()
-        out = []
-        for c in chunks:
-            pieces = []
-            for p in split(c):
-                if (ids := known.get(p)) is None:
-                    ids = known[p] = np.array(machine.encode(p.encode()), dtype="<u4").tobytes()
-                pieces.append(ids)
-            out.append(b"".join(pieces))
-        return out
+    known = Kept(150_000)
+
+    def encode(keys: list[str]) -> list[bytes]:
+        pieces = [split(Chunks.chunk(k)) for k in keys]
+        for p in known.need(set().union(*pieces)):
+            known[p] = little_endian(machine.encode(p.encode()))
+        get = known.__getitem__
+        return [get(ps[0]) if len(ps) == 1 else b"".join([get(p) for p in ps]) for ps in pieces]
 
     return Chunks(encode), machine, Decoder(machine.bytes_of)
 

@@ -1,13 +1,59 @@
-"""The tokenizers library over chunks, one encoder a worker."""
+"""The tokenizers library over chunks, one encoder a worker.
+
+The library's model merges; what comes before it (normal form, lower case, splitting, byte alphabet) costs the library
+more than the merging, so for two known layouts it is done here for chunks of plain Latin text, and each distinct
+pre-token goes to the model once. Any other chunk, and any other layout, goes through the library as a whole.
+"""
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import regex
+
+from .chunks import FIRST, Chunks, Kept
+
+KEPT = 200_000
+CALL = 20_000
+BYTE_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The printable character of each byte: itself where printable, else the next free one from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+def known_layout(layout: dict) -> tuple[str, Callable[[str], list[str]] | None]:
+    """"bytes" or "words" and how they split a plain chunk before the byte alphabet, as the library does; else "" and None.
+
+    "words" lowers its text and drops white space, so that white space cuts it into chunks.
+    """
+    pre, norm = layout["pre_tokenizer"] or {}, layout["normalizer"]
+    if pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and norm is None:
+        return "bytes", regex.compile(BYTE_SPLIT).findall
+    steps = [p["type"] for p in pre.get("pretokenizers", [])]
+    if steps == ["Split", "ByteLevel"] and norm and [n["type"] for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
+        split, level = pre["pretokenizers"]
+        white = norm["normalizers"][1] == {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+        if white and split["invert"] and split["behavior"] == "Removed" and not level["use_regex"] and not level["add_prefix_space"]:
+            return "words", regex.compile(split["pattern"]["Regex"]).findall
+    return "", None
 
-from .chunks import Chunks
+
+FOREIGN = re.compile("[^\x00-\u024f]").search
+
+
+def is_plain(text: str) -> bool:
+    """Printable text (and line ends) of Latin letters in normal form, for which lower case and classes are beyond doubt."""
+    return text.replace("\n", "").isprintable() and (text.isascii() or not FOREIGN(text) and unicodedata.is_normalized("NFC", text))
 
 
 @lru_cache(4)
@@ -16,18 +62,53 @@ def encoder(path: str) -> Chunks:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    whole.no_truncation()
+    whole.no_padding()
+    model = Tokenizer(whole.model)
+    with open(path, encoding="utf-8") as f:
+        layout, split = known_layout(json.load(f))
+    alphabet, known = byte_alphabet(), Kept(KEPT)
+
+    def learn(new: list[str]) -> None:
+        for at in range(0, len(new), CALL):
+            part = new[at : at + CALL]
+            shown = [p if p.isascii() and p.isprintable() and p[0] != " " else p.encode().decode("latin-1").translate(alphabet) for p in part]
+            got = model.encode(shown, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(got.ids, dtype="<u4").tobytes()
+            ends = np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(part) + 1)) * 4
+            ends = ends.tolist()
+            known.update((p, ids[a:b]) for p, a, b in zip(part, ends, ends[1:], strict=False))
 
-    def encode(chunks: list[str]) -> list[bytes]:
+    def by_library(chunks: list[str]) -> list[bytes]:
         out = []
         for at in range(0, len(chunks), 4096):
-            out += [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(chunks[at : at + 4096], add_special_tokens=False)]
+            out += [np.array(e.ids, dtype="<u4").tobytes() for e in whole.encode_batch_fast(chunks[at : at + 4096], add_special_tokens=False)]
         return out
 
-    return Chunks(encode)
+    def by_pieces(chunks: list[str]) -> list[bytes]:
+        pieces = [split(c) for c in chunks]
+        learn(list(known.need(set().union(*pieces))))
+        get = known.__getitem__
+        return [get(ps[0]) if len(ps) == 1 else b"".join([get(p) for p in ps]) for ps in pieces]
+
+    def encode(keys: list[str]) -> list[bytes]:
+        """Chunks of "words" are lowered words of plain texts, or whole texts that aren't plain, marked by FIRST."""
+        plain, other = [], []
+        for k in keys:
+            c = k if layout == "words" and k[0] != FIRST else Chunks.chunk(k)
+            (plain if split and (c is k or layout == "bytes" and is_plain(c)) else other).append((k, c))
+        got = dict(zip([k for k, _ in plain], by_pieces([c for _, c in plain]), strict=True)) if plain else {}
+        got.update(zip([k for k, _ in other], by_library([c for _, c in other]), strict=True))
+        return [got[k] for k in keys]
+
+    def words(text: str) -> list[str]:
+        if is_plain(text):
+            return text.lower().split()
+        return [FIRST + text] if len(text) < 1 << 16 else Chunks.cut(text)
+
+    return Chunks(encode, parts=words if layout == "words" else None)
 
 
 @lru_cache(4)

@@ -20,7 +20,7 @@ def enc():
 
 def texts():
     rng = random.Random(4)
-    alphabet = ["the", "th", "er", " ", "  ", "\n", " \n", "\t", "é", "ß", "日本", "😀", "'s", "'S", "1", "23", "!!", " ", "\x1f", "a", "in", "g", "<|endoftext|>", "　"]
+    alphabet = ["the", "th", "er", " ", "  ", "\n", " \n", "\t", "é", "ß", "日本", "😀", "'s", "'S", "1", "23", "!!", " ", "\x1f", "a", "in", "g", "<|endoftext|>", "　", "\x00"]
     out = ["", " ", "  ", "a", " a ", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa" * 40, "it's  ok \n\n yes", "é" * 500, "x" + " " * 300 + "y"]
     return out + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 120))) for _ in range(1500)]
 
@@ -36,11 +36,20 @@ def test_ids_match_the_library(enc):
 
 def test_few_states_and_few_chunks_give_the_same_ids(enc):
     machine = bpe.Transducer(bpe.read_ranks(PATH), most=50)
-    own = Chunks(lambda cs: [np.array(enc.encode_ordinary(c), "<u4").tobytes() for c in cs], kept=5)
+    own = Chunks(lambda ks: [np.array(enc.encode_ordinary(Chunks.chunk(k)), "<u4").tobytes() for k in ks], kept=5)
     for t in texts()[:300]:
         assert machine.encode(t.encode()) == enc._core_bpe.encode_single_piece(t.encode()) if t else True
         assert np.frombuffer(own([t])[0], "<u4").tolist() == enc.encode_ordinary(t)
-        assert "".join(Chunks.cut(t)) == t
+        assert "".join(map(Chunks.chunk, Chunks.cut(t))) == t
+
+
+def test_pairs_stand_as_merging_says():
+    machine, rng = bpe.Transducer(bpe.read_ranks(PATH)), random.Random(12)
+    short = [t for t, b in machine.bytes_of.items() if len(b) < 5]
+    for _ in range(20000):
+        a, b = (rng.choice(short) if rng.random() < 0.7 else rng.randrange(50256) for _ in "ab")
+        data = machine.bytes_of[a], machine.bytes_of[b]
+        assert machine._stands(a, b) == (machine.merge(data[0] + data[1]) == list(data) and len(machine.merge(data[0])) == len(machine.merge(data[1])) == 1)
 
 
 def test_decoder_holds_back_unfinished_characters():

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -21,6 +22,9 @@ def lib(request):
 def test_chunks_match_the_library(lib, spark, sf):
     path, t = lib
     texts = [d[1] or "" for d in DOCS] + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    rng = random.Random(3)
+    bits = ["the", "THE", " ", " ", "  ", "\n", "\t", "é", "É", "ß", "İ", "Σ", "日", "😀", "'s", "'S", "1", "23", "!!", "\x00", "\x1f", "\u0301", "\u00a0", "in"]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 60))) for _ in range(1500)]
     for x, ids in zip(texts, hf.encoder(path)(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
 
