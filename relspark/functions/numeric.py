@@ -76,7 +76,7 @@ def ratio(xs: Column, baseline: Column) -> Column:
 def percent_change(base: Column, new: Column) -> Column:
     """Signed per cent with two places, N/A on a zero or missing base."""
     change = F.try_divide(new - base, base) * 100
-    return F.coalesce(F.format_string("%+.2f%%", change), F.lit("N/A"))
+    return F.when(change.isNull(), "N/A").otherwise(F.format_string("%+.2f%%", change))
 
 
 def finite_or_null(x: Column) -> Column:
