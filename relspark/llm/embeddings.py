@@ -36,6 +36,16 @@ COUNTED = 40
 REACH = 1.65
 
 
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+u AS (SELECT vec_id, v, nullif(sqrt(list_inner_product(v, v)), 0) AS n FROM v WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_inner_product(a.v, b.v) / (a.n * b.n) >= 0.95),
+c AS (SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.node),
+l AS (SELECT node, min(root) AS root FROM c GROUP BY 1), n AS (SELECT a, count(*) AS n FROM e GROUP BY 1)
+SELECT node AS vec_id, coalesce(n.n, 0) AS n_links, root AS component_id, node = root AS kept FROM l LEFT JOIN n ON n.a = l.node
+"""
+
+
 def plan(n: int, cosine: float = COSINE) -> tuple[int, int]:
     """Lines of a table and number of tables for n vectors."""
     lines = max(0, math.ceil(math.log2(max(n, 1) / CELL)))

@@ -33,6 +33,26 @@ RULES = {
 BROADCAST_ROWS = 10_000
 
 
+SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c, i FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 3)),
+r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM x) WHERE n > 1) GROUP BY 1),
+l AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS d FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
+f AS (SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+  length(regexp_replace(t, '\\P{{Lu}}+', '', 'g')) AS n_capitals, length(regexp_replace(t, '[^!]+', '', 'g')) AS n_exclaims, coalesce(l.n, 0) AS n_lines, coalesce(l.d, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+  FROM t LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+v AS (SELECT doc_id, lang, base_failed, unnest([{", ".join(f"{{'rule': '{n}', 'v': {e.replace(' DIV ', ' // ')}}}" for n, e in RULES.items())}], recursive := true) FROM b),
+q AS (SELECT lang, rule, cutoff, count(*) FILTER (WHERE quality = 1) AS n, count(*) FILTER (WHERE quality = 1 AND v >= cutoff) AS k, count(*) FILTER (WHERE quality = 0 AND v >= cutoff) AS bad
+  FROM v JOIN labels USING (doc_id) CROSS JOIN (SELECT unnest({GRID}) AS cutoff) WHERE NOT base_failed AND quality IN (0, 1) GROUP BY ALL),
+p AS (SELECT *, CASE WHEN k >= n * {RISK} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1 - {RISK})))) END AS tail, (SELECT count(DISTINCT lang) FROM q) AS strata FROM q),
+s AS (SELECT *, sum(CASE WHEN tail > {LEVEL} / (strata * {len(RULES)}) THEN 1 ELSE 0 END) OVER (PARTITION BY lang, rule ORDER BY cutoff DESC) AS failed FROM p),
+g AS (SELECT lang, rule, max_by(cutoff, (bad - {COST} * k) * 10000 + cutoff) AS cutoff, max(bad - {COST} * k) AS gain FROM s WHERE failed = 0 GROUP BY 1, 2),
+broken AS (SELECT v.doc_id, string_agg(v.rule, ',' ORDER BY list_position({list(RULES)}, v.rule)) AS broken FROM v JOIN g ON g.lang = v.lang AND g.rule = v.rule WHERE g.gain > 0 AND v.v >= g.cutoff GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND broken IS NULL AS kept, coalesce(broken, '') AS broken FROM b LEFT JOIN broken USING (doc_id)
+"""
+
+
 def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of docs without the text, and the counts of each text (null: empty)."""
     kept = [F.col(f"`{c}`") for c in docs.columns if c != text]

@@ -77,4 +77,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": urls.sql(URL_RULES), "op10_lm_scoring": lm.SQL}
+    return {
+        "op1_url_filters": urls.sql(URL_RULES),
+        "op4_embedding_near_dedup": embeddings.SQL,
+        "op5_quality_rules": quality.SQL,
+        "op9_substring_dedup": substring.SQL,
+        "op10_lm_scoring": lm.SQL,
+    }

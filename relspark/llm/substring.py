@@ -30,6 +30,19 @@ BASE = 0x9E3779B97F4A7C15 | 1
 SHIFT = 5  # bits for the number of windows in a stretch, at most WINDOW - GRAM + 1
 
 
+SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+h AS (SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35)),
+d AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY t) AS n FROM h) WHERE n > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM d),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM w),
+k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.j) AS kept FROM x ANTI JOIN g ON g.doc_id = x.doc_id AND g.j = x.j GROUP BY 1),
+c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
 class WordHashes(dict):
     """Hash of each word; emptied when large."""
 
