@@ -76,9 +76,16 @@ def fingerprint(*parts: Column) -> Column:
 
 
 def shingles(words: Column, size: int = 3) -> Column:
-    """Distinct runs of words; all words if there are fewer, none without words."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))
-    return F.when(F.size(words) == 0, F.array().cast("array<string>")).when(F.size(words) < size, F.array(F.array_join(words, " "))).otherwise(F.array_distinct(runs))
+    """Distinct runs of words; all words if there are fewer, none without words.
+
+    The words are bound once, by an outer lambda: named in the inner one they would be computed again for each run.
+    """
+
+    def runs(w: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(size)), " "))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(every))
+
+    return F.get(F.transform(F.array(words), runs), F.lit(0))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -1,7 +1,7 @@
 """The reliability cascade: validity, quality, distance, calibration, conformal set, then decisions over time.
 
 Stateless gates are columns; the first that fails names the state. Only rows that pass all of them enter a session's
-history, so the windows run over those rows alone and the others are put beside them again.
+history, so the windows' partitions tell those rows from the others. Rows are dealt by session once for all windows.
 """
 
 from __future__ import annotations
@@ -129,19 +129,23 @@ def decide(df: DataFrame, policy: Policy, session: str = "session", seq: str = "
     Rows of a session are taken in the order of seq. A row that is earlier than an accepted one is DATA_INVALID and
     leaves no trace. Notifications, which follow from the rows given here, are temporal.notifications().
     """
-    out = gates(df, policy)
-    passed = out.where("state IS NULL").withColumn("_late", temporal.out_of_order(session, seq, ts))
-    late = passed.where("_late").withColumns({"state": F.lit("DATA_INVALID"), "reasons": F.array(F.lit("TIMESTAMP_OUT_OF_ORDER"))}).drop("_late")
-    live = temporal.states(passed.where("NOT _late").drop("_late", "state"), session, seq, "calibrated_probability", policy.on, policy.off, policy.k, policy.m)
-    was = F.coalesce(F.lag("active").over(temporal.Window.partitionBy(session).orderBy(seq)), F.lit(False))
-    base = F.array(F.lit("QUALITY_OK"), F.lit("IN_DOMAIN"), F.lit("CONFORMAL_SINGLETON"))
-    more = (
-        F.when(F.col("state") == "ELEVATED", F.array(F.lit("HYSTERESIS_ACTIVE"), F.lit("CALIBRATED_HIGH")))
-        .when(F.col("state") == "MONITOR", F.array(F.lit("HYSTERESIS_PENDING")))
-        .otherwise(F.concat(F.when(was, F.array(F.lit("HYSTERESIS_RELEASED"))).otherwise(F.array().cast("array<string>")), F.array(F.lit("CALIBRATED_LOW"))))
+    out = gates(df, policy).repartition(session).withColumnRenamed("state", "_gate").withColumnRenamed("reasons", "_why")
+    out = out.withColumn("_pass", F.col("_gate").isNull())
+    out = out.withColumn("_late", F.col("_pass") & temporal.out_of_order([session, "_pass"], seq, ts))
+    out = out.withColumn("_live", F.col("_pass") & ~F.col("_late"))
+    out = temporal.states(out, [session, "_live"], seq, "calibrated_probability", policy.on, policy.off, policy.k, policy.m)
+    was = F.coalesce(F.lag("active").over(temporal.Window.partitionBy(session, "_live").orderBy(seq)), F.lit(False))
+    codes = lambda *names: F.array(*map(F.lit, names))
+    live = (
+        F.when(F.col("state") == "ELEVATED", codes("QUALITY_OK", "IN_DOMAIN", "CONFORMAL_SINGLETON", "HYSTERESIS_ACTIVE", "CALIBRATED_HIGH"))
+        .when(F.col("state") == "MONITOR", codes("QUALITY_OK", "IN_DOMAIN", "CONFORMAL_SINGLETON", "HYSTERESIS_PENDING"))
+        .when(F.col("_was"), codes("QUALITY_OK", "IN_DOMAIN", "CONFORMAL_SINGLETON", "HYSTERESIS_RELEASED", "CALIBRATED_LOW"))
+        .otherwise(codes("QUALITY_OK", "IN_DOMAIN", "CONFORMAL_SINGLETON", "CALIBRATED_LOW"))
     )
     name = F.when(F.col("state") == "ELEVATED", "RELIABLE_ELEVATED").when(F.col("state") == "LOW", "RELIABLE_LOW").otherwise("MONITOR")
-    live = live.withColumn("_was", was).withColumn("reasons", F.concat(base, more)).withColumn("state", name).drop("_was", "elevated", "active")
-    every = out.where("state IS NOT NULL").unionByName(late).unionByName(live)
+    every = out.withColumn("_was", was).withColumns({
+        "reasons": F.when(F.col("_live"), live).when(F.col("_late"), codes("TIMESTAMP_OUT_OF_ORDER")).otherwise(F.col("_why")),
+        "state": F.when(F.col("_live"), name).when(F.col("_late"), "DATA_INVALID").otherwise(F.col("_gate")),
+    }).drop("_gate", "_why", "_pass", "_late", "_live", "_was", "elevated", "active")
     actions = F.create_map(*[x for k, v in ACTIONS.items() for x in (F.lit(k), F.lit(",".join(v)))])
     return every.withColumn("allowed_actions", F.element_at(actions, F.col("state")))

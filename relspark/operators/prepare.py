@@ -67,8 +67,7 @@ def balance(df: DataFrame, label: str, order: Column, share: float = 0.333) -> D
     The target is the least of the class's size and three times any other's; the stride is what fits it.
     """
     sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
-    least = sizes.agg(F.min("_n").alias("_m"))
-    strides = sizes.crossJoin(F.broadcast(least))  # one row
+    strides = sizes.withColumn("_m", F.min("_n").over(Window.partitionBy()))  # a row for each class
     target = F.greatest(F.floor(F.least(F.col("_n"), 3 * F.col("_m")) * F.lit(share)), F.lit(1))
     strides = strides.select(label, F.ceil(F.col("_n") / target).cast("long").alias("_stride"))
     numbered = df.withColumn("_i", F.row_number().over(Window.partitionBy(label).orderBy(order)) - 1).join(strides, label)
@@ -100,8 +99,7 @@ def leave_one_out(subjects: DataFrame, subject: str, seed: int = 5101) -> DataFr
 
 def quota_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42) -> DataFrame:
     """About n rows, at least one of each stratum and in proportion: each stratum's first by digest. A sampling operator."""
-    total = df.agg(F.count("*").alias("_all"))
-    sizes = df.groupBy(stratum).agg(F.count("*").alias("_n")).crossJoin(F.broadcast(total))  # one row
+    sizes = df.groupBy(stratum).agg(F.count("*").alias("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy()))  # a row for each stratum
     quota = sizes.select(stratum, F.greatest(F.lit(1), F.floor(F.lit(n) * F.col("_n") / F.col("_all"))).alias("_q"))
     w = Window.partitionBy(stratum).orderBy(digest(str(seed), F.col(key)), key)
     return df.withColumn("_r", F.row_number().over(w)).join(quota, stratum).where("_r <= _q").select(df.columns)

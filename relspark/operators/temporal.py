@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def k_of_m(p: Column, session: str, seq: str, on: float, m: int) -> Column:
+def k_of_m(p: Column, session: str | list[str], seq: str, on: float, m: int) -> Column:
     """How many of the last m rows of the session, this one included, reach `on`."""
     w = Window.partitionBy(session).orderBy(seq)
     return F.sum((p >= on).cast("int")).over(w.rowsBetween(1 - m, 0))
 
 
-def states(df: DataFrame, session: str = "session", seq: str = "seq", p: str = "p", on: float = 0.65, off: float = 0.45, k: int = 2, m: int = 3) -> DataFrame:
+def states(df: DataFrame, session: str | list[str] = "session", seq: str = "seq", p: str = "p", on: float = 0.65, off: float = 0.45, k: int = 2, m: int = 3) -> DataFrame:
     """df with elevated (count of m), active and state.
 
     A session becomes active when a row reaches `on` and k of its last m rows did; it stays so until a row is at most
@@ -31,7 +31,7 @@ def states(df: DataFrame, session: str = "session", seq: str = "seq", p: str = "
     return out.withColumn("state", F.when(F.col("active"), "ELEVATED").when(F.col(p) > off, "MONITOR").otherwise("LOW"))
 
 
-def out_of_order(session: str, seq: str, ts: str) -> Column:
+def out_of_order(session: str | list[str], seq: str, ts: str) -> Column:
     """Whether a row's time lies before an earlier row's of its session. Equal times are in order."""
     w = Window.partitionBy(session).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.col(ts) < F.max(ts).over(w), F.lit(False))
