@@ -116,11 +116,11 @@ def thresholds(features: DataFrame, labels: DataFrame, key: str = "doc_id", stra
     cells = cells.groupBy("stratum", "r.rule", rank.alias("rank")).agg(F.sum("_good").alias("good"), F.sum(1 - F.col("_good")).alias("bad"))
     grid = F.posexplode(F.array(*map(F.lit, GRID))).alias("at", "cutoff")
     sums = cells.groupBy("stratum", "rule").agg(F.sum("good").alias("n"), F.collect_list(F.struct("rank", "good", "bad")).alias("cells"))  # at most a cell for each rank
+    sums = written(sums, "cells")
+    strata = max(1, sums.select("stratum").distinct().count())
     above = lambda what: f"aggregate(cells, 0L, (a, c) -> IF(c.rank > at, a + c.{what}, a))"
     tests = sums.select("stratum", "rule", "n", "cells", grid).withColumns({"k": F.expr(above("good")), "bad": F.expr(above("bad"))})
-    strata = tests.select("stratum").distinct().agg(F.greatest(F.count("*"), F.lit(1)).alias("strata"))
-    tests = tests.crossJoin(F.broadcast(strata))  # one row
-    tests = tests.withColumn("fails", (tail("k", "n", risk) > F.lit(level) / (F.col("strata") * len(RULES))).cast("int"))
+    tests = tests.withColumn("fails", (tail("k", "n", risk) > F.lit(level / (strata * len(RULES)))).cast("int"))
     mildest_first = Window.partitionBy("stratum", "rule").orderBy(F.desc("at"))
     tests = tests.withColumn("failed", F.sum("fails").over(mildest_first)).where("failed = 0")
     gain = F.col("bad") - COST * F.col("k")
