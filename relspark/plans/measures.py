@@ -176,3 +176,43 @@ def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pearson_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(read(spark, sf_dir, "labels"), "doc_id")
     return df.groupBy("lang").agg(F.count("*").alias("n"), F.round(stats.pearson(F.col("n_chars").cast("double"), F.col("quality").cast("double")), 6).alias("r"))
+
+
+@register("difficulty_weighted", """WITH u AS (SELECT user_id, count(*) AS n, avg(value) AS v, stddev_pop(value) / greatest(avg(value), 1e-9) AS d FROM events GROUP BY 1), w AS (SELECT *, 1 / ln(1 + greatest(d, 0.01)) AS w FROM u)
+SELECT CASE WHEN d < 0.8 THEN 'hard' WHEN d < 1.5 THEN 'medium' ELSE 'easy' END AS difficulty, count(*) AS users, round(sum(w * v) / sum(w), 6) AS weighted, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd FROM w GROUP BY 1""")
+def difficulty_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.stddev_pop("value") / F.greatest(F.avg("value"), F.lit(1e-9))
+    u = read(spark, sf_dir, "events").groupBy("user_id").agg(F.avg("value").alias("v"), d.alias("d"))
+    u = u.withColumn("w", 1 / F.log(1 + F.greatest(F.col("d"), F.lit(0.01))))
+    out = u.groupBy(numeric.difficulty(F.col("d")).alias("difficulty")).agg(F.count("*").alias("users"), (F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("weighted"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
+    return r6(out, "weighted", "mean", "sd")
+
+
+@register("method_deltas", EV + """, m AS (SELECT user_id % 5 AS fold, avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END) AS base, avg(CASE WHEN (p >= 0.65) = (y = 1) THEN 1.0 ELSE 0.0 END) AS other FROM e GROUP BY 1)
+SELECT round(avg(base), 6) AS base, round(avg(other), 6) AS other, round(avg(other) - avg(base), 6) AS delta, count(*) FILTER (WHERE other > base) AS improved FROM m""")
+def method_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold averages of two methods and their difference."""
+    right = lambda t: F.avg(((F.col("p") >= t) == (F.col("y") == 1)).cast("double"))
+    folds = scored(spark, sf_dir).groupBy((F.col("user_id") % 5).alias("fold")).agg(right(0.5).alias("base"), right(0.65).alias("other"))
+    out = folds.agg(F.avg("base").alias("base"), F.avg("other").alias("other"), (F.avg("other") - F.avg("base")).alias("delta"), metrics.count(F.col("other") > F.col("base")).alias("improved"))
+    return r6(out, "base", "other", "delta")
+
+
+@register("feature_importance", """SELECT CAST(i - 1 AS INT) AS feature, round(avg(abs(v)), 6) AS importance FROM (SELECT unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1""")
+def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fit.long_form(read(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("x")), "x")
+    return rows.groupBy("feature").agg(F.round(F.avg(F.abs("value")), 6).alias("importance"))
+
+
+@register("top_drivers", """WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(v) DESC, i DESC) AS r FROM x)
+SELECT vec_id, string_agg(i, ',' ORDER BY r) AS drivers FROM r WHERE r <= 3 GROUP BY 1""")
+def top_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the three largest values by size; of equal ones the later place first. Within a row: no shuffle."""
+    x = F.transform(F.col("embedding").cast("array<double>"), lambda v, i: F.struct(F.abs(v).alias("a"), i.alias("i")))
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(F.slice(F.sort_array(x, asc=False), 1, 3), lambda s: s["i"].cast("string")), ",").alias("drivers"))
+
+
+@register("label_prior", EV + " SELECT event_type, round(avg(y), 6) AS prior, round(quantile_cont(p, 0.75) - quantile_cont(p, 0.25), 6) AS iqr FROM e GROUP BY 1")
+def label_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.percentile("p", F.array(F.lit(0.25), F.lit(0.75)))
+    return r6(scored(spark, sf_dir).groupBy("event_type").agg(F.avg("y").alias("prior"), (q[1] - q[0]).alias("iqr")), "prior", "iqr")

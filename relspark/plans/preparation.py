@@ -104,3 +104,20 @@ def disjoint_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "nation").select("n_nationkey")
     one, two = n.where("n_nationkey < 10"), n.where("n_nationkey > 8")
     return one.intersect(two).agg(F.lit("overlap").alias("check_name"), F.count("*").alias("n")).unionByName(n.subtract(one).agg(F.lit("remaining").alias("check_name"), F.count("*").alias("n")))
+
+
+@register("status_counters", """WITH s AS (SELECT CASE WHEN value IS NULL THEN 'missing' WHEN NOT isfinite(value) THEN 'not_finite' WHEN value > 100 THEN 'noisy' ELSE 'ok' END AS status FROM events) SELECT status, count(*) AS n FROM s GROUP BY 1""")
+def status_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    status = F.when(v.isNull(), "missing").when(F.isnan(v) | (F.abs(v) == float("inf")), "not_finite").when(v > 100, "noisy").otherwise("ok")
+    return read(spark, sf_dir, "events").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+@register("noisy_to_prior", """WITH m AS (SELECT median(value) AS med, median(abs(value - (SELECT median(value) FROM events))) * 1.4826 AS s FROM events), p AS (SELECT avg(value / (value + 20.0)) AS prior FROM events)
+SELECT event_id, round(CASE WHEN abs(value - med) / s > 6 THEN prior ELSE value / (value + 20.0) END, 6) AS score FROM events, m, p""")
+def noisy_to_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of rows beyond six robust deviations become the mean score; the three fitted numbers are literals."""
+    df = read(spark, sf_dir, "events").select("event_id", "value", (F.col("value") / (F.col("value") + 20)).alias("p"))
+    med, prior = df.agg(F.percentile("value", 0.5), F.avg("p")).first()
+    mad = df.agg(F.percentile(F.abs(F.col("value") - med), 0.5)).first()[0] * 1.4826
+    return df.select("event_id", F.round(F.when(F.abs(F.col("value") - med) / mad > 6, F.lit(prior)).otherwise(F.col("p")), 6).alias("score"))

@@ -131,3 +131,18 @@ SELECT pair, round(coalesce(s, 0.0), 5) AS similarity FROM (SELECT DISTINCT doc_
 def tfidf_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read(spark, sf_dir, "documents").select(F.expr("doc_id DIV 2").alias("pair"), (F.col("doc_id") % 2).alias("side"), F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]{2,})"), 1).alias("t"))
     return retrieval.tfidf_cosine(df, "pair", "side", "t").withColumn("similarity", F.round("similarity", 5))
+
+
+@register("snippets", "SELECT doc_id, substr(text, 1, 40) || ' [source: ' || source || ']' AS snippet, concat_ws(',', lang, 'corpus') AS tags, 'evidence:' || substr(sha256(text), 1, 16) AS evidence_id FROM documents")
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reply shows of a document, its tags with one added, and its evidence id. The first 40 characters are the feature."""
+    df = read(spark, sf_dir, "documents")
+    tags = F.concat(F.array("lang"), F.array(F.lit("corpus")))
+    return df.select("doc_id", F.concat(F.substring("text", 1, 40), F.lit(" [source: "), "source", F.lit("]")).alias("snippet"), F.array_join(tags, ",").alias("tags"), hashing.evidence_id(F.col("text")).alias("evidence_id"))
+
+
+@register("long_enough", "SELECT source, count(*) FILTER (WHERE length(text) >= 400) AS kept, count(*) FILTER (WHERE length(text) < 400) AS dropped, round(100.0 * count(*) FILTER (WHERE length(text) >= 400) / count(*), 4) AS share FROM documents GROUP BY 1")
+def long_enough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = F.length("text") >= 400
+    out = read(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(long).alias("kept"), F.count_if(~long).alias("dropped"))
+    return out.withColumn("share", F.round(100.0 * F.col("kept") / (F.col("kept") + F.col("dropped")), 4))
