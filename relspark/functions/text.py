@@ -88,6 +88,15 @@ def shingles(words: Column, size: int = 3) -> Column:
     return F.get(F.transform(F.array(words), runs), F.lit(0))
 
 
+def terms(t: Column, stop_words: list[str] | None = None) -> Column:
+    """Lower-case words of at least two characters that aren't stop words, and their neighbouring pairs."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
+    stop = F.array(*map(F.lit, STOP_WORDS if stop_words is None else stop_words))
+    kept = F.filter(words, lambda w: ~F.array_contains(stop, w))
+    both = lambda ws: F.concat(ws, F.transform(F.slice(ws, 2, F.greatest(F.size(ws), F.lit(1))), lambda w, i: F.concat(F.get(ws, i), F.lit(" "), w)))
+    return F.get(F.transform(F.array(kept), both), F.lit(0))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 1 if both are empty."""
     union = F.size(F.array_union(a, b))

@@ -123,13 +123,17 @@ def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", "lang").join(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label"), "doc_id")
 
 
-@register("tfidf_pair", """WITH t AS (SELECT doc_id // 2 AS pair, doc_id % 2 AS side, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS t FROM documents),
+STOP = "('" + "', '".join(T.STOP_WORDS) + "')"
+
+
+@register("tfidf_pair", f"""WITH f AS (SELECT doc_id // 2 AS pair, doc_id % 2 AS side, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN {STOP}) AS f FROM documents),
+t AS (SELECT pair, side, unnest(list_concat(f, list_transform(range(1, len(f)), lambda i: f[i] || ' ' || f[i + 1]))) AS t FROM f),
 c AS (SELECT pair, t, count(*) FILTER (WHERE side = 0) AS a, count(*) FILTER (WHERE side = 1) AS b FROM t GROUP BY 1, 2),
 w AS (SELECT pair, a * i AS a, b * i AS b FROM (SELECT *, ln(3.0 / (1 + (a > 0)::INT + (b > 0)::INT)) + 1 AS i FROM c)),
 s AS (SELECT pair, sum(a * b) / nullif(sqrt(sum(a * a) * sum(b * b)), 0) AS s FROM w GROUP BY 1)
 SELECT pair, round(coalesce(s, 0.0), 5) AS similarity FROM (SELECT DISTINCT doc_id // 2 AS pair FROM documents) LEFT JOIN s USING (pair)""")
 def tfidf_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = read(spark, sf_dir, "documents").select(F.expr("doc_id DIV 2").alias("pair"), (F.col("doc_id") % 2).alias("side"), F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]{2,})"), 1).alias("t"))
+    df = read(spark, sf_dir, "documents").select(F.expr("doc_id DIV 2").alias("pair"), (F.col("doc_id") % 2).alias("side"), T.terms(F.col("text")).alias("t"))
     return retrieval.tfidf_cosine(df, "pair", "side", "t").withColumn("similarity", F.round("similarity", 5))
 
 
