@@ -13,6 +13,7 @@ network is sent to the executors by a broadcast of at most WORDS + GRAMS vectors
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -381,22 +382,33 @@ def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % FOLDS == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[list[tuple[str, str, int]], float]:
-    """The bounded training sample and the share of ones among all labelled rows that may be learnt from."""
+def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[DataFrame, float]:
+    """The bounded training sample (k, t, y), and the share of ones among all labelled rows that may be learnt from."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).where(~held_out(F.col(key)))
     known = known.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
     n, ones = known.agg(F.count("*"), F.sum("_y")).first()
     some = [known.where(f"_y = {y}").orderBy(F.xxhash64("_k"), "_k").limit(most) for y, most in ((1, POSITIVES), (0, NEGATIVES))]
     some = some[0].unionByName(some[1])  # at most POSITIVES + NEGATIVES rows
     rows = docs.select(key, text).join(F.broadcast(some), F.col(key) == F.col("_k"))
-    rows = rows.select(F.col(key).cast("string"), F.substring(F.coalesce(F.col(text).cast("string"), F.lit("")), 1, CHARACTERS // 100), "_y").orderBy(F.xxhash64("_k"), "_y").limit(POSITIVES + NEGATIVES)
-    out, size = [], 0
-    for k, t, y in rows.toLocalIterator():
-        size += len(t)
-        if size > CHARACTERS:
-            break
-        out.append((k, t, y))
-    return out, (ones or 0) / max(n, 1)
+    read = F.substring(F.coalesce(F.col(text).cast("string"), F.lit("")), 1, CHARACTERS // 100)
+    rows = rows.select(F.col(key).cast("string").alias("k"), read.alias("t"), F.col("_y").alias("y"))
+    return rows.orderBy(F.xxhash64("k"), "y").limit(POSITIVES + NEGATIVES), (ones or 0) / max(n, 1)
+
+
+def trained(rows: DataFrame, ones: float) -> bytes:
+    """The pickled scorer (or None), trained in one task over the bounded sample, which spares the driver's memory."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size = [], 0
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                size += len(r[1])
+                if size <= CHARACTERS:
+                    kept.append(r)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(kept, ones))], pa.binary())], names=["model"])
+
+    found = rows.coalesce(1).mapInArrow(fit, "model binary").first()
+    return bytes(found.model) if found else pickle.dumps(None)
 
 
 def annotate(docs: DataFrame, labels: DataFrame, name: str, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
@@ -404,11 +416,11 @@ def annotate(docs: DataFrame, labels: DataFrame, name: str, key: str = "doc_id",
     spark = docs.sparkSession
     small_batches(spark)
     rows, ones = sample(docs, labels, key, text, label)
-    sent = spark.sparkContext.broadcast((train(rows, ones), min(ones, 0.49)))
+    sent = spark.sparkContext.broadcast((trained(rows, ones), min(ones, 0.49)))
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, constant = sent.value
+        own, constant = pickle.loads(sent.value[0]), sent.value[1]
         for b in batches:
             s = own.scores(b.column(at).cast(pa.string()).to_pylist()) if own else np.full(len(b), constant)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.clip(s, 0, 1), pa.float64())], names=[*b.schema.names, name])
