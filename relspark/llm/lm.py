@@ -1,10 +1,11 @@
 """Stupid-backoff scores of documents under the n-gram counts of all other documents.
 
 Documents are dealt into batches. A batch explodes into its n-grams, counts them, and sends each hash bucket a sorted
-block of hashes and counts (delta-coded: about five bytes an n-gram, where a row of its own would take forty). A bucket
+block of hashes and counts (delta-coded: about four bytes an n-gram, where a row of its own would take forty). A bucket
 joins the blocks of all batches into its part of the count table and answers each block in its own order; a batch then
 joins the answers to its n-grams and sums the scores per document. N-grams frequent everywhere come once from each
-batch, so no bucket is hot. Counts are those of 64-bit hashes.
+batch, so no bucket is hot. Hashes have SPARE bits more than it takes to number the corpus's n-grams, so at every size
+an n-gram shares its count with another in less than one of 2 ** SPARE cases.
 
 With c(g) the occurrences of g in all other rows, N their words, the score of a word is c(uvw) / c(uv) if c(uvw) > 0,
 else BACKOFF * c(vw) / c(v) if c(vw) > 0, else BACKOFF ** 2 * max(c(w), UNSEEN) / max(N, 1); a text's first words have
@@ -28,6 +29,7 @@ BACKOFF = 0.4
 UNSEEN = 0.5
 BATCH_BYTES = 8_000_000
 BUCKET_GRAMS = 4_000_000
+SPARE = 24
 
 SQL = """
 WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -70,7 +72,8 @@ def expand(data: bytes) -> np.ndarray:
 class Grams:
     """N-grams of a batch of texts: uniq are the sorted hashes, index the places in it of all, order after order."""
 
-    def __init__(self, texts: list[bytes | None]) -> None:
+    def __init__(self, texts: list[bytes | None], bits: int = 64) -> None:
+        self.bits = bits
         split = [(t or b"").split() for t in texts]
         self.sizes = np.fromiter(map(len, split), np.int64, len(split))
         n = int(self.sizes.sum())
@@ -82,7 +85,7 @@ class Grams:
         pair = mix(w[two - 1] * a + mix(w[two] + b))
         triple = mix(w[three - 2] * a + mix(w[three - 1] * c + mix(w[three] + b)))
         self.ends = [np.arange(n), two, three]
-        self.uniq, index = np.unique(np.concatenate((mix(w ^ c), pair, triple)), return_inverse=True)
+        self.uniq, index = np.unique(np.concatenate((mix(w ^ c), pair, triple)) >> np.uint64(64 - bits), return_inverse=True)
         self.index = np.split(index, [n, n + len(two)])
 
     def counts(self) -> np.ndarray:
@@ -90,7 +93,7 @@ class Grams:
 
     def buckets(self, n: int) -> np.ndarray:
         """Borders of the buckets in uniq: a bucket is a range of hashes."""
-        of = (self.uniq >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+        of = (self.uniq >> np.uint64(self.bits - 32)) * np.uint64(n) >> np.uint64(32)
         return np.searchsorted(of, np.arange(n + 1, dtype=np.uint64))
 
     def scores(self, totals: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
@@ -124,11 +127,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     count = F.size(F.array_remove(F.split("t", WORD_SEPARATORS, -1), ""))
     size, words = (x or 0 for x in docs.agg(F.sum(F.octet_length("t")), F.sum(count)).first())
     batches = max(1, math.ceil(size / BATCH_BYTES))
-    buckets = max(1, math.ceil(size / 6 * 3 / BUCKET_GRAMS))
+    buckets = max(1, math.ceil(3 * words / BUCKET_GRAMS))
+    bits = min(64, max(40, math.ceil(math.log2(3 * words + 1)) + SPARE))
     docs = docs.withColumn("batch", F.pmod(F.xxhash64("k", F.substring("t", 1, 64)), F.lit(batches)).cast("int"))
 
     def ask(t: pa.Table) -> pa.Table:
-        g = Grams(t.column("t").cast(pa.binary()).to_pylist())
+        g = Grams(t.column("t").cast(pa.binary()).to_pylist(), bits)
         edge, counts = g.buckets(buckets), g.counts()
         used = np.flatnonzero(np.diff(edge))
         rows = [(squeeze(np.diff(g.uniq[edge[b] : edge[b + 1]], prepend=np.uint64(0))), squeeze(counts[edge[b] : edge[b + 1]])) for b in used]
@@ -145,7 +149,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         return pa.Table.from_arrays([t.column("batch"), t.column("bucket"), pa.array([squeeze(p.astype(np.uint64)) for p in parts], pa.binary())], names=["batch", "bucket", "totals"])
 
     def total(left: pa.Table, right: pa.Table) -> pa.Table:
-        g = Grams(left.column("t").cast(pa.binary()).to_pylist())
+        g = Grams(left.column("t").cast(pa.binary()).to_pylist(), bits)
         order = np.argsort(right.column("bucket").to_numpy())
         got = right.column("totals").to_pylist()
         totals = np.concatenate([np.zeros(0, np.uint64), *[expand(got[i]) for i in order]])
