@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import hf
 from .chunks import Chunks, Kept
 from .common import small_batches
 
@@ -243,10 +244,10 @@ def codec(path: str, pattern: str) -> tuple[Chunks, Transducer, Decoder]:
     """Encoder and decoder of a rank file, once for each worker."""
     machine = Transducer(read_ranks(path))
     split = regex.compile(pattern).findall
-    known = Kept(150_000)
+    known, usual = Kept(150_000), pattern == hf.BYTE_SPLIT
 
     def encode(keys: list[str]) -> list[bytes]:
-        pieces = [split(Chunks.chunk(k)) for k in keys]
+        pieces = [hf.pieces_of(k, " ", split) for k in keys] if usual else [split(Chunks.chunk(k)) for k in keys]
         for p in known.need(set().union(*pieces)):
             known[p] = little_endian(machine.encode(p.encode()))
         get = known.__getitem__

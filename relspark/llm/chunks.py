@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-KEPT = 400_000
+KEPT = 800_000
 #: Marks the key of a text's first chunk.
 FIRST = "\x00"
 #: A space next to more white space. Python's regular expressions and str.isspace() know more white space than Unicode does.

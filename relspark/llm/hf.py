@@ -19,7 +19,7 @@ import regex
 
 from .chunks import FIRST, Chunks, Kept
 
-KEPT = 200_000
+KEPT = 400_000
 CALL = 20_000
 BYTE_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -49,6 +49,9 @@ def known_layout(layout: dict) -> tuple[str, Callable[[str], list[str]] | None]:
 
 
 FOREIGN = re.compile("[^\x00-\u024f]").search
+#: Marks the key of a whole text that isn't plain; plain texts hold no such character.
+WHOLE = "\x01"
+STOPS = frozenset(".,;:!?")
 
 
 def is_plain(text: str) -> bool:
@@ -56,6 +59,17 @@ def is_plain(text: str) -> bool:
     return text.replace("\n", "").isprintable() and (text.isascii() or not FOREIGN(text) and unicodedata.is_normalized("NFC", text))
 
 
+def pieces_of(key: str, space: str, split: Callable[[str], list[str]]) -> list[str]:
+    """Pre-tokens of a plain chunk, the usual ones (a word, a word and a stop) without the splitting pattern."""
+    if key[0] == FIRST:
+        key, space = key[1:], ""
+    if key.isalpha():
+        return [space + key]
+    if key[-1:] in STOPS and key[:-1].isalpha():
+        return [space + key[:-1], key[-1]]
+    return split(space + key)
+
+
 @lru_cache(4)
 def encoder(path: str) -> Chunks:
     """Ids by the tokenizers library without special tokens; strings of special tokens are ordinary text."""
@@ -70,45 +84,50 @@ def encoder(path: str) -> Chunks:
     with open(path, encoding="utf-8") as f:
         layout, split = known_layout(json.load(f))
     alphabet, known = byte_alphabet(), Kept(KEPT)
+    blank, space = alphabet[32], " " if layout == "bytes" else ""
 
     def learn(new: list[str]) -> None:
         for at in range(0, len(new), CALL):
             part = new[at : at + CALL]
-            shown = [p if p.isascii() and p.isprintable() and p[0] != " " else p.encode().decode("latin-1").translate(alphabet) for p in part]
+            shown = [p.replace(" ", blank) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(alphabet) for p in part]
             got = model.encode(shown, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(got.ids, dtype="<u4").tobytes()
-            ends = np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(part) + 1)) * 4
-            ends = ends.tolist()
+            ends = (np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(part) + 1)) * 4).tolist()
             known.update((p, ids[a:b]) for p, a, b in zip(part, ends, ends[1:], strict=False))
 
-    def by_library(chunks: list[str]) -> list[bytes]:
+    def by_library(texts: list[str]) -> list[bytes]:
         out = []
-        for at in range(0, len(chunks), 4096):
-            out += [np.array(e.ids, dtype="<u4").tobytes() for e in whole.encode_batch_fast(chunks[at : at + 4096], add_special_tokens=False)]
+        for at in range(0, len(texts), 4096):
+            out += [np.array(e.ids, dtype="<u4").tobytes() for e in whole.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
         return out
 
-    def by_pieces(chunks: list[str]) -> list[bytes]:
-        pieces = [split(c) for c in chunks]
+    def by_pieces(keys: list[str]) -> list[bytes]:
+        pieces = [pieces_of(k, space, split) for k in keys]
         learn(list(known.need(set().union(*pieces))))
         get = known.__getitem__
         return [get(ps[0]) if len(ps) == 1 else b"".join([get(p) for p in ps]) for ps in pieces]
 
     def encode(keys: list[str]) -> list[bytes]:
-        """Chunks of "words" are lowered words of plain texts, or whole texts that aren't plain, marked by FIRST."""
-        plain, other = [], []
-        for k in keys:
-            c = k if layout == "words" and k[0] != FIRST else Chunks.chunk(k)
-            (plain if split and (c is k or layout == "bytes" and is_plain(c)) else other).append((k, c))
-        got = dict(zip([k for k, _ in plain], by_pieces([c for _, c in plain]), strict=True)) if plain else {}
-        got.update(zip([k for k, _ in other], by_library([c for _, c in other]), strict=True))
+        other = [k for k in keys if k[0] == WHOLE]
+        if not other:
+            return by_pieces(keys)
+        plain = [k for k in keys if k[0] != WHOLE]
+        got = dict(zip(plain, by_pieces(plain), strict=True)) | dict(zip(other, by_library([k[1:] for k in other]), strict=True))
         return [got[k] for k in keys]
 
-    def words(text: str) -> list[str]:
-        if is_plain(text):
+    def parts(text: str) -> list[str]:
+        """Words of a plain text, or chunks at its single spaces, else the text as a whole."""
+        if not split or not is_plain(text):
+            return [WHOLE + text]
+        if layout == "words":
             return text.lower().split()
-        return [FIRST + text] if len(text) < 1 << 16 else Chunks.cut(text)
+        if "  " in text or text[0] == " " or text[-1] == " " or " \n" in text or "\n " in text:
+            return Chunks.cut(text)
+        out = text.split(" ")
+        out[0] = FIRST + out[0]
+        return out
 
-    return Chunks(encode, parts=words if layout == "words" else None)
+    return Chunks(encode, parts=parts)
 
 
 @lru_cache(4)

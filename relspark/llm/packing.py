@@ -64,10 +64,12 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def keys(ids: list[np.ndarray], table: np.ndarray) -> np.ndarray:
     """Hilbert keys of documents; one without ids stands at the middle of the cube."""
-    means = np.zeros((len(ids), table.shape[1]))
-    for i, x in enumerate(ids):
-        if len(x):
-            means[i] = [np.take(column, x).mean(dtype=np.float64) for column in table.T]
+    means, sizes = np.zeros((len(ids), table.shape[1])), np.array([len(x) for x in ids])
+    some = np.flatnonzero(sizes)
+    if len(some):
+        every = np.concatenate([ids[i] for i in some])
+        starts = np.cumsum(sizes[some]) - sizes[some]
+        means[some] = np.stack([np.add.reduceat(np.take(column, every), starts, dtype=np.float64) for column in table.T], axis=1) / sizes[some][:, None]
     points = ((np.tanh(means * SPREAD) + 1) / 2 * (1 << BITS)).astype(np.int64)
     return hilbert(np.clip(points, 0, (1 << BITS) - 1))
 
@@ -88,7 +90,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int | None
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             ids = [np.frombuffer(x + end, "<u4") for x in chunks(b.column(1).to_pylist())]
-            table = np.ascontiguousarray(projection(1 << (8 * width if width == 2 else 20))) if table is None else table
+            table = np.asfortranarray(projection(1 << (8 * width if width == 2 else 20))) if table is None else table
             place = keys([x % len(table) for x in ids] if width > 2 else ids, table)
             data = [squeeze(x.astype(f"<u{width}").tobytes()) for x in ids]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(place), pa.array(data, pa.binary())], names=[key, "place", "data"])
