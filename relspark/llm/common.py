@@ -1,13 +1,17 @@
-"""Helpers shared by the operators: shared folder, written tables, batch sizes, connected components."""
+"""Helpers shared by the operators: batch sizes, cells dealt into blocks, and what the library has for all."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relspark.operators.graph import connected_components
+from relspark.operators.storage import new_folder, shared_dir, written
+
+__all__ = ["cell_blocks", "connected_components", "new_folder", "partitions", "shared_dir", "small_batches", "table", "written"]
+
+#: Most rows of (cell, blocks) that are broadcast, some megabytes.
+BROADCAST_CELLS = 100_000
 #: Bytes that separate words: space and TAB, LF, VT, FF, CR. bytes.split() splits at exactly these.
 WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
 
@@ -16,30 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset a temporary one."""
-    sc = spark.sparkContext
-    if path := sc.getConf().get("spark.checkpoint.dir"):
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(path)
-        return path.rstrip("/")
-    if not (path := sc.getCheckpointDir()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="relspark-"))
-        path = sc.getCheckpointDir()
-    return path.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/relspark/{uuid.uuid4().hex}/{name}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a table in the shared folder: lost executors cost no recomputation beyond it."""
-    path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of few rows (and bytes, where Spark has that setting), so that long texts don't fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -56,40 +36,16 @@ def cell_blocks(rows: DataFrame, identity: list[str], most: int) -> DataFrame:
     A cell of up to `most` rows is one group. A larger one is dealt into blocks by a hash of the identity columns, and
     each row goes to the groups of its block with every block: all pairs of the cell meet in exactly one group.
     """
-    hot = rows.groupBy("cell").count().where(F.col("count") > most).select("cell", F.ceil(F.col("count") / most).cast("int").alias("blocks"))
     kept = rows.columns
-    rows = rows.join(hot, "cell", "left")
+    hot = rows.groupBy("cell").count().where(F.col("count") > most).select("cell", F.ceil(F.col("count") / most).cast("int").alias("blocks"))
+    hot = written(hot, "hot")
+    n = hot.count()
+    if not n:  # no join: the rows are shuffled once
+        return rows.select("cell", *[F.lit(0).alias(c) for c in ("i", "j", "side")], *[c for c in kept if c != "cell"]).repartition(partitions(rows.sparkSession), "cell").sortWithinPartitions("cell")
+    rows = rows.join(F.broadcast(hot) if n <= BROADCAST_CELLS else hot, "cell", "left")
     own = F.pmod(F.xxhash64(*identity, F.lit(1)), F.col("blocks")).cast("int")
     other = F.expr("transform(sequence(0, blocks - 1), j -> struct(least(own, j) AS i, greatest(own, j) AS j, IF(own = j, 0, IF(own < j, 1, 2)) AS side))")
     alone = F.expr("array(struct(0 AS i, 0 AS j, 0 AS side))")
     rows = rows.withColumn("own", own).select(*kept, F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(other)).alias("p"))
     rows = rows.select("cell", "p.i", "p.j", "p.side", *[c for c in kept if c != "cell"])
     return rows.repartition(partitions(rows.sparkSession), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
-    """(node, component) for each node of the edges; component is the smallest node reachable.
-
-    Alternates large-star and small-star steps over a shrinking edge table until it no longer changes, which
-    takes a number of rounds logarithmic in the longest chain. Each round is written to the shared folder.
-    A step takes the least neighbour of a node by a partial aggregate and joins it to that node's edges, so a
-    node of very many edges is never gathered. Self-loops and repeated edges don't matter; no edges, no rows.
-    """
-    now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    mark = None
-    for _ in range(most):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = written(small.where("u <> v").distinct(), "edges")
-        was, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == was or not mark[0]:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -154,6 +154,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     classes = written(rows.where("v IS NOT NULL").groupBy("v").agg(F.min("k").alias("rep"), F.count("*").alias("n")), "vectors")
     lines, tables = plan(classes.count(), cosine)
     small_batches(spark, 2048)
+    #: Floats travel as floats; all arithmetic is in double precision.
+    stored = np.float32 if vectors.schema[vector].dataType.simpleString() == "array<float>" else np.float64
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,7 +167,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
                 some = np.flatnonzero(sizes == d)
                 x = flat[starts[some][:, None] + np.arange(d)]
                 cells = cells_of(x / np.sqrt((x * x).sum(axis=1))[:, None], directions(int(d), lines, tables)[0], lines, tables)
-                data = pa.array([r.tobytes() for r in x], pa.binary())
+                data = pa.array([r.tobytes() for r in x.astype(stored)], pa.binary())
                 for t in range(tables):
                     cell = ((np.int64(d) * 1021 + t) << np.int64(lines)) + cells[:, t]
                     take = pa.array(some)
@@ -179,7 +181,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
             side, t, rep, n, x = (c[lo:hi] for c in cols[3:])
             if hi - lo < 2:
                 return [], [], []
-            every = np.frombuffer(b"".join(x), np.float64).reshape(hi - lo, -1)
+            every = np.frombuffer(b"".join(x), stored).astype(np.float64).reshape(hi - lo, -1)
             links, edges = linked(every, rep, n, side, int(t[0]), lines, tables, cosine)
             some = np.flatnonzero(links)
             return [*rep[some].tolist(), *(a for a, _ in edges)], [*[None] * len(some), *(b for _, b in edges)], [*links[some].tolist(), *[None] * len(edges)]
