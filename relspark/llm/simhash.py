@@ -2,13 +2,19 @@
 
 Fingerprints are grouped into cells such that near ones share a cell. In a cell they are stored as bit planes, 64 to a
 word; the XOR of a plane with a query's bit is added to 64 distances at once by carry-save adders, and words in which
-every distance exceeds the radius are abandoned. A cell gives the edges of a spanning forest only. Cells above HOT
-fingerprints are split into blocks, and each pair of blocks is compared in a task of its own.
+every distance exceeds the radius are abandoned. Cells above HOT fingerprints are split into blocks, and each pair of
+blocks is compared in a task of its own.
 
 Plan "exact" (64 bits, RADIUS): fingerprints at most four bits apart agree on two of six bit fields, so the cells of
-all fifteen pairs of fields miss none. Plan "similar": WIDE bits of the set of shingles and the radius that all but
-one in a hundred pairs of the wanted Jaccard similarity keep; cells are bands of bits, as many as let all but one in a
-hundred such pairs share one. The length of a band grows with the logarithm of the number of fingerprints.
+all fifteen pairs of fields miss none. A cell gives the edges of a spanning forest only.
+
+Plan "similar": WIDE bits of the set of shingles only find candidates, and documents are linked if the exact Jaccard
+similarity of their shingle sets reaches the wanted one. Rows are classes of equal sets. The radius is what all but one
+in a thousand pairs of that similarity keep; cells are bands of bits, as many as let all but one in a thousand such pairs
+share one. The length of a band grows with the logarithm of the number of classes. At first a cell gives a spanning
+forest of its candidates, the nearest first, and these pairs are verified. Where one fails, every candidate pair that
+verified links don't join yet is verified too, so no candidate's link is lost. (Candidates that are no links and that no
+links join are verified pair by pair: their number can grow with the square of a family of nearly similar texts.)
 """
 
 from __future__ import annotations
@@ -31,6 +37,8 @@ RADIUS = 4
 SEED = 42
 HOT = 4096
 WIDE = 256
+#: Share of pairs at the wanted similarity that the bands may miss, and deviations that the radius allows (one in a thousand).
+MISS, DEVIATIONS = 0.001, 3.1
 FIELDS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -62,7 +70,10 @@ def fingerprint(data: bytes | None, k: int = 4, bits: int = 64) -> list[int]:
     hashes = shingles(data, k)
     if bits == 64:
         return [majority(hashes)]
-    hashes = np.unique(hashes)
+    return widened(np.unique(hashes), bits)
+
+
+def widened(hashes: np.ndarray, bits: int) -> list[int]:
     out = []
     for n in range(bits // 64):
         out.append(majority(hashes))
@@ -84,6 +95,25 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
+def set_fingerprints(docs: DataFrame, key: str, text: str, k: int, bits: int = WIDE) -> DataFrame:
+    """(key, f0, ..., s0, s1, size): fingerprint, 128-bit hash and size of each document's set of shingles."""
+    small_batches(docs.sparkSession)
+    names = [*(f"f{n}" for n in range(bits // 64)), "s0", "s1", "size"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for x in b.column(1).cast(pa.binary()).to_pylist():
+                hashes = np.unique(shingles(x, k))
+                whole = xxhash.xxh3_128_intdigest(hashes.tobytes(), SEED)
+                rows.append([*widened(hashes, bits), whole >> 64, whole & int(ONES), len(hashes)])
+            columns = np.array(rows, np.uint64).reshape(-1, len(names)).T
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns)], names=[key, *names])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} long" for n in names))
+
+
 class Counter:
     """Distances of many words of 64 lanes: bit planes up to the radius's length, and what ran over them."""
 
@@ -186,13 +216,22 @@ def edges_of_groups(group: np.ndarray, side: np.ndarray, fps: np.ndarray, rep: n
     """Spanning edges within runs of equal group numbers. side: 0 in groups compared with themselves, else 1 with 2."""
     left: list = []
     right: list = []
+    for a, b in pairs_of_groups(group, side, fps, rep, radius):
+        left += a
+        right += b
+    return left, right
+
+
+def pairs_of_groups(group: np.ndarray, side: np.ndarray, fps: np.ndarray, rep: np.ndarray, radius: int, size: np.ndarray | None = None, similarity: float = 0.0, label: np.ndarray | None = None) -> Iterator[tuple[list, list]]:
+    """Edges in parts. With sizes, sets too unequal to be similar are left out and forests take the nearest pairs of a
+    part first; with labels, there are all pairs of unequal labels instead of forests, the smaller rep first."""
     if not len(group):
-        return left, right
+        return
     first = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1))
-    size = np.diff(np.concatenate((first, [len(group)])))
-    number = np.repeat(np.arange(len(first)), size)
-    lane = np.flatnonzero((side != 1) & (size[number] > 1))
-    query = np.flatnonzero((side != 2) & (size[number] > 1))
+    length = np.diff(np.concatenate((first, [len(group)])))
+    number = np.repeat(np.arange(len(first)), length)
+    lane = np.flatnonzero((side != 1) & (length[number] > 1))
+    query = np.flatnonzero((side != 2) & (length[number] > 1))
     lanes = np.bincount(number[lane], minlength=len(first))
     queries = np.bincount(number[query], minlength=len(first))
     lane_at, query_at = np.cumsum(lanes) - lanes, np.cumsum(queries) - queries
@@ -209,8 +248,8 @@ def edges_of_groups(group: np.ndarray, side: np.ndarray, fps: np.ndarray, rep: n
         slot = 64 * base[which] + place
         held = np.zeros((64 * int(blocks.sum()), fps.shape[1]), np.uint64)
         held[slot] = fps[member]
-        names = np.zeros(len(held), rep.dtype)
-        names[slot] = rep[member]
+        back = np.zeros(len(held), np.int64)
+        back[slot] = member
         used = np.zeros(len(held), np.uint8)
         used[slot] = 1
         valid = np.packbits(used.reshape(-1, 64), axis=1, bitorder="little").view(np.uint64)[:, 0]
@@ -219,17 +258,31 @@ def edges_of_groups(group: np.ndarray, side: np.ndarray, fps: np.ndarray, rep: n
         place = np.arange(len(which)) - np.repeat(np.cumsum(queries[some]) - queries[some], queries[some])
         asks = query[query_at[some][which] + place]
         forest = Forest()
-        for part in range(0, len(asks), 1 << 13):
-            mine, of = asks[part : part + (1 << 13)], which[part : part + (1 << 13)]
+        step = 1 << 13 if size is None else min(1 << 13, max(1, (1 << 15) // int(blocks.max())))  # two million hits at most
+        for part in range(0, len(asks), step):
+            mine, of = asks[part : part + step], which[part : part + step]
             q = np.repeat(np.arange(len(mine)), blocks[of])
             b = np.repeat(base[of], blocks[of]) + np.arange(len(q)) - np.repeat(np.cumsum(blocks[of]) - blocks[of], blocks[of])
             r, j = near(fps[mine], planes, valid, q, b, radius)
-            x, y = rep[mine[q[r]]], names[64 * b[r] + j]
-            for c, d in zip(x[x != y].tolist(), y[x != y].tolist(), strict=True):
-                if forest.join(c, d):
-                    left.append(c)
-                    right.append(d)
-    return left, right
+            x, y = mine[q[r]], back[64 * b[r] + j]
+            use = rep[x] != rep[y]
+            if size is not None:
+                use &= np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) * (1 - 1e-9)
+            if label is not None:
+                use &= label[x] != label[y]
+            x, y = x[use], y[use]
+            if label is not None:
+                a, c = rep[x], rep[y]
+                pairs = np.unique(np.stack([np.minimum(a, c), np.maximum(a, c)], axis=1), axis=0)
+                if len(pairs):
+                    yield pairs[:, 0].tolist(), pairs[:, 1].tolist()
+                continue
+            if size is not None:
+                order = np.argsort(np.bitwise_count(fps[x] ^ fps[y]).sum(axis=1, dtype=np.int64), kind="stable")
+                x, y = x[order], y[order]
+            edges = [e for e in zip(rep[x].tolist(), rep[y].tolist(), strict=True) if forest.join(*e)]
+            if edges:
+                yield [e[0] for e in edges], [e[1] for e in edges]
 
 
 def field_cells() -> list[Column]:
@@ -245,13 +298,13 @@ def apart(similarity: float) -> float:
 
 def similar_radius(similarity: float, bits: int = WIDE) -> int:
     p = apart(similarity)
-    return math.floor(bits * p + 2.33 * math.sqrt(bits * p * (1 - p)))
+    return math.floor(bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p)))
 
 
 def band_cells(n: int, similarity: float, bits: int = WIDE) -> list[Column]:
     """Cells by bands of fixed pseudo-random bits."""
     length = min(30, max(12, round(math.log2(max(n, 2))) - 6))
-    bands = math.ceil(math.log(0.01) / math.log(1 - (1 - apart(similarity)) ** length))
+    bands = math.ceil(math.log(MISS) / math.log(1 - (1 - apart(similarity)) ** length))
     rng = random.Random(17)
     bit = lambda i, k: F.shiftleft(F.shiftrightunsigned(f"f{i >> 6}", i & 63).bitwiseAND(F.lit(1)), k)
     out = []
@@ -263,43 +316,110 @@ def band_cells(n: int, similarity: float, bits: int = WIDE) -> list[Column]:
     return out
 
 
-def links(reps: DataFrame, cells: list[Column], radius: int) -> DataFrame:
-    """Edges (a, b) that span the components of distinct fingerprints (f0, ..., rep) within the radius."""
-    names = [c for c in reps.columns if c != "rep"]
+def links(reps: DataFrame, cells: list[Column], radius: int, similarity: float | None = None) -> DataFrame:
+    """Edges (a, b) that span the components of distinct fingerprints (f0, ..., rep) within the radius.
+
+    With a similarity, reps have sizes too and edges are candidates; if reps have labels, all pairs of unequal ones.
+    """
+    own = [c for c in ("size", "label") if c in reps.columns and similarity is not None]
+    fields = [c for c in reps.columns if c not in ("rep", *own)]
+    names = [*own, *fields]
     rows = reps.select("rep", *names, F.explode(F.array(*cells)).alias("cell"))
-    rows = cell_blocks(rows, names, HOT).select("cell", "i", "j", "side", "rep", *names)
+    rows = cell_blocks(rows, ["rep"] if own else fields, HOT).select("cell", "i", "j", "side", "rep", *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parts: list[list[np.ndarray]], last: bool):
-            """Edges of all whole groups; what may go on in the next batch stays."""
-            cell, i, j, side, rep, *fps = (np.concatenate(x) for x in zip(*parts, strict=True))
+            """Whole groups with their numbers; what may go on in the next batch stays."""
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            cell, i, j = columns[:3]
             changes = np.flatnonzero((np.diff(cell) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
             whole = len(cell) if last else int(changes[-1]) if len(changes) else 0
             number = np.zeros(whole, np.int64)
             number[changes[changes < whole]] = 1
-            x, y = edges_of_groups(np.cumsum(number), side[:whole], np.stack([f[:whole] for f in fps], axis=1).view(np.uint64), rep[:whole], radius)
-            edges = pa.RecordBatch.from_pydict({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
-            return edges, [[c[whole:] for c in (cell, i, j, side, rep, *fps)]] if whole < len(cell) else []
+            return np.cumsum(number), [c[:whole] for c in columns[3:]], [[c[whole:] for c in columns]] if whole < len(cell) else []
+
+        def edges(number: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            side, rep, *rest = columns
+            more = dict(zip(own, rest, strict=False)) | ({"similarity": similarity} if own else {})
+            fps = np.stack(rest[len(own) :], axis=1).view(np.uint64)
+            for x, y in pairs_of_groups(number, side, fps, rep, radius, **more):
+                yield pa.RecordBatch.from_pydict({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
         parts: list[list[np.ndarray]] = []
         for b in batches:
             parts.append([c.to_numpy() for c in b.columns])
             if sum(len(x[0]) for x in parts) >= 1 << 17:
-                edges, parts = flush(parts, False)
-                yield edges
+                number, columns, parts = flush(parts, False)
+                yield from edges(number, columns)
         if parts:
-            yield flush(parts, True)[0]
+            yield from edges(*flush(parts, True)[:2])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def components(fps: DataFrame, key: str, similarity: float | None) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, similarity: float) -> DataFrame:
+    """pairs (a, b) with ok: whether the exact Jaccard similarity of the sets of shingles reaches the wanted one."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [np.unique(shingles(x, k)).tobytes() for x in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(out, pa.binary())], names=["id", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both > 0 and both / (len(x) + len(y) - both) >= similarity)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    small_batches(docs.sparkSession, 64)
+    held = docs.select(key, F.col(text).cast("string")).join(ids, key, "left_semi").mapInArrow(sets, "id long, shingles binary")
+    held = written(held, "sets")
+    both = pairs.join(held.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    both = both.join(held.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    out = written(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, ok boolean"), "verified")
+    return out.groupBy("a", "b").agg(F.max("ok").alias("ok"))
+
+
+def candidates(reps: DataFrame, cells: list[Column], similarity: float) -> DataFrame:
+    """Distinct candidate pairs (a < b)."""
+    small_batches(reps.sparkSession, 1 << 14)
+    found = links(reps, cells, similar_radius(similarity), similarity)
+    return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+
+
+def similar_components(docs: DataFrame, key: str, text: str, k: int, similarity: float) -> DataFrame:
+    """(key, f0, ..., component_id) over links of that exact Jaccard similarity."""
+    fps = written(set_fingerprints(docs, key, text, k), "fingerprints")
+    names = [c for c in fps.columns if c.startswith("f") and c != key]
+    classes = written(fps.groupBy("s0", "s1", "size", *names).agg(F.min(key).alias("rep")), "classes")
+    reps, cells = classes.select("rep", "size", *names), band_cells(classes.count(), similarity)
+    judged = verified(candidates(reps, cells, similarity), docs, key, text, k, similarity)
+    edges = judged.where("ok").select("a", "b")
+    failed = judged.where("NOT ok").select("a", "b")
+    if not failed.isEmpty():  # a forest without failed edges spans all candidates
+        labels = written(connected_components(edges), "labels")
+        label = lambda df, c: df.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label")), c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
+        ends = label(label(failed, "a"), "b").where("a_label <> b_label")
+        ends = ends.select(F.explode(F.array("a_label", "b_label")).alias("label")).distinct()
+        apart = label(reps, "rep").withColumnRenamed("rep_label", "label").join(ends, "label", "left_semi")
+        apart = written(apart.select("rep", "size", "label", *names), "apart")
+        rest = candidates(apart, cells, similarity).join(failed, ["a", "b"], "left_anti")
+        edges = edges.unionByName(verified(written(rest, "rest"), docs, key, text, k, similarity).where("ok").select("a", "b"))
+    labels = connected_components(edges).withColumnRenamed("node", "rep")
+    classes = classes.join(labels, "rep", "left").select("s0", "s1", F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(classes, ["s0", "s1"]).select(key, *names, "component_id")
+
+
+def components(fps: DataFrame, key: str) -> DataFrame:
     """fps with component_id, the smallest key reachable over links."""
     names = [c for c in fps.columns if c != key]
     reps = written(fps.groupBy(*names).agg(F.min(key).alias("rep")), "classes")
-    cells, radius = (field_cells(), RADIUS) if similarity is None else (band_cells(reps.count(), similarity), similar_radius(similarity))
     small_batches(fps.sparkSession, 1 << 14)
-    labels = connected_components(links(reps, cells, radius)).withColumnRenamed("node", "rep")
+    labels = connected_components(links(reps, field_cells(), RADIUS)).withColumnRenamed("node", "rep")
     classes = reps.join(labels, "rep", "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
     return fps.join(classes, names)
 
@@ -308,8 +428,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     """(key, f0, ..., component_id) for each row: component_id is the smallest key reachable over links.
 
     Without a similarity, plan "exact" over 64 bits; with one, plan "similar" over WIDE bits. Null, empty and
-    word-less texts all have fingerprint 0 and are linked like any other. Keys must be unique longs that aren't null;
-    other columns are ignored. An empty table gives no rows.
+    word-less texts have fingerprint 0 and are linked to each other; in plan "exact" like any other fingerprint. Keys
+    must be unique longs that aren't null; other columns are ignored. An empty table gives no rows.
     """
-    fps = written(fingerprints(docs, key, text, k, 64 if similarity is None else WIDE), "fingerprints")
-    return components(fps, key, similarity)
+    if similarity is not None:
+        return similar_components(docs, key, text, k, similarity)
+    return components(written(fingerprints(docs, key, text, k), "fingerprints"), key)

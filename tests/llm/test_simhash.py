@@ -108,3 +108,42 @@ def test_similar_sets_are_linked(spark):
     assert len(got) == len(docs)
     assert sum(got[a] == got[b] == a for a, b in pairs) >= 147
     assert all(got[1000 + i] == 1000 + i for i in range(200)) and got[2001] == 2000
+
+
+def jaccard(a, b, k=5):
+    a, b = ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_only_pairs_of_the_exact_similarity_are_linked(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    docs, n = {}, 0
+    for family in range(60):  # a shared beginning and ends of their own: similarities from 0.55 to 0.85
+        base = [word() for _ in range(200)]
+        for member in range(4):
+            docs[n] = " ".join(base + [word() for _ in range(20 + family + member)])
+            n += 1
+    for _ in range(10):  # chains of links, and texts near a hub but not near each other
+        w = [word() for _ in range(200)]
+        for member in range(6):
+            docs[n] = " ".join(w)
+            n += 1
+            at = 30 * member
+            w[at : at + 12] = [word() for _ in range(12)]
+        hub = [word() for _ in range(200)]
+        for member in range(6):
+            docs[n] = " ".join(hub[:-15] + [word() for _ in range(15 if member else 0)] + (hub[-15:] if not member else []))
+            n += 1
+    pairs = [(a, b, jaccard(docs[a], docs[b])) for a in docs for b in range(a) if len(set(docs[a].split()) & set(docs[b].split())) > 60]
+    assert sum(0.6 <= j < 0.8 for *_, j in pairs) > 100 and sum(0.8 <= j < 0.83 for *_, j in pairs) > 20
+    forest = simhash.Forest()
+    for a, b, j in pairs:
+        if j >= 0.8:
+            forest.join(a, b)
+    want = {d: forest.root(d) for d in docs}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for hot in (4096, 3):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, k=5, similarity=0.8).collect()}
+        assert got == want
