@@ -4,7 +4,10 @@ DataFrame functions only. A host is a trusted (blocked) seed if rules allow (blo
 is personalised PageRank from trusted seeds along links, distrust the same from blocked seeds against them. A host is
 blocked if its distrust reaches THRESHOLD and exceeds its trust. Scores are whole numbers in units of 1 / SCALE, so
 they don't depend on the order in which tasks add. Links are taken once for each pair of hosts; a host's links to
-itself don't count.
+itself don't count. Propagation starts from the restart mass and goes on until no score changes by more than TOLERANCE,
+a millionth of THRESHOLD; as a round's changes sum to at most 85 % of the last one's, that takes a number of rounds
+logarithmic in the seeds' total mass. sql() stops after ROUNDS rounds from the full seed mass and so differs from judge()
+where scores have not settled by then.
 """
 
 from __future__ import annotations
@@ -16,8 +19,11 @@ from .common import written
 
 SCALE = 10**12
 DAMPING = 85  # per cent
-ROUNDS = 8
+ROUNDS = 8  # of sql()
 THRESHOLD = SCALE // 100
+#: Largest change of a host's score at which propagation stops.
+TOLERANCE = THRESHOLD // 10**6
+MOST_ROUNDS = 1000
 #: Most rules that are put into one expression.
 MOST_RULES = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,17 +50,23 @@ def match(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column
     return rule, verdict
 
 
-def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: int = DAMPING) -> DataFrame:
-    """(kind, host, score) after some rounds. links: (kind, source, target, degree), seeds: (kind, host, mass)."""
+def propagate(links: DataFrame, seeds: DataFrame, tolerance: int = TOLERANCE, damping: int = DAMPING) -> DataFrame:
+    """(kind, host, score), settled. links: (kind, source, target, degree), seeds: (kind, host, mass)."""
     base = seeds.select("kind", "host", F.expr(f"mass * {100 - damping} DIV 100").alias("score"))
-    now = seeds.select("kind", "host", F.col("mass").alias("score"))
-    for n in range(rounds):
-        sent = links.join(now.withColumnRenamed("host", "source"), ["kind", "source"])
+    now = written(base, "scores")
+
+    def after(scores: DataFrame) -> DataFrame:
+        sent = links.join(scores.withColumnRenamed("host", "source"), ["kind", "source"])
         sent = sent.groupBy("kind", F.col("target").alias("host")).agg(F.sum(F.expr(f"(score DIV degree) * {damping} DIV 100")).alias("score"))
-        now = sent.unionByName(base).groupBy("kind", "host").agg(F.sum("score").alias("score")).where("score > 0")
-        if n % 2:
-            now = written(now, "scores")
-    return now
+        return sent.unionByName(base).groupBy("kind", "host").agg(F.sum("score").alias("score")).where("score > 0")
+
+    for _ in range(MOST_ROUNDS):  # two rounds, the second compared with the first
+        was = written(after(now), "scores")
+        now = written(after(was), "scores")
+        change = now.alias("x").join(was.alias("y"), ["kind", "host"], "full").select(F.max(F.abs(F.coalesce("x.score", F.lit(0)) - F.coalesce("y.score", F.lit(0))))).first()[0]
+        if (change or 0) <= tolerance:
+            return now
+    raise RuntimeError("scores did not settle")
 
 
 def judge(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
