@@ -28,7 +28,7 @@ from .common import small_batches
 
 POSITIVES, NEGATIVES, CHARACTERS = 1500, 2500, 12_000_000
 FOLDS = 5
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16  # neighbours share half, so a passage of up to 17 words lies whole in a window
 WORDS, GRAMS = 30_000, 30_000
 DIMENSIONS, HIDDEN, ATTENTION = 8, 8, 8
 EPOCHS, BATCH, RATE = 8, 128, 0.01

@@ -14,6 +14,12 @@ def test_windows_cover_every_word():
         assert all(b - a <= T.STRIDE for a, b in zip(s, s[1:], strict=False))
 
 
+def test_passages_lie_whole_in_a_window():
+    for n in range(17, 200):
+        s = T.starts(n)
+        assert all(any(a <= i and i + 17 <= a + T.WINDOW for a in s) for i in range(n - 16))
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(1)
     net = T.Network([np.concatenate(([0], rng.normal(size=9)))] * 2)
