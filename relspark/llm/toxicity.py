@@ -7,7 +7,7 @@ probability. Labels stand for whole texts: a toxic one needs one toxic window, s
 network finds most toxic, from both classes, and begins with log-odds of words and grams as first vectors.
 
 Training reads a bounded sample: at most POSITIVES and NEGATIVES labelled rows in the order of a hash of the key, and
-CHARACTERS of text. Rows whose crc32 of the key as text is divisible by FOLDS are held out and never learnt from. The
+CHARACTERS of text in all; a text is taken whole or, where it doesn't fit into the rest of them, left out. Rows whose crc32 of the key as text is divisible by FOLDS are held out and never learnt from. The
 network is sent to the executors by a broadcast of at most WORDS + GRAMS vectors.
 """
 
@@ -390,9 +390,17 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str)
     some = [known.where(f"_y = {y}").orderBy(F.xxhash64("_k"), "_k").limit(most) for y, most in ((1, POSITIVES), (0, NEGATIVES))]
     some = some[0].unionByName(some[1])  # at most POSITIVES + NEGATIVES rows
     rows = docs.select(key, text).join(F.broadcast(some), F.col(key) == F.col("_k"))
-    read = F.substring(F.coalesce(F.col(text).cast("string"), F.lit("")), 1, CHARACTERS // 100)
+    read = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = rows.select(F.col(key).cast("string").alias("k"), read.alias("t"), F.col("_y").alias("y"))
-    return rows.orderBy(F.xxhash64("k"), "y").limit(POSITIVES + NEGATIVES), (ones or 0) / max(n, 1)
+    order = lambda df: df.orderBy(F.xxhash64("k"), "y", "n").limit(POSITIVES + NEGATIVES)
+    chosen, size = set(), 0
+    for r in order(rows.select("k", "y", F.char_length("t").alias("n"))).collect():  # lengths first: only texts that fit are moved
+        if size + r.n <= CHARACTERS:
+            chosen.add((r.k, r.y, r.n))
+            size += r.n
+    fit = docs.sparkSession.createDataFrame(sorted(chosen), "k string, y int, n int")
+    rows = rows.withColumn("n", F.char_length("t")).join(F.broadcast(fit), ["k", "y", "n"], "left_semi")
+    return order(rows).select("k", "t", "y"), (ones or 0) / max(n, 1)
 
 
 def trained(rows: DataFrame, ones: float) -> bytes:
@@ -402,9 +410,9 @@ def trained(rows: DataFrame, ones: float) -> bytes:
         kept, size = [], 0
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                size += len(r[1])
-                if size <= CHARACTERS:
+                if size + len(r[1]) <= CHARACTERS:
                     kept.append(r)
+                    size += len(r[1])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(kept, ones))], pa.binary())], names=["model"])
 
     found = rows.coalesce(1).mapInArrow(fit, "model binary").first()
