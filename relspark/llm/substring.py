@@ -1,11 +1,10 @@
-"""Repeated passages by a relative Lempel-Ziv parse against every block of the corpus.
-
-The reference is the corpus itself. Each window of WINDOW words has an anchor: its leftmost GRAM-word gram of least
-hash, which only depends on the window's words. Consecutive windows with the same anchor are a stretch; stretches are
-the reference's index, dealt by anchor into blocks. A document is parsed greedily: a factor goes on over each next
-stretch that the reference holds elsewhere, whole. Where an anchor occurs with several stretches, a factor begins or
-ends inside, and there it is checked window by window against all reference stretches of that anchor. A factor of at
-least WINDOW words is a duplicate span. (A factor may change its source on the way, which covers the same words.)
+"""Repeated passages by counts of stretches and windows over the whole corpus.
+
+Each window of WINDOW words has an anchor: its leftmost GRAM-word gram of least hash, which only depends on the window's
+words. Consecutive windows with the same anchor are a stretch. Stretches are counted by anchor and hash of their content;
+where an anchor occurs with several stretches, the windows of these are counted one by one. The union of the windows that
+occur elsewhere is the duplicate spans. No greedy parse into factors against reference blocks is made: a factor of at
+least WINDOW words covers the same words as the repeated windows in it.
 
 Equal windows have equal anchors, so none is missed. Windows are taken as equal by two 64-bit hashes, that of the
 anchor's words and that of all words.
