@@ -4,8 +4,7 @@ Documents are dealt into batches. A batch explodes into its n-grams, counts them
 block of hashes and counts (delta-coded: about four bytes an n-gram, where a row of its own would take forty). A bucket
 joins the blocks of all batches into its part of the count table and answers each block in its own order; a batch then
 joins the answers to its n-grams and sums the scores per document. N-grams frequent everywhere come once from each
-batch, so no bucket is hot. Hashes have SPARE bits more than it takes to number the corpus's n-grams, so at every size
-an n-gram shares its count with another in less than one of 2 ** SPARE cases.
+batch, so no bucket is hot. Hashes have 64 bits.
 
 With c(g) the occurrences of g in all other rows, N their words, the score of a word is c(uvw) / c(uv) if c(uvw) > 0,
 else BACKOFF * c(vw) / c(v) if c(vw) > 0, else BACKOFF ** 2 * max(c(w), UNSEEN) / max(N, 1); a text's first words have
@@ -29,7 +28,6 @@ BACKOFF = 0.4
 UNSEEN = 0.5
 BATCH_BYTES = 8_000_000
 BUCKET_GRAMS = 4_000_000
-SPARE = 24
 
 SQL = """
 WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -128,11 +126,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     size, words = (x or 0 for x in docs.agg(F.sum(F.octet_length("t")), F.sum(count)).first())
     batches = max(1, math.ceil(size / BATCH_BYTES))
     buckets = max(1, math.ceil(3 * words / BUCKET_GRAMS))
-    bits = min(64, max(40, math.ceil(math.log2(3 * words + 1)) + SPARE))
     docs = docs.withColumn("batch", F.pmod(F.xxhash64("k", F.substring("t", 1, 64)), F.lit(batches)).cast("int"))
 
     def ask(t: pa.Table) -> pa.Table:
-        g = Grams(t.column("t").cast(pa.binary()).to_pylist(), bits)
+        g = Grams(t.column("t").cast(pa.binary()).to_pylist())
         edge, counts = g.buckets(buckets), g.counts()
         used = np.flatnonzero(np.diff(edge))
         rows = [(squeeze(np.diff(g.uniq[edge[b] : edge[b + 1]], prepend=np.uint64(0))), squeeze(counts[edge[b] : edge[b + 1]])) for b in used]
@@ -149,7 +146,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         return pa.Table.from_arrays([t.column("batch"), t.column("bucket"), pa.array([squeeze(p.astype(np.uint64)) for p in parts], pa.binary())], names=["batch", "bucket", "totals"])
 
     def total(left: pa.Table, right: pa.Table) -> pa.Table:
-        g = Grams(left.column("t").cast(pa.binary()).to_pylist(), bits)
+        g = Grams(left.column("t").cast(pa.binary()).to_pylist())
         order = np.argsort(right.column("bucket").to_numpy())
         got = right.column("totals").to_pylist()
         totals = np.concatenate([np.zeros(0, np.uint64), *[expand(got[i]) for i in order]])

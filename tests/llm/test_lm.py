@@ -51,3 +51,9 @@ def test_sql(spark, sf):
     got = sorted((r.doc_id, r.n_words, r.n_trigrams, r.n_bigrams, round(r.log_score, 4)) for r in lm.score(docs).collect())
     assert [g[:4] for g in got] == [w[:4] for w in want]
     assert all(abs(g[4] - w[4]) < 1e-3 for g, w in zip(got, want, strict=True))
+
+
+def test_words_of_hashes_near_each_other_have_their_own_counts(spark):
+    docs = [(0, "w815044 a"), (1, "w2798805 b"), (2, "w622996 c"), (3, "w158630 d")]  # pairs that agree on 40 bits
+    got = sorted((r.doc_id, r.n_words, r.n_trigrams, r.n_bigrams, round(r.log_score, 6)) for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == slow(docs)
