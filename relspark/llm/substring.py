@@ -219,7 +219,8 @@ def parse(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                 yield pa.RecordBatch.from_arrays([a, s, b.column(0).take(pa.array(np.concatenate(row))), at], names=["anchor", "stretch", "id", "at"])
 
     every = written(docs.select("id", "t").mapInArrow(index, "anchor long, stretch long, id long, at long"), "stretches")
-    again = every.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("stretch") == F.max("stretch")).alias("same")).where("n > 1").select("anchor", "same")
+    again = every.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("stretch") == F.max("stretch")).alias("same")).where("n > 1")
+    again = written(again.select("anchor", "same"), "again")  # a join of two shuffled tables splits hot anchors
     found = written(every.join(again, "anchor"), "repeated")
     mixed = found.where("NOT same").drop("same")
     kinds = written(mixed.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("one")), "kinds")
@@ -232,6 +233,8 @@ def parse(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         names = ["anchor", "id", "at", "ask", "words"]
         for b in batches:
             for t, e, i in zip(b.column(2).cast(pa.binary()), b.column(4), b.column(0).to_pylist(), strict=True):
+                if not e.is_valid:
+                    continue
                 words = (t.as_py() or b"").split()
                 hashes = np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
                 at, anchor, ask = (e.values.field(n) for n in range(3))
@@ -245,7 +248,7 @@ def parse(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         """The words of one stretch of each content of these anchors. The join deals the texts as the last one does, so that they are shuffled once."""
         check = kinds.join(of, "anchor").select("one.id", F.struct("one.at", "anchor", (F.col("n") == 1).alias("ask")).alias("e"))
         check = check.groupBy("id").agg(F.collect_list("e").alias("e"))  # at most the stretches of one text
-        return docs.join(check, "id").select("id", "k", "t", "c", "e").mapInArrow(contents, "anchor long, id long, at long, ask boolean, words binary")
+        return docs.join(check, "id", "left").select("id", "k", "t", "c", "e").mapInArrow(contents, "anchor long, id long, at long, ask boolean, words binary")
 
     def factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parsed(cols: list) -> pa.RecordBatch:
