@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from relspark.operators.graph import connected_components
 from relspark.operators.storage import new_folder, shared_dir, written
 
-__all__ = ["cell_blocks", "connected_components", "new_folder", "partitions", "shared_dir", "small_batches", "table", "written"]
+__all__ = ["cell_blocks", "connected_components", "new_folder", "partitions", "ranges", "shared_dir", "small_batches", "table", "written"]
 
 #: Most rows of (cell, blocks) that are broadcast, some megabytes.
 BROADCAST_CELLS = 100_000
+#: Bytes of the tables read for each range, and the size that the planner gives to tables that it knows nothing about.
+RANGE_BYTES, UNKNOWN_BYTES = 128 << 20, 1 << 60
 #: Bytes that separate words: space and TAB, LF, VT, FF, CR. bytes.split() splits at exactly these.
 WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
 
@@ -30,6 +32,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def ranges(df: DataFrame) -> int:
+    """Ranges to deal a table's texts into: as many as the session's partitions, more where the files read are large."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    least = partitions(df.sparkSession)
+    return least if size >= UNKNOWN_BYTES else max(least, size // RANGE_BYTES)
+
+
 def cell_blocks(rows: DataFrame, identity: list[str], most: int) -> DataFrame:
     """rows with i, j, side: within a cell, what has the same (i, j) is compared, side 1 with side 2, or side 0 with itself.
 

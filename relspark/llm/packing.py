@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hf
-from .common import partitions, small_batches, written
+from .common import ranges, small_batches, written
 
 DIMENSIONS = 4
 BITS = 12
@@ -86,10 +86,10 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int | None
     width, kind = hf.width(tokenizer), docs.schema[key].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, end, table = hf.encoder(tokenizer), b"" if end_id is None else np.array([end_id], "<u4").tobytes(), None
+        encoded, end, table = hf.text_encoder(tokenizer), b"" if end_id is None else np.array([end_id], "<u4").tobytes(), None
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            ids = [np.frombuffer(x + end, "<u4") for x in chunks(b.column(1).to_pylist())]
+            ids = [np.frombuffer(x + end, "<u4") for x in encoded(b.column(1).to_pylist())]
             table = np.asfortranarray(projection(1 << (8 * width if width == 2 else 20))) if table is None else table
             place = keys([x % len(table) for x in ids] if width > 2 else ids, table)
             data = [squeeze(x.astype(f"<u{width}").tobytes()) for x in ids]
@@ -140,6 +140,6 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int | None
                     sequence += 1
         yield batch()
 
-    n = partitions(spark)
+    n = ranges(coded)
     ordered = coded.repartitionByRange(n, "place", key).sortWithinPartitions("place", key).select(key, "data")
     return ordered.mapInArrow(cut, f"`{key}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

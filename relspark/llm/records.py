@@ -1,7 +1,7 @@
 """Token ids in length-delimited binary record files with a separate offset index.
 
 File: 16-byte header (magic, id width), then frames: length (8 bytes), its masked CRC-32 (4), payload, the payload's
-masked CRC-32 (4); all little-endian. A payload is the document's key (8 bytes) and its ids. The index beside it holds
+masked CRC-32 (4); all little-endian. A payload is a byte that says whether there is a key, the document's key (8 bytes) and its ids. The index beside it holds
 the offset of each frame and the end of the last, with a masked CRC-32, so that any record is read by one seek.
 A partition writes under a name of its attempt and renames at the end: a task that runs again replaces its file.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hf
-from .common import partitions, small_batches
+from .common import ranges, small_batches
 
 MAGIC = b"RSPKREC1"
 HEADER = len(MAGIC) + 8
@@ -70,7 +70,7 @@ class RecordFile:
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
-    def __getitem__(self, i: int) -> tuple[int, np.ndarray]:
+    def __getitem__(self, i: int) -> tuple[int | None, np.ndarray]:
         """(key, ids) of record i."""
         self.file.seek(int(self.offsets[i]))
         return parse(read_frame(self.file), self.width)
@@ -79,15 +79,16 @@ class RecordFile:
         self.file.close()
 
 
-def parse(payload: bytes, width: int) -> tuple[int, np.ndarray]:
-    return struct.unpack_from("<q", payload)[0], np.frombuffer(payload, f"<u{width}", offset=8)
+def parse(payload: bytes, width: int) -> tuple[int | None, np.ndarray]:
+    known, key = struct.unpack_from("<?q", payload)
+    return key if known else None, np.frombuffer(payload, f"<u{width}", offset=9)
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = None, key: str = "doc_id", text: str = "text") -> list[tuple[str, int, int]]:
     """Encodes whole texts and writes them in ascending order of the key, a file for each range of keys.
 
     Null and empty texts are records with the end id only. Rows of one key stand together in an order that depends
-    on their texts alone. Null keys are refused. Returns (uri, records, ids) by file, in order: bounded by the number
+    on their texts alone; those without a key come first. Returns (uri, records, ids) by file, in order: bounded by the number
     of files, not of documents.
     """
     spark = docs.sparkSession
@@ -108,10 +109,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = Non
             out.write(MAGIC + bytes([width]) + bytes(7))
             for b in batches:
                 for k, ids in zip(b.column(0).to_pylist(), chunks(b.column(1).to_pylist()), strict=True):
-                    if k is None:
-                        raise ValueError("a document without a key")
                     every = np.frombuffer(ids + end, "<u4")
-                    data = frame(struct.pack("<q", k) + every.astype(f"<u{width}").tobytes())
+                    data = frame(struct.pack("<?q", k is not None, k or 0) + every.astype(f"<u{width}").tobytes())
                     out.write(data)
                     offsets.append(at)
                     at += len(data)
@@ -123,7 +122,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = Non
             where.move(f"{own}.{kind}", f"{name}.{kind}")
         yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int32()), "records": [len(offsets)], "ids": [total]})
 
-    n = partitions(spark)
+    n = ranges(docs)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
     rows = rows.repartitionByRange(n, F.col("k"), F.xxhash64("t")).sortWithinPartitions("k", F.xxhash64("t"))
     files = rows.mapInArrow(run, "part int, records long, ids long").collect()

@@ -6,17 +6,17 @@ its states, and a logit comes out. A text is scored by the largest logit of its
 probability. Labels stand for whole texts: a toxic one needs one toxic window, so training takes the window that the
 network finds most toxic, from both classes, and begins with log-odds of words and grams as first vectors.
 
-Training reads a bounded sample: at most POSITIVES and NEGATIVES labelled rows in the order of a hash of the key, and
-CHARACTERS of text in all; a text is taken whole or, where it doesn't fit into the rest of them, left out. Rows whose crc32 of the key as text is divisible by FOLDS are held out and never learnt from. The
-network is sent to the executors by a broadcast of at most WORDS + GRAMS vectors.
+Training reads a bounded sample: at most POSITIVES and NEGATIVES labelled rows in the order of a hash of the key, and of
+these rows whole texts, each turned into numbers of its words as it comes. Rows whose crc32 of the key as text is divisible
+by FOLDS are held out and never learnt from. The network is sent to the executors by a broadcast of at most WORDS + GRAMS
+vectors.
 """
 
 from __future__ import annotations
 
 import pickle
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import small_batches
 
-POSITIVES, NEGATIVES, CHARACTERS = 1500, 2500, 12_000_000
+POSITIVES, NEGATIVES = 3000, 3000
 FOLDS = 5
 WINDOW, STRIDE = 32, 16  # neighbours share half, so a passage of up to 17 words lies whole in a window
 WORDS, GRAMS = 30_000, 30_000
@@ -54,24 +54,49 @@ def starts(n: int, window: int = WINDOW, stride: int = STRIDE) -> list[int]:
     return [*range(0, n - window, stride), n - window]
 
 
+class Numbered:
+    """Texts as numbers of their words, which are kept once each."""
+
+    def __init__(self) -> None:
+        self.of: dict[str, int] = {}
+        self.texts: list[np.ndarray] = []
+
+    def add(self, text: str | None) -> None:
+        words, of = (text or "").split(), self.of
+        self.texts.append(np.fromiter((of.setdefault(w, len(of)) for w in words), np.int32, len(words)))
+
+    @property
+    def words(self) -> list[str]:
+        return list(self.of)
+
+
+def occurrences(texts: list[np.ndarray], kinds: np.ndarray, most: int) -> np.ndarray:
+    """Number of texts that hold each kind (most of them). kinds: the kinds of each word by its number, -1 for none."""
+    out = np.zeros(most + 1, np.int64)
+    for t in texts:
+        out[np.unique(kinds[np.unique(t)])] += 1
+    return out[:most]
+
+
 class Vocabulary:
     """Vectors' rows of words and grams; row 0 is the zero vector of all that is unknown."""
 
-    def __init__(self, texts: list[list[str]], labels: np.ndarray) -> None:
+    def __init__(self, numbered: Numbered, texts: list[np.ndarray], labels: np.ndarray) -> None:
         self.rows: list[dict[str, int]] = []
         self.odds: list[np.ndarray] = []
         pos, neg = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-        for parts, most in ((lambda ws: set(ws), WORDS), (lambda ws: {g for w in set(ws) for g in grams(w)}, GRAMS)):
-            seen = (Counter(), Counter())
-            for ws, y in zip(texts, labels.tolist(), strict=True):
-                seen[y].update(parts(ws))
-            keys = [k for k, n in (seen[0] + seen[1]).items() if n >= 3]
-            a = np.array([seen[1][k] for k in keys], float)
-            b = np.array([seen[0][k] for k in keys], float)
+        for parts, most in ((lambda w: [w], WORDS), (grams, GRAMS)):
+            of: dict[str, int] = {}
+            kinds = np.full((max(1, len(numbered.of)), 6), -1, np.int32)
+            for n, w in enumerate(numbered.of):
+                for j, x in enumerate(parts(plain(w))):
+                    kinds[n, j] = of.setdefault(x, len(of))
+            b, a = (occurrences([t for t, y in zip(texts, labels, strict=True) if y == k], kinds, len(of)) for k in (0, 1))
+            names = list(of)
             lo = np.log((a + 0.5) / (pos + 1)) - np.log((b + 0.5) / (neg + 1))
             lo *= (a + b) / (a + b + 4)
-            best = sorted(range(len(keys)), key=lambda i: (-abs(lo[i]), keys[i]))[:most]
-            self.rows.append({keys[i]: n + 1 for n, i in enumerate(best)})
+            best = sorted(np.flatnonzero(a + b >= 3).tolist(), key=lambda i: (-abs(lo[i]), names[i]))[:most]
+            self.rows.append({names[i]: n + 1 for n, i in enumerate(best)})
             self.odds.append(np.concatenate(([0.0], lo[best])))
 
     def index(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -266,9 +291,15 @@ class Scorer:
         """Largest window logit of each text; NaN without words."""
         if self.used > self.KEPT:
             self.clear()
-        out = np.full(len(texts), np.nan)
         index = self.index([w for t in texts for w in t])
         ends = np.cumsum([0, *map(len, texts)])
+        return self.logits_of([index[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
+
+    def logits_of(self, texts: list[np.ndarray]) -> np.ndarray:
+        """The same of texts by rows of the gate tables."""
+        out = np.full(len(texts), np.nan)
+        index = np.concatenate([np.zeros(0, np.int64), *texts])
+        ends = np.cumsum([0, *map(len, texts)])
         rows, first, size = [], [], []
         for i, t in enumerate(texts):
             for s in starts(len(t)):
@@ -315,58 +346,53 @@ def fit_line(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
     return float(a), float(b)
 
 
-def train(sample: list[tuple[str, str, int]], rate_of_ones: float, epochs: int = EPOCHS) -> Scorer | None:
-    """Fits on (key, text, label) rows; every fifth of the sample, by hash, only sets the map to probabilities."""
-    labels = np.array([y for _, _, y in sample], np.int64)
-    check = np.array([zlib.crc32(b"check" + k.encode()) % 5 == 0 for k, _, _ in sample], bool)
+def train(sample: Iterable[tuple[str, str | None, int]], rate_of_ones: float, epochs: int = EPOCHS) -> Scorer | None:
+    """Fits on (key, text, label) rows, read once; every fifth of them, by hash, only sets the map to probabilities."""
+    numbered, marks = Numbered(), []
+    for k, t, y in sample:
+        numbered.add(t)
+        marks.append((y, zlib.crc32(b"check" + k.encode()) % 5 == 0))
+    labels, check = np.array([m[0] for m in marks], np.int64), np.array([m[1] for m in marks], bool)
     if (labels[~check] == 1).sum() < 3 or (labels[~check] == 0).sum() < 3:
         return None
-    one: dict[str, str] = {}  # each distinct word once in memory
-    raw = [[one.setdefault(w, w) for w in (t or "").split()] for _, t, _ in sample]
-    bare = {w: one.setdefault(p, p) for w in list(one) for p in (plain(w),)}
-    fit = np.flatnonzero(~check & np.array([bool(r) for r in raw]))
-    texts = [[bare[w] for w in raw[i]] for i in fit]
+    fit = np.flatnonzero(~check & np.array([len(t) > 0 for t in numbered.texts]))
+    texts = [numbered.texts[i] for i in fit]
     y = labels[fit]
-    vocabulary = Vocabulary(texts, y)
+    vocabulary = Vocabulary(numbered, texts, y)
     network = Network(vocabulary.odds)
     rng = np.random.default_rng(11)
-    index = [vocabulary.index(t) for t in texts]
-    begins = [starts(len(t)) for t in texts]
-    half = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    row, gram_rows = vocabulary.index([plain(w) for w in numbered.of])  # by the word's number
+    begins = [np.array(starts(len(t)), np.int32) for t in texts]
     chosen = []
-    for (w, _), b in zip(index, begins, strict=True):
-        heat = np.concatenate(([0.0], np.cumsum(np.maximum(vocabulary.odds[0][w], 0))))
-        chosen.append(max(b, key=lambda s, heat=heat: heat[min(s + WINDOW, len(heat) - 1)] - heat[s]))
-    scorer = None
+    for t, b in zip(texts, begins, strict=True):
+        heat = np.concatenate(([0.0], np.cumsum(np.maximum(vocabulary.odds[0][row[t]], 0))))
+        chosen.append(int(b[np.argmax(heat[np.minimum(b + WINDOW, len(t))] - heat[b])]))
+    every, ends = np.concatenate([np.zeros(0, np.int32), *texts]), np.cumsum([0, *map(len, texts)])
+    several = np.flatnonzero([len(b) > 1 for b in begins])
+    sizes = np.array([len(begins[i]) for i in several], np.int64)
+    windows = np.concatenate([np.zeros(0, np.int64), *(begins[i] + ends[i] for i in several)])
     for epoch in range(epochs):
         if epoch in (2, 4, 6):  # the window found most toxic stands for its text
             scorer = Scorer(vocabulary, network, (1.0, 0.0), 0.0)
-            flat = [(i, s) for i, b in enumerate(begins) for s in b if len(b) > 1]
-            ids = scorer.index([w for i in fit for w in raw[i]])
-            ends = np.cumsum([0, *(len(raw[i]) for i in fit)])
-            best: dict[int, tuple[float, int]] = {}
-            for at in range(0, len(flat), 2048):
-                part = flat[at : at + 2048]
-                cells = ids[np.array([ends[i] + s for i, s in part])[:, None] + np.arange(WINDOW)]
-                for (i, s), v in zip(part, scorer.windows(cells).tolist(), strict=True):
-                    if i not in best or v > best[i][0]:
-                        best[i] = (v, s)
-            for i, (_, s) in best.items():
-                chosen[i] = s
+            own = scorer.index(numbered.words).astype(np.int32)
+            heat = np.concatenate([scorer.windows(own[every[windows[at : at + 2048, None] + np.arange(WINDOW)]]) for at in range(0, len(windows), 2048)] or [np.zeros(0)])
+            for i, a, n in zip(several.tolist(), np.cumsum(sizes) - sizes, sizes, strict=True):
+                chosen[i] = int(begins[i][np.argmax(heat[a : a + n])])
         order = rng.permutation(len(fit))
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
             word, gram, mask = np.zeros((len(some), WINDOW), np.int64), np.zeros((len(some), WINDOW, 6), np.int64), np.zeros((len(some), WINDOW), bool)
             for k, i in enumerate(some):
                 s = chosen[i] if rng.random() < 0.8 or y[i] else begins[i][rng.integers(len(begins[i]))]
-                w, g = index[i][0][s : s + WINDOW], index[i][1][s : s + WINDOW]
-                word[k, : len(w)], gram[k, : len(w)], mask[k, : len(w)] = w, g, True
-                drop = rng.random(len(w)) < 0.3  # learn to read words by their characters, too
-                word[k, : len(w)][drop] = 0
+                part = texts[i][s : s + WINDOW]
+                word[k, : len(part)], gram[k, : len(part)], mask[k, : len(part)] = row[part], gram_rows[part], True
+                drop = rng.random(len(part)) < 0.3  # learn to read words by their characters, too
+                word[k, : len(part)][drop] = 0
             _, grad = network.gradients(word, gram, mask, y[some])
             network.step(grad, RATE * (1 - 0.8 * epoch / epochs))
     scorer = Scorer(vocabulary, network, (1.0, 0.0), 0.0)
-    x = scorer.logits(raw)
+    own = scorer.index(numbered.words).astype(np.int32)
+    x = np.concatenate([scorer.logits_of([own[t] for t in numbered.texts[at : at + 64]]) for at in range(0, len(labels), 64)])
     ones = labels.mean()
     weight = np.where(labels == 1, rate_of_ones / max(ones, 1e-9), (1 - rate_of_ones) / max(1 - ones, 1e-9))
     use = check & ~np.isnan(x)
@@ -383,7 +409,7 @@ def held_out(key: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[DataFrame, float]:
-    """The bounded training sample (k, t, y), and the share of ones among all labelled rows that may be learnt from."""
+    """The training sample (k, t, y), bounded by its rows, and the share of ones among all labelled rows that may be learnt from."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).where(~held_out(F.col(key)))
     known = known.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
     n, ones = known.agg(F.count("*"), F.sum("_y")).first()
@@ -392,28 +418,15 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str)
     rows = docs.select(key, text).join(F.broadcast(some), F.col(key) == F.col("_k"))
     read = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = rows.select(F.col(key).cast("string").alias("k"), read.alias("t"), F.col("_y").alias("y"))
-    order = lambda df: df.orderBy(F.xxhash64("k"), "y", "n").limit(POSITIVES + NEGATIVES)
-    chosen, size = set(), 0
-    for r in order(rows.select("k", "y", F.char_length("t").alias("n"))).collect():  # lengths first: only texts that fit are moved
-        if size + r.n <= CHARACTERS:
-            chosen.add((r.k, r.y, r.n))
-            size += r.n
-    fit = docs.sparkSession.createDataFrame(sorted(chosen), "k string, y int, n int")
-    rows = rows.withColumn("n", F.char_length("t")).join(F.broadcast(fit), ["k", "y", "n"], "left_semi")
-    return order(rows).select("k", "t", "y"), (ones or 0) / max(n, 1)
+    return rows.orderBy(F.xxhash64("k"), "y", "t").limit(POSITIVES + NEGATIVES), (ones or 0) / max(n, 1)
 
 
 def trained(rows: DataFrame, ones: float) -> bytes:
     """The pickled scorer (or None), trained in one task over the bounded sample, which spares the driver's memory."""
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, size = [], 0
-        for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size + len(r[1]) <= CHARACTERS:
-                    kept.append(r)
-                    size += len(r[1])
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(kept, ones))], pa.binary())], names=["model"])
+        sample = (r for b in batches for at in range(0, len(b), 16) for r in zip(*(c.to_pylist() for c in b.slice(at, 16).columns), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(sample, ones))], pa.binary())], names=["model"])
 
     found = rows.coalesce(1).mapInArrow(fit, "model binary").first()
     return bytes(found.model) if found else pickle.dumps(None)

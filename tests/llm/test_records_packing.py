@@ -43,6 +43,8 @@ def test_records_round_trip(spark, tmp_path):
     opened = [records.RecordFile(f) for f, _, _ in files]
     seeks = [f[i] for f in opened for i in reversed(range(len(f)))]
     assert sorted(k for k, _ in seeks) == sorted(d[0] for d in DOCS)
+    nulls = records.write(df.limit(0).unionByName(spark.createDataFrame([(None, "b", ""), (-5, "a", ""), (None, None, "")], df.schema)), WORD, f"file://{tmp_path}/n", end_id=2)
+    assert [r.key for r in records.read(spark, nulls).orderBy("start").collect()] == [None, None, -5]
     bad = tmp_path / "r" / next(f.rsplit("/", 1)[1] for f, n, _ in files if n)
     data = bytearray(bad.read_bytes())
     data[records.HEADER + 14] ^= 1
@@ -81,3 +83,14 @@ def test_packing_holds_each_id_once(spark):
         total = sum(p.length for p in s)
         assert total <= 1024 and total & (total - 1) == 0
     assert packing.pack(df.where("false"), BYTE, 1024, 0).count() == 0
+
+
+def test_ranks_give_the_librarys_ids():
+    rng = random.Random(3)
+    letters = "aB é \n\t'sré1２ ,.!?ß日本  \x85\x1c😀  "
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    texts += ["", "a" * 5000 + " b", "a" * 4000, " " * 300 + "x", " " * 255 + "x", "\n" * 200, "<|endoftext|>"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = P.path(name)
+        assert hf.text_encoder(path)([None, *texts]) == [b"", *hf.by_library(hf.library(path), texts)]
+    assert not isinstance(hf.text_encoder(BYTE), hf.Chunks)
