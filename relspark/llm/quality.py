@@ -1,27 +1,41 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 Each text gets counts in one pass without a shuffle. Rules are rates that junk has much of; a rule rejects from a
-cutoff on. Cutoffs come from labelled rows: for each stratum and rule the cutoffs are tested from the mildest on, and
-testing stops at the first that fails. A cutoff passes if a binomial test rejects "it turns away at least RISK of the
-good rows": P(Bin(n, RISK) <= k) <= LEVEL / (strata * rules), k of the n good labelled rows being turned away. This is
-the exact (Clopper-Pearson) upper bound below RISK; Bonferroni covers strata and rules, the fixed order covers the
-grid. So with probability 1 - LEVEL no stratum loses more than RISK of its good rows to any rule. Among the cutoffs
-that pass, the one is taken that turns away most bad rows, each good row counting COST times; ties go to the mildest.
-Strata with too few labels to certify anything keep their rows.
+cutoff on. Labelled rows that the base rules keep are split by the MD5 of the key as text: a quarter of them learn, the
+rest is the holdout. Learning rows give a path of ever stricter rule sets: step t has, for each rule, the lowest cutoff of
+the grid that turns away at most SHARES[t] thousandths of the good ones, if its gain there (bad rows turned away, each good
+one counting COST times) is positive. The holdout certifies the steps: from the mildest on, a step passes if a binomial test rejects "its
+rules together turn away at least RISK of the good rows": P(Bin(n, RISK) <= k) <= LEVEL / groups, k of the n good holdout
+rows being turned away by any rule. This is the exact (Clopper-Pearson) upper bound below RISK; testing stops at the first
+step that fails (fixed sequence), Bonferroni covers the groups. So with probability 1 - LEVEL no group loses more than RISK
+of its good rows to all rules together. Of the steps that pass, the one of largest gain on both parts is taken, ties going to the
+mildest, and none without gain.
+
+A stratum with enough good holdout rows to certify anything, if none is turned away, is a group of its own. Smaller ones
+take the rules of the group of all labelled rows: the limit then holds for all rows taken together, not for the small stratum alone. Strata
+without any labelled row keep their rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_SEPARATORS, written
 
-RISK = 0.005
+RISK = 0.02
 LEVEL = 0.05
 COST = 5
+#: Keys whose MD5 comes before it learn: a quarter.
+LEARN = "4"
+#: False rejections of a rule among learning rows, in thousandths, by step.
+SHARES = [0, 1, 2, 3, 5, 8, 12, 20]
 #: Grid of cutoffs of every rule, in thousandths.
 GRID = [5, 10, 20, 30, 40, 50, 75, 100, 150, 200, 250, 300, 400, 500, 600, 700, 800, 900, 1000]
+#: The group of all rows, for strata too small for one of their own.
+POOL = "*"
 #: Rules: thousandths by name.
 RULES = {
     "symbols": "1000 * n_symbols DIV greatest(word_chars, 1)",
@@ -43,12 +57,19 @@ f AS (SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_
   FROM t LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
 v AS (SELECT doc_id, lang, base_failed, unnest([{", ".join(f"{{'rule': '{n}', 'v': {e.replace(' DIV ', ' // ')}}}" for n, e in RULES.items())}], recursive := true) FROM b),
-q AS (SELECT lang, rule, cutoff, count(*) FILTER (WHERE quality = 1) AS n, count(*) FILTER (WHERE quality = 1 AND v >= cutoff) AS k, count(*) FILTER (WHERE quality = 0 AND v >= cutoff) AS bad
-  FROM v JOIN labels USING (doc_id) CROSS JOIN (SELECT unnest({GRID}) AS cutoff) WHERE NOT base_failed AND quality IN (0, 1) GROUP BY ALL),
-p AS (SELECT *, CASE WHEN k >= n * {RISK} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1 - {RISK})))) END AS tail, (SELECT count(DISTINCT lang) FROM q) AS strata FROM q),
-s AS (SELECT *, sum(CASE WHEN tail > {LEVEL} / (strata * {len(RULES)}) THEN 1 ELSE 0 END) OVER (PARTITION BY lang, rule ORDER BY cutoff DESC) AS failed FROM p),
-g AS (SELECT lang, rule, max_by(cutoff, (bad - {COST} * k) * 10000 + cutoff) AS cutoff, max(bad - {COST} * k) AS gain FROM s WHERE failed = 0 GROUP BY 1, 2),
-broken AS (SELECT v.doc_id, string_agg(v.rule, ',' ORDER BY list_position({list(RULES)}, v.rule)) AS broken FROM v JOIN g ON g.lang = v.lang AND g.rule = v.rule WHERE g.gain > 0 AND v.v >= g.cutoff GROUP BY 1)
+o AS (SELECT doc_id, row_number() OVER () AS r, lang, quality = 1 AS good, md5(CAST(doc_id AS VARCHAR)) < '{LEARN}' AS learn FROM b JOIN labels USING (doc_id) WHERE NOT base_failed AND quality IN (0, 1)),
+z AS (SELECT lang, count(*) FILTER (WHERE good AND NOT learn) AS n FROM o GROUP BY 1),
+y AS (SELECT {LEVEL} / (count(*) + 1) AS level FROM z),
+own AS (SELECT lang, CASE WHEN pow(1 - {RISK}, n) <= level THEN 's' || lang ELSE '{POOL}' END AS grp FROM z, y),
+x2 AS (SELECT lang, grp FROM own UNION SELECT lang, '{POOL}' FROM z),
+c AS (SELECT grp, rule, cutoff, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND v >= cutoff) AS k, count(*) FILTER (WHERE NOT good AND v >= cutoff) AS bad
+  FROM o JOIN x2 USING (lang) JOIN v USING (doc_id) CROSS JOIN (SELECT unnest({GRID}) AS cutoff) WHERE learn GROUP BY ALL),
+p AS (SELECT grp, rule, t, arg_min(cutoff, cutoff) AS cutoff, arg_min(bad - {COST} * k, cutoff) AS gain FROM c CROSS JOIN (SELECT unnest({SHARES}) AS share, unnest(range({len(SHARES)})) AS t) WHERE 1000 * k <= share * n GROUP BY ALL),
+h AS (SELECT r, x2.grp, good, learn, d.t, bool_or(coalesce(v.v >= p.cutoff, false)) AS hit FROM o JOIN x2 USING (lang) CROSS JOIN (SELECT unnest(range({len(SHARES)})) AS t) d JOIN v ON v.doc_id = o.doc_id LEFT JOIN p ON p.grp = x2.grp AND p.t = d.t AND p.rule = v.rule AND p.gain > 0 GROUP BY ALL),
+q AS (SELECT grp, t, count(*) FILTER (WHERE good AND NOT learn) AS n, count(*) FILTER (WHERE good AND hit AND NOT learn) AS k, count(*) FILTER (WHERE NOT good AND hit) - {COST} * count(*) FILTER (WHERE good AND hit) AS gain FROM h GROUP BY ALL),
+s AS (SELECT grp, t, gain, CASE WHEN k >= n * {RISK} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1 - {RISK})))) END <= level AS ok FROM q, y),
+g AS (SELECT grp, arg_max(t, gain * 1000 - t) AS t FROM (SELECT *, bool_and(ok) OVER (PARTITION BY grp ORDER BY t) AS passed FROM s) WHERE passed AND gain > 0 GROUP BY 1),
+broken AS (SELECT v.doc_id, string_agg(DISTINCT v.rule, ',' ORDER BY list_position({list(RULES)}, v.rule)) AS broken FROM v JOIN own USING (lang) JOIN g USING (grp) JOIN p ON p.grp = g.grp AND p.t = g.t AND p.rule = v.rule AND p.gain > 0 WHERE v.v >= p.cutoff GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND broken IS NULL AS kept, coalesce(broken, '') AS broken FROM b LEFT JOIN broken USING (doc_id)
 """
 
@@ -92,55 +113,75 @@ def base_failed() -> Column:
 
 
 def tail(k: str, n: str, p: float) -> Column:
-    """P(Bin(n, p) <= k), summed in logarithms; 1 where k is at least n * p, where it can't be small."""
-    import math
-
-    odds = math.log(p / (1 - p))
-    first = f"{n} * {math.log1p(-p)!r}D"
-    step = f"a.t + ln(CAST({n} - j AS DOUBLE)) - ln(CAST(j + 1 AS DOUBLE)) + {odds!r}D"
-    add = "greatest(a.s, a.t) + log1p(exp(-abs(a.s - a.t)))"
-    total = f"aggregate(sequence(0L, {k}), struct({first} AS t, -1.0e308D AS s), (a, j) -> struct(IF(j < {n}, {step}, -1.0e308D) AS t, {add} AS s), a -> exp(a.s))"
+    """P(Bin(n, p) <= k); 1 where k is at least n * p, where it can't be small.
+
+    Summed from the largest term down, over so many terms (in proportion to the standard deviation) that the rest is nothing.
+    """
+    gamma = lambda x: f"(({x} + 7.5D) * ln({x} + 8.0D) - ({x} + 8.0D) + {0.5 * math.log(2 * math.pi)!r}D + 1 / (12 * ({x} + 8.0D)) - 1 / (360 * pow({x} + 8.0D, 3)) + 1 / (1260 * pow({x} + 8.0D, 5)) - ln({x} + 0.0D) - ln({x} + 1.0D) - ln({x} + 2.0D) - ln({x} + 3.0D) - ln({x} + 4.0D) - ln({x} + 5.0D) - ln({x} + 6.0D) - ln({x} + 7.0D))"  # noqa: E731  of its logarithm
+    top = f"{gamma(f'({n} + 1)')} - {gamma(f'({k} + 1)')} - {gamma(f'({n} - {k} + 1)')} + {k} * {math.log(p)!r}D + ({n} - {k}) * {math.log1p(-p)!r}D"
+    down = f"ln(CAST(greatest({k} - i, 1) AS DOUBLE)) - ln(CAST({n} - {k} + i + 1 AS DOUBLE)) + {math.log1p(-p) - math.log(p)!r}D"
+    terms = f"least({k}, CAST(50 + 12 * sqrt({n} * {p!r}D) AS BIGINT))"
+    total = f"aggregate(sequence(0L, {terms}), struct({top} AS t, 0.0D AS s), (a, i) -> struct(a.t + {down} AS t, a.s + exp(a.t) AS s), a -> a.s)"
     return F.expr(f"CASE WHEN {k} >= {n} * {p!r}D THEN 1.0D ELSE {total} END")
 
 
 def thresholds(features: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", label: str = "quality", risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """(stratum, rule, cutoff) of the certified rules. labels: (key, label), 1 good, 0 bad, null ignored.
+    """(stratum, cutoffs: map of rule to cutoff) of the strata with certified rules. labels: (key, label), 1 good, 0 bad, null ignored.
 
-    A key's several labels count as that many rows. The tests see every labelled row that base rules keep.
+    A key's several labels count as that many rows. A row for each stratum at most; what is counted is pre-aggregated.
     """
-    known = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_good"))
-    rules = F.array(*[F.struct(F.lit(n).alias("rule"), F.expr(e).cast("long").alias("v")) for n, e in RULES.items()])
-    cells = features.where(~base_failed()).join(known, features[key] == F.col("_key"))
-    cells = cells.select(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), "_good", F.explode(rules).alias("r"))
-    rank = F.expr(f"size(filter(array({', '.join(map(str, GRID))}), c -> c <= r.v))")
-    cells = cells.groupBy("stratum", "r.rule", rank.alias("rank")).agg(F.sum("_good").alias("good"), F.sum(1 - F.col("_good")).alias("bad"))
-    grid = F.posexplode(F.array(*map(F.lit, GRID))).alias("at", "cutoff")
-    sums = cells.groupBy("stratum", "rule").agg(F.sum("good").alias("n"), F.collect_list(F.struct("rank", "good", "bad")).alias("cells"))  # at most a cell for each rank
-    sums = written(sums, "cells")
-    strata = max(1, sums.select("stratum").distinct().count())
+    known = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), (F.col(label) == 1).alias("good"), (F.md5(F.col(key).cast("string").cast("binary")) < LEARN).alias("learn"))
+    values = F.array(*[F.expr(e).cast("long") for e in RULES.values()])
+    known = features.where(~base_failed()).join(known, features[key] == F.col("_key")).select(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), "good", "learn", values.alias("v"))
+    known = written(known, "known")
+    strata = written(known.groupBy("stratum").agg(F.count_if(F.expr("good AND NOT learn")).alias("n")), "strata")
+    found = strata.count()
+    level /= found + 1
+    own = F.pow(F.lit(1 - risk), "n") <= level
+    groups = strata.select("stratum", F.when(own, F.concat(F.lit("s"), "stratum")).otherwise(POOL).alias("group"))
+    small = lambda df: F.broadcast(df) if found <= BROADCAST_ROWS else df
+    known = known.join(small(groups), "stratum").withColumn("group", F.explode(F.array_distinct(F.array("group", F.lit(POOL)))))
+
+    rank = F.expr(f"transform(v, x -> size(filter(array({', '.join(map(str, GRID))}), c -> c <= x)))")
+    cells = known.where("learn").select("group", "good", F.posexplode(rank).alias("rule", "rank")).groupBy("group", "rule", "rank").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    cells = cells.groupBy("group", "rule").agg(F.sum("good").alias("n"), F.collect_list(F.struct("rank", "good", "bad")).alias("cells"))  # at most a cell for each rank
     above = lambda what: f"aggregate(cells, 0L, (a, c) -> IF(c.rank > at, a + c.{what}, a))"
-    tests = sums.select("stratum", "rule", "n", "cells", grid).withColumns({"k": F.expr(above("good")), "bad": F.expr(above("bad"))})
-    tests = tests.withColumn("fails", (tail("k", "n", risk) > F.lit(level / (strata * len(RULES)))).cast("int"))
-    mildest_first = Window.partitionBy("stratum", "rule").orderBy(F.desc("at"))
-    tests = tests.withColumn("failed", F.sum("fails").over(mildest_first)).where("failed = 0")
-    gain = F.col("bad") - COST * F.col("k")
-    best = tests.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct(gain, F.col("at"))).alias("cutoff"), F.max(gain).alias("gain"))
-    return best.where("gain > 0").select("stratum", "rule", "cutoff")
+    cutoffs = F.transform(F.array(*map(F.lit, GRID)), lambda c, i: F.struct(c.alias("cutoff"), i.alias("at")))
+    at = cells.select("group", "rule", "n", "cells", F.inline(cutoffs)).withColumns({"k": F.expr(above("good")), "bad": F.expr(above("bad"))})
+    steps = at.select("group", "rule", "cutoff", "k", "bad", F.inline(F.array(*[F.struct(F.lit(t).alias("t"), F.expr(f"1000 * k <= {share} * n").alias("fits")) for t, share in enumerate(SHARES)])))
+    steps = steps.where("fits").groupBy("group", "rule", "t").agg(F.min(F.struct("cutoff", (F.col("bad") - COST * F.col("k")).alias("gain"))).alias("best"))
+    steps = steps.where("best.gain > 0").select("group", F.struct("t", "rule", "best.cutoff").alias("s"))
+    path = written(steps.groupBy("group").agg(F.collect_list("s").alias("path")), "path")  # at most a cutoff for each rule and step
+
+    hits = [F.expr(f"exists(path, s -> s.t = {t} AND v[s.rule] >= s.cutoff)") for t in range(len(SHARES))]
+    judged = known.join(small(path), "group").select("group", "good", "learn", *[h.alias(f"h{t}") for t, h in enumerate(hits)])
+    sums = judged.groupBy("group").agg(
+        F.count_if(F.expr("good AND NOT learn")).alias("n"),
+        F.array(*[F.struct(F.lit(t).alias("t"), F.count_if(F.expr(f"good AND NOT learn AND h{t}")).alias("k"), (F.count_if(F.expr(f"NOT good AND h{t}")) - COST * F.count_if(F.expr(f"good AND h{t}"))).alias("gain")) for t in range(len(SHARES))]).alias("steps"),
+    )
+    tests = sums.select("group", "n", F.inline("steps")).withColumn("fails", (tail("k", "n", risk) > F.lit(level)).cast("int"))
+    mildest_first = Window.partitionBy("group").orderBy("t")  # a row for each step
+    passed = tests.withColumn("failed", F.sum("fails").over(mildest_first)).where("failed = 0 AND gain > 0")
+    chosen = passed.groupBy("group").agg(F.max_by("t", F.struct("gain", -F.col("t"))).alias("t")).join(path, "group")
+    names = ", ".join(f"'{n}'" for n in RULES)
+    chosen = chosen.select("group", F.expr(f"map_from_entries(transform(filter(path, s -> s.t = chosen_t), s -> struct(array({names})[s.rule] AS rule, s.cutoff AS cutoff)))".replace("chosen_t", "t")).alias("cutoffs"))
+    return groups.join(chosen, "group").select("stratum", "cutoffs")
 
 
-def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", label: str = "quality") -> DataFrame:
-    """Key, stratum, counts, base_failed, the rules that a row breaks, and kept, one row for each row of docs.
+def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", label: str = "quality", carry: list[str] | None = None) -> DataFrame:
+    """Key, stratum, counts, base_failed, the rules that a row breaks, and kept, one row for each row of docs, and columns to carry.
 
     Null, empty and word-less texts have no words and fail the base rules. Rows with a null stratum form a stratum
-    of their own, as do rows whose stratum has no labels (they keep what base rules keep). Repeated rows are judged
-    alike. Columns of docs besides these three are ignored.
+    of their own, as do rows whose stratum has no labels (they keep what base rules keep). Rows with a null key have no
+    label and are judged like others. Repeated rows are judged alike. Other columns of docs are ignored.
     """
-    features = written(counts(docs.select(F.col(key), F.col(stratum).alias("lang"), F.col(text).alias("text")), "text"), "counts")
-    found = written(thresholds(features, labels, key, "lang", label), "thresholds")
-    by_stratum = found.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))  # at most one of each rule
-    if found.count() <= BROADCAST_ROWS:
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(carry or [])])
+    features = written(counts(docs.select(F.col(key), F.col(stratum).alias("lang"), F.col(text).alias("text"), rest.alias("_carry")), "text"), "counts")
+    by_stratum = written(thresholds(features, labels, key, "lang", label), "thresholds")
+    if by_stratum.count() <= BROADCAST_ROWS:
         by_stratum = F.broadcast(by_stratum)
     out = features.withColumn("_s", F.coalesce(F.col("lang").cast("string"), F.lit(""))).join(by_stratum, F.col("_s") == F.col("stratum"), "left")
     broken = F.array(*[F.when(F.expr(e) >= F.element_at("cutoffs", F.lit(n)), F.lit(n)) for n, e in RULES.items()])
     out = out.withColumns({"base_failed": base_failed(), "broken": F.concat_ws(",", broken)})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("broken") == "")).drop("_s", "stratum", "cutoffs")
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("broken") == "")).drop("_s", "stratum", "cutoffs")
+    return out.select(*[c for c in out.columns if c != "_carry"], *[F.col(f"_carry.c{n}").alias(c) for n, c in enumerate(carry or [])])

@@ -27,10 +27,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cell_blocks, connected_components, small_batches, written
+from .common import cell_blocks, connected_components, partitions, small_batches, written
 from .substring import mix
 
 RADIUS = 4
@@ -95,23 +96,22 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
-def set_fingerprints(docs: DataFrame, key: str, text: str, k: int, bits: int = WIDE) -> DataFrame:
-    """(key, f0, ..., s0, s1, size): fingerprint, 128-bit hash and size of each document's set of shingles."""
+def set_fingerprints(docs: DataFrame, row: str, text: str, k: int, bits: int = WIDE) -> DataFrame:
+    """(row, f0, ..., s0, s1, size): fingerprint, 128-bit hash and size of each document's set of shingles."""
     small_batches(docs.sparkSession)
     names = [*(f"f{n}" for n in range(bits // 64)), "s0", "s1", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for x in b.column(1).cast(pa.binary()).to_pylist():
-                hashes = np.unique(shingles(x, k))
+            for x in b.column(1).cast(pa.binary()):
+                hashes = np.unique(shingles(x.as_py(), k))
                 whole = xxhash.xxh3_128_intdigest(hashes.tobytes(), SEED)
                 rows.append([*widened(hashes, bits), whole >> 64, whole & int(ONES), len(hashes)])
             columns = np.array(rows, np.uint64).reshape(-1, len(names)).T
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns)], names=[key, *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns)], names=[row, *names])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(row, F.col(text).cast("string")).mapInArrow(run, f"`{row}` long, " + ", ".join(f"{n} long" for n in names))
 
 
 class Counter:
@@ -357,47 +357,71 @@ def links(reps: DataFrame, cells: list[Column], radius: int, similarity: float |
     return rows.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, similarity: float) -> DataFrame:
-    """pairs (a, b) with ok: whether the exact Jaccard similarity of the sets of shingles reaches the wanted one."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
+def held_texts(pairs: DataFrame, docs: DataFrame, row: str, text: str) -> DataFrame:
+    """(id, words): the compressed words of each text of a pair, read once for all comparisons."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias(row)).distinct()
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            out = [np.unique(shingles(x, k)).tobytes() for x in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(out, pa.binary())], names=["id", "shingles"])
+            out = [compress(b" ".join((x.as_py() or b"").lower().split())) for x in b.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "words"])
+
+    small_batches(docs.sparkSession)
+    # The texts are dealt at every size, whether or not the ids would fit into a broadcast.
+    return written(docs.select(row, F.col(text).cast("string")).join(ids.hint("merge"), row, "left_semi").mapInArrow(squeeze, "id long, words binary"), "held")
+
+
+def verified(pairs: DataFrame, held: DataFrame, k: int, similarity: float) -> DataFrame:
+    """pairs (a, b) with ok: whether the exact Jaccard similarity of the sets of shingles reaches the wanted one.
+
+    Both texts of a pair travel to the pair, so a text of very many pairs is compared in many tasks.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both > 0 and both / (len(x) + len(y) - both) >= similarity)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
-
-    small_batches(docs.sparkSession, 64)
-    held = docs.select(key, F.col(text).cast("string")).join(ids, key, "left_semi").mapInArrow(sets, "id long, shingles binary")
-    held = written(held, "sets")
-    both = pairs.join(held.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(held.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    out = written(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, ok boolean"), "verified")
-    return out.groupBy("a", "b").agg(F.max("ok").alias("ok"))
+        expand, last = zstandard.ZstdDecompressor().decompress, (None, None, None)
+        kept: tuple = (None, None)
+        for batch in batches:
+            a, b, ok = [], [], []
+            for x, y, i, words in zip(*(batch.column(n).to_pylist() for n in range(3)), batch.column(3), strict=True):
+                if i != kept[0] or i == y:
+                    own = np.unique(shingles(expand(words.as_buffer()), k))
+                    kept = (i, own) if i == x else kept
+                else:
+                    own = kept[1]
+                if last[:2] != (x, y):
+                    last = (x, y, own)
+                    continue
+                other = last[2]
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                a.append(x)
+                b.append(y)
+                ok.append(both > 0 and both / (len(own) + len(other) - both) >= similarity)
+                last = (None, None, None)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+
+    small_batches(pairs.sparkSession)
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id")).join(held.hint("merge"), "id").select("a", "b", "id", "words")
+    sides = sides.repartition(partitions(pairs.sparkSession), "a", "b").sortWithinPartitions("a", "b", "id")
+    return written(sides.mapInArrow(compare, "a long, b long, ok boolean"), "verified")
 
 
 def candidates(reps: DataFrame, cells: list[Column], similarity: float) -> DataFrame:
     """Distinct candidate pairs (a < b)."""
-    small_batches(reps.sparkSession, 1 << 14)
+    small_batches(reps.sparkSession)
     found = links(reps, cells, similar_radius(similarity), similarity)
     return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
 
 
-def similar_components(docs: DataFrame, key: str, text: str, k: int, similarity: float) -> DataFrame:
-    """(key, f0, ..., component_id) over links of that exact Jaccard similarity."""
-    fps = written(set_fingerprints(docs, key, text, k), "fingerprints")
-    names = [c for c in fps.columns if c.startswith("f") and c != key]
-    classes = written(fps.groupBy("s0", "s1", "size", *names).agg(F.min(key).alias("rep")), "classes")
+def similar_components(docs: DataFrame, row: str, text: str, k: int, similarity: float) -> DataFrame:
+    """(row, f0, ..., component) over links of that exact Jaccard similarity. row: a unique long; component: a row of it."""
+    fps = written(set_fingerprints(docs, row, text, k), "fingerprints")
+    names = [c for c in fps.columns if c.startswith("f") and c != row]
+    classes = written(fps.groupBy("s0", "s1", "size", *names).agg(F.min(row).alias("rep")), "classes")
     reps, cells = classes.select("rep", "size", *names), band_cells(classes.count(), similarity)
-    judged = verified(candidates(reps, cells, similarity), docs, key, text, k, similarity)
+    found = candidates(reps, cells, similarity)
+    held = held_texts(found, docs, row, text)
+    judged = verified(found, held, k, similarity)
     edges = judged.where("ok").select("a", "b")
     failed = judged.where("NOT ok").select("a", "b")
     if not failed.isEmpty():  # a forest without failed edges spans all candidates
@@ -408,29 +432,51 @@ def similar_components(docs: DataFrame, key: str, text: str, k: int, similarity:
         apart = label(reps, "rep").withColumnRenamed("rep_label", "label").join(ends, "label", "left_semi")
         apart = written(apart.select("rep", "size", "label", *names), "apart")
         rest = candidates(apart, cells, similarity).join(failed, ["a", "b"], "left_anti")
-        edges = edges.unionByName(verified(written(rest, "rest"), docs, key, text, k, similarity).where("ok").select("a", "b"))
+        edges = edges.unionByName(verified(written(rest, "rest"), held, k, similarity).where("ok").select("a", "b"))
     labels = connected_components(edges).withColumnRenamed("node", "rep")
-    classes = classes.join(labels, "rep", "left").select("s0", "s1", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(classes, ["s0", "s1"]).select(key, *names, "component_id")
+    classes = classes.join(labels, "rep", "left").select("s0", "s1", F.coalesce("component", "rep").alias("component"))
+    return fps.join(classes, ["s0", "s1"]).select(row, *names, "component")
 
 
 def components(fps: DataFrame, key: str) -> DataFrame:
-    """fps with component_id, the smallest key reachable over links."""
-    names = [c for c in fps.columns if c != key]
-    reps = written(fps.groupBy(*names).agg(F.min(key).alias("rep")), "classes")
-    small_batches(fps.sparkSession, 1 << 14)
-    labels = connected_components(links(reps, field_cells(), RADIUS)).withColumnRenamed("node", "rep")
-    classes = reps.join(labels, "rep", "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(classes, names)
+    """fps with component_id, the smallest key reachable over links. Classes of equal fingerprints are the nodes."""
+    classes = written(fps.groupBy("f0").agg(F.min(key).alias("least")), "classes")
+    small_batches(fps.sparkSession)
+    nodes = classes.select("f0", F.col("f0").alias("rep"))
+    labels = connected_components(links(nodes, field_cells(), RADIUS)).withColumnRenamed("node", "f0")
+    classes = written(classes.join(labels, "f0", "left").withColumn("component", F.coalesce("component", "f0")), "labels")
+    least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    return fps.join(classes.select("f0", "component").join(least, "component").drop("component"), "f0").select(*fps.columns, "component_id")
+
+
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """docs, written, with a unique long for each row."""
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, similarity: float | None = None) -> DataFrame:
     """(key, f0, ..., component_id) for each row: component_id is the smallest key reachable over links.
 
     Without a similarity, plan "exact" over 64 bits; with one, plan "similar" over WIDE bits. Null, empty and
-    word-less texts have fingerprint 0 and are linked to each other; in plan "exact" like any other fingerprint. Keys
-    must be unique longs that aren't null; other columns are ignored. An empty table gives no rows.
+    word-less texts have fingerprint 0 and are linked to each other; in plan "exact" like any other fingerprint. Each row
+    is a document of its own, whatever its key: rows with a null key are linked like others, and their component_id is
+    null only if the whole component has no key; a repeated key has a row for each of its rows. Other columns are
+    ignored. An empty table gives no rows.
     """
-    if similarity is not None:
-        return similar_components(docs, key, text, k, similarity)
-    return components(written(fingerprints(docs, key, text, k), "fingerprints"), key)
+    if similarity is None:
+        return components(written(fingerprints(docs, key, text, k), "fingerprints"), key)
+    rows = numbered(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "row")
+    groups = written(similar_components(rows, "row", "text", k, similarity).join(rows.select("row", "key"), "row"), "groups")
+    least = groups.groupBy("component").agg(F.min("key").alias("component_id"))
+    return groups.join(least, "component").drop("row", "component").select(F.col("key").alias(key), *[c for c in groups.columns if c not in ("row", "component", "key")], "component_id")
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs that stay: of each component the one with the smallest key (null last), then the smallest hash of its text."""
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    rows = numbered(docs, row)
+    groups = similar_components(rows, row, text, k, similarity).join(rows.select(row, F.col(key).alias("key"), F.xxhash64(text).alias("own")), row)
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "own", row)).alias("first"))
+    return rows.join(first.select(F.col(f"first.{row}").alias(row)).hint("merge"), row, "left_semi").select(*docs.columns)

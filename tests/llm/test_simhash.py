@@ -5,6 +5,8 @@ import pytest
 import xxhash
 
 from relspark.llm import simhash
+from pyspark.sql import functions as F
+
 from relspark.llm.common import connected_components
 
 
@@ -91,6 +93,17 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
     assert simhash.near_duplicates(df.where("false")).count() == 0
 
 
+def test_null_and_repeated_keys(spark):
+    long = lambda n, at=0: " ".join(f"w{i + at}" for i in range(n))
+    rows = [(None, long(90)), (7, long(90)), (3, long(90)), (3, long(60, 500)), (None, long(70, 900)), (None, long(70, 900)), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for how in ({}, {"k": 5, "similarity": 0.8}):
+        got = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(df, **how).collect()]
+        assert sorted(got, key=str) == sorted([(None, 3), (7, 3), (3, 3), (3, 3), (None, None), (None, None), (9, 9)], key=str)
+    left = simhash.representatives(df.withColumn("row", F.lit("own"))).collect()
+    assert sorted(((r.doc_id, r.text, r.row) for r in left), key=str) == sorted([(3, long(90), "own"), (3, long(60, 500), "own"), (None, long(70, 900), "own"), (9, None, "own")], key=str)
+
+
 def test_similar_sets_are_linked(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
