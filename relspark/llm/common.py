@@ -38,7 +38,7 @@ def partitions(spark: SparkSession) -> int:
 def ranges(df: DataFrame) -> int:
     """Ranges to deal a table's texts into: as many as the session's partitions, more where the files read are large."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     least = partitions(df.sparkSession)
     return least if size >= UNKNOWN_BYTES else max(least, size // RANGE_BYTES)
 

@@ -301,30 +301,34 @@ def similar_radius(similarity: float, bits: int = WIDE) -> int:
     return math.floor(bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p)))
 
 
-def band_cells(n: int, similarity: float, bits: int = WIDE) -> list[Column]:
-    """Cells by bands of fixed pseudo-random bits."""
+def with_bands(reps: DataFrame, n: int, similarity: float, bits: int = WIDE) -> DataFrame:
+    """reps with their cells by bands of fixed pseudo-random bits, for n classes."""
     length = min(30, max(12, round(math.log2(max(n, 2))) - 6))
     bands = math.ceil(math.log(MISS) / math.log(1 - (1 - apart(similarity)) ** length))
     rng = random.Random(17)
-    bit = lambda i, k: F.shiftleft(F.shiftrightunsigned(f"f{i >> 6}", i & 63).bitwiseAND(F.lit(1)), k)
-    out = []
-    for n in range(bands):
-        key = F.lit(n << length).cast("long")
-        for k, i in enumerate(rng.sample(range(bits), length)):
-            key = key + bit(i, k)
-        out.append(key)
-    return out
+    places = np.array([rng.sample(range(bits), length) for _ in range(bands)])
+    names = [f"f{i}" for i in range(bits // 64)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = np.stack([b.column(name).to_numpy() for name in names], axis=1).view(np.uint64)
+            plane = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+            cells = (plane[:, places] << np.arange(length)).sum(axis=2) + (np.arange(bands) << length)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, bands, dtype=np.int32)), pa.array(cells.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, "cells"])
+
+    return reps.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reps.schema) + ", cells array<long>")
 
 
-def links(reps: DataFrame, cells: list[Column], radius: int, similarity: float | None = None) -> DataFrame:
-    """Edges (a, b) that span the components of distinct fingerprints (f0, ..., rep) within the radius.
+def links(reps: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
+    """Edges (a, b) that span the components of distinct fingerprints (f0, ..., rep, cells) within the radius.
 
     With a similarity, reps have sizes too and edges are candidates; if reps have labels, all pairs of unequal ones.
     """
     own = [c for c in ("size", "label") if c in reps.columns and similarity is not None]
-    fields = [c for c in reps.columns if c not in ("rep", *own)]
+    fields = [c for c in reps.columns if c not in ("rep", "cells", *own)]
     names = [*own, *fields]
-    rows = reps.select("rep", *names, F.explode(F.array(*cells)).alias("cell"))
+    rows = reps.select("rep", *names, F.explode("cells").alias("cell"))
     rows = cell_blocks(rows, ["rep"] if own else fields, HOT).select("cell", "i", "j", "side", "rep", *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,10 +410,10 @@ def verified(pairs: DataFrame, held: DataFrame, k: int, similarity: float) -> Da
     return written(sides.mapInArrow(compare, "a long, b long, ok boolean"), "verified")
 
 
-def candidates(reps: DataFrame, cells: list[Column], similarity: float) -> DataFrame:
+def candidates(reps: DataFrame, similarity: float) -> DataFrame:
     """Distinct candidate pairs (a < b)."""
     small_batches(reps.sparkSession)
-    found = links(reps, cells, similar_radius(similarity), similarity)
+    found = links(reps, similar_radius(similarity), similarity)
     return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
 
 
@@ -418,8 +422,8 @@ def similar_components(docs: DataFrame, row: str, text: str, k: int, similarity:
     fps = written(set_fingerprints(docs, row, text, k), "fingerprints")
     names = [c for c in fps.columns if c.startswith("f") and c != row]
     classes = written(fps.groupBy("s0", "s1", "size", *names).agg(F.min(row).alias("rep")), "classes")
-    reps, cells = classes.select("rep", "size", *names), band_cells(classes.count(), similarity)
-    found = candidates(reps, cells, similarity)
+    reps, n = classes.select("rep", "size", *names), classes.count()
+    found = candidates(with_bands(reps, n, similarity), similarity)
     held = held_texts(found, docs, row, text)
     judged = verified(found, held, k, similarity)
     edges = judged.where("ok").select("a", "b")
@@ -431,7 +435,7 @@ def similar_components(docs: DataFrame, row: str, text: str, k: int, similarity:
         ends = ends.select(F.explode(F.array("a_label", "b_label")).alias("label")).distinct()
         apart = label(reps, "rep").withColumnRenamed("rep_label", "label").join(ends, "label", "left_semi")
         apart = written(apart.select("rep", "size", "label", *names), "apart")
-        rest = candidates(apart, cells, similarity).join(failed, ["a", "b"], "left_anti")
+        rest = candidates(with_bands(apart, n, similarity), similarity).join(failed, ["a", "b"], "left_anti")
         edges = edges.unionByName(verified(written(rest, "rest"), held, k, similarity).where("ok").select("a", "b"))
     labels = connected_components(edges).withColumnRenamed("node", "rep")
     classes = classes.join(labels, "rep", "left").select("s0", "s1", F.coalesce("component", "rep").alias("component"))
@@ -442,8 +446,8 @@ def components(fps: DataFrame, key: str) -> DataFrame:
     """fps with component_id, the smallest key reachable over links. Classes of equal fingerprints are the nodes."""
     classes = written(fps.groupBy("f0").agg(F.min(key).alias("least")), "classes")
     small_batches(fps.sparkSession)
-    nodes = classes.select("f0", F.col("f0").alias("rep"))
-    labels = connected_components(links(nodes, field_cells(), RADIUS)).withColumnRenamed("node", "f0")
+    nodes = classes.select("f0", F.col("f0").alias("rep"), F.array(*field_cells()).alias("cells"))
+    labels = connected_components(links(nodes, RADIUS)).withColumnRenamed("node", "f0")
     classes = written(classes.join(labels, "f0", "left").withColumn("component", F.coalesce("component", "f0")), "labels")
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     return fps.join(classes.select("f0", "component").join(least, "component").drop("component"), "f0").select(*fps.columns, "component_id")
