@@ -1,10 +1,11 @@
 """Quality rules, toxicity, SimHash near-dedup, substring dedup and packing, one after the other over documents.
 
-Every stage takes all that the one before it kept. Rows without a doc_id can't be referred to and leave in the first
-stage, with what the quality rules reject; toxic rows leave in the second; of near duplicates (five-word shingles, a
-similarity of 0.8 or more) the smallest doc_id stays, once; repeated passages are cut out of the texts that stay, which
-are otherwise unchanged (a text may become empty); the last stage packs all texts. Null and empty texts have no words
-and leave with the quality rules. Extra columns are kept up to the last stage. An empty table gives no rows.
+Every stage takes all that the one before it kept. What the quality rules reject leaves in the first stage, toxic rows
+leave in the second; of near duplicates (five-word shingles, a similarity of 0.8 or more) the row with the smallest doc_id
+stays. A null doc_id is no reason to leave: such rows are judged like others, have no labels, and stay where no row with a
+doc_id is near. Of rows with one doc_id each is a document of its own, and which of two near ones stays is told by their
+texts. Repeated passages are cut out of the texts that stay, which are otherwise unchanged (a text may become empty); the
+last stage packs all texts. Null and empty texts have no words and leave with the quality rules. Extra columns are kept up to the last stage. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,15 +17,9 @@ from relspark.llm import packing, quality, simhash, substring, toxicity
 from relspark.llm.common import new_folder, table
 
 
-def only(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is among the keys."""
-    return docs.join(keys.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.where("doc_id IS NOT NULL")
-    judged = quality.judge(docs.select("doc_id", "lang", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    return only(docs, judged.where("kept"))
+    judged = quality.judge(docs.withColumn("row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), table(spark, sf_dir, "labels").select("doc_id", "quality"), carry=["row"])
+    return judged.where("kept").select("row.*")
 
 
 def toxic_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +31,7 @@ def toxic_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"), k=5, similarity=0.8)
-    return only(docs, groups.where("doc_id = component_id")).dropDuplicates(["doc_id"])
+    return simhash.representatives(docs, k=5, similarity=0.8)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
