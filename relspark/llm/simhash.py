@@ -11,10 +11,12 @@ all fifteen pairs of fields miss none. A cell gives the edges of a spanning fore
 Plan "similar": WIDE bits of the set of shingles only find candidates, and documents are linked if the exact Jaccard
 similarity of their shingle sets reaches the wanted one. Rows are classes of equal sets. The radius is what all but one
 in a thousand pairs of that similarity keep; cells are bands of bits, as many as let all but one in a thousand such pairs
-share one. The length of a band grows with the logarithm of the number of classes. At first a cell gives a spanning
-forest of its candidates, the nearest first, and these pairs are verified. Where one fails, every candidate pair that
-verified links don't join yet is verified too, so no candidate's link is lost. (Candidates that are no links and that no
-links join are verified pair by pair: their number can grow with the square of a family of nearly similar texts.)
+share one. The length of a band grows with the logarithm of the number of classes. Large families are joined first, by as many
+pairs as they have members: a cell of over CROWD classes has a centre, and each class is verified with the nearest of the centres that it meets.
+Then a cell gives a spanning forest of the candidates that no links join yet, the nearest first, and these pairs are verified. Where
+one fails, every candidate pair that verified links don't join yet is verified too, so no candidate's link is lost.
+(Candidates that are no links and that no links join are verified pair by pair: their number can grow with the square of a family
+of nearly similar texts. In a cell, the members of its most frequent component are compared with the others only.)
 """
 
 from __future__ import annotations
@@ -31,12 +33,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cell_blocks, connected_components, partitions, small_batches, written
+from .common import BROADCAST_CELLS, cell_blocks, connected_components, partitions, small_batches, written
 from .substring import mix
 
 RADIUS = 4
 SEED = 42
 HOT = 4096
+#: Classes of a cell from which on they are first compared with its centre.
+CROWD = 256
 WIDE = 256
 #: Share of pairs at the wanted similarity that the bands may miss, and deviations that the radius allows (one in a thousand).
 MISS, DEVIATIONS = 0.001, 3.1
@@ -222,16 +226,32 @@ def edges_of_groups(group: np.ndarray, side: np.ndarray, fps: np.ndarray, rep: n
     return left, right
 
 
-def pairs_of_groups(group: np.ndarray, side: np.ndarray, fps: np.ndarray, rep: np.ndarray, radius: int, size: np.ndarray | None = None, similarity: float = 0.0, label: np.ndarray | None = None) -> Iterator[tuple[list, list]]:
+def most_frequent(group: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The most frequent label of each group. group: ascending numbers from 0."""
+    order = np.lexsort((label, group))
+    g, x = group[order], label[order]
+    first = np.concatenate(([0], np.flatnonzero((np.diff(g) != 0) | (np.diff(x) != 0)) + 1))
+    count = np.diff(np.concatenate((first, [len(g)])))
+    out = np.empty(int(g[-1]) + 1, label.dtype)
+    best = np.lexsort((count, g[first]))
+    out[g[first][best]] = x[first][best]  # the last of each group stays
+    return out
+
+
+def pairs_of_groups(group: np.ndarray, side: np.ndarray, fps: np.ndarray, rep: np.ndarray, radius: int, size: np.ndarray | None = None, similarity: float = 0.0, label: np.ndarray | None = None, every: bool = False) -> Iterator[tuple[list, list]]:
     """Edges in parts. With sizes, sets too unequal to be similar are left out and forests take the nearest pairs of a
-    part first; with labels, there are all pairs of unequal labels instead of forests, the smaller rep first."""
+    part first; with labels, forests join these, or there are all pairs of unequal labels, the smaller rep first."""
     if not len(group):
         return
     first = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1))
     length = np.diff(np.concatenate((first, [len(group)])))
     number = np.repeat(np.arange(len(first)), length)
-    lane = np.flatnonzero((side != 1) & (length[number] > 1))
-    query = np.flatnonzero((side != 2) & (length[number] > 1))
+    if label is None:
+        lane = np.flatnonzero((side != 1) & (length[number] > 1))
+        query = np.flatnonzero((side != 2) & (length[number] > 1))
+    else:  # of unequal labels, one isn't the most frequent of its group
+        lane = np.flatnonzero(length[number] > 1)
+        query = np.flatnonzero((length[number] > 1) & (label != most_frequent(number, label)[number]))
     lanes = np.bincount(number[lane], minlength=len(first))
     queries = np.bincount(number[query], minlength=len(first))
     lane_at, query_at = np.cumsum(lanes) - lanes, np.cumsum(queries) - queries
@@ -271,7 +291,7 @@ def pairs_of_groups(group: np.ndarray, side: np.ndarray, fps: np.ndarray, rep: n
             if label is not None:
                 use &= label[x] != label[y]
             x, y = x[use], y[use]
-            if label is not None:
+            if every:
                 a, c = rep[x], rep[y]
                 pairs = np.unique(np.stack([np.minimum(a, c), np.maximum(a, c)], axis=1), axis=0)
                 if len(pairs):
@@ -280,7 +300,8 @@ def pairs_of_groups(group: np.ndarray, side: np.ndarray, fps: np.ndarray, rep: n
             if size is not None:
                 order = np.argsort(np.bitwise_count(fps[x] ^ fps[y]).sum(axis=1, dtype=np.int64), kind="stable")
                 x, y = x[order], y[order]
-            edges = [e for e in zip(rep[x].tolist(), rep[y].tolist(), strict=True) if forest.join(*e)]
+            nodes = rep if label is None else label
+            edges = [(a, c) for a, c, p, q in zip(rep[x].tolist(), rep[y].tolist(), nodes[x].tolist(), nodes[y].tolist(), strict=True) if forest.join(p, q)]
             if edges:
                 yield [e[0] for e in edges], [e[1] for e in edges]
 
@@ -320,10 +341,10 @@ def with_bands(reps: DataFrame, n: int, similarity: float, bits: int = WIDE) ->
     return reps.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reps.schema) + ", cells array<long>")
 
 
-def links(reps: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
+def links(reps: DataFrame, radius: int, similarity: float | None = None, every: bool = False) -> DataFrame:
     """Edges (a, b) that span the components of distinct fingerprints (f0, ..., rep, cells) within the radius.
 
-    With a similarity, reps have sizes too and edges are candidates; if reps have labels, all pairs of unequal ones.
+    With a similarity, reps have sizes and labels too and edges are candidates that span these, or all of unequal labels.
     """
     own = [c for c in ("size", "label") if c in reps.columns and similarity is not None]
     fields = [c for c in reps.columns if c not in ("rep", "cells", *own)]
@@ -344,7 +365,7 @@ def links(reps: DataFrame, radius: int, similarity: float | None = None) -> Data
 
         def edges(number: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             side, rep, *rest = columns
-            more = dict(zip(own, rest, strict=False)) | ({"similarity": similarity} if own else {})
+            more = dict(zip(own, rest, strict=False)) | ({"similarity": similarity, "every": every} if own else {})
             fps = np.stack(rest[len(own) :], axis=1).view(np.uint64)
             for x, y in pairs_of_groups(number, side, fps, rep, radius, **more):
                 yield pa.RecordBatch.from_pydict({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
@@ -410,32 +431,63 @@ def verified(pairs: DataFrame, held: DataFrame, k: int, similarity: float) -> Da
     return written(sides.mapInArrow(compare, "a long, b long, ok boolean"), "verified")
 
 
-def candidates(reps: DataFrame, similarity: float) -> DataFrame:
+def candidates(reps: DataFrame, similarity: float, every: bool = False) -> DataFrame:
     """Distinct candidate pairs (a < b)."""
     small_batches(reps.sparkSession)
-    found = links(reps, similar_radius(similarity), similarity)
+    found = links(reps, similar_radius(similarity), similarity, every)
     return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
 
 
+def central_pairs(reps: DataFrame, similarity: float) -> DataFrame | None:
+    """Candidates (a < b) of classes in crowded cells with the nearest of their cells' centres; None if no cell is crowded."""
+    small_batches(reps.sparkSession)
+    names = [c for c in reps.columns if c != "cells"]
+    rows = reps.select(*names, F.explode("cells").alias("cell"))
+    crowded = written(rows.groupBy("cell").count().where(F.col("count") > CROWD).select("cell"), "crowded")
+    n = crowded.count()
+    if not n:
+        return None
+    small = lambda df: F.broadcast(df) if n <= BROADCAST_CELLS else df
+    rows = rows.join(small(crowded), "cell")
+    centres = rows.groupBy("cell").agg(F.min(F.struct(F.xxhash64("rep").alias("o"), *names)).alias("c"))
+    both = rows.join(small(written(centres, "centres")), "cell")
+    distance = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"c.{f}"))) for f in names if f.startswith("f")), F.lit(0))
+    alike = F.least("size", "c.size") >= F.greatest("size", "c.size") * (similarity * (1 - 1e-9))
+    both = both.where("rep <> c.rep").where(alike).select("rep", distance.alias("d"), F.col("c.rep").alias("b")).where(F.col("d") <= similar_radius(similarity))
+    nearest = both.groupBy("rep").agg(F.min(F.struct("d", "b")).alias("n"))
+    return written(nearest.select(F.least("rep", "n.b").alias("a"), F.greatest("rep", "n.b").alias("b")).distinct(), "central")
+
+
 def similar_components(docs: DataFrame, row: str, text: str, k: int, similarity: float) -> DataFrame:
     """(row, f0, ..., component) over links of that exact Jaccard similarity. row: a unique long; component: a row of it."""
     fps = written(set_fingerprints(docs, row, text, k), "fingerprints")
     names = [c for c in fps.columns if c.startswith("f") and c != row]
     classes = written(fps.groupBy("s0", "s1", "size", *names).agg(F.min(row).alias("rep")), "classes")
-    reps, n = classes.select("rep", "size", *names), classes.count()
-    found = candidates(with_bands(reps, n, similarity), similarity)
-    held = held_texts(found, docs, row, text)
+    reps = with_bands(classes.select("rep", "size", *names), classes.count(), similarity)
+
+    def labelled(labels: DataFrame | None, df: DataFrame, c: str, name: str) -> DataFrame:
+        if labels is None:
+            return df.withColumn(name, F.col(c))
+        return df.join(labels.select(F.col("node").alias(c), F.col("component").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
+
+    edges, held, labels = None, None, None
+    if (central := central_pairs(reps, similarity)) is not None:
+        held = held_texts(central.select("a", "b"), docs, row, text)
+        edges = verified(central, held, k, similarity).where("ok").select("a", "b")
+        labels = written(connected_components(edges), "labels")
+    found = candidates(labelled(labels, reps, "rep", "label"), similarity)
+    more = held_texts(found, docs if held is None else docs.join(held.select(F.col("id").alias(row)), row, "left_anti"), row, text)
+    held = more if held is None else held.unionByName(more)
     judged = verified(found, held, k, similarity)
-    edges = judged.where("ok").select("a", "b")
+    good = judged.where("ok").select("a", "b")
+    edges = good if edges is None else edges.unionByName(good)
     failed = judged.where("NOT ok").select("a", "b")
     if not failed.isEmpty():  # a forest without failed edges spans all candidates
         labels = written(connected_components(edges), "labels")
-        label = lambda df, c: df.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label")), c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
-        ends = label(label(failed, "a"), "b").where("a_label <> b_label")
-        ends = ends.select(F.explode(F.array("a_label", "b_label")).alias("label")).distinct()
-        apart = label(reps, "rep").withColumnRenamed("rep_label", "label").join(ends, "label", "left_semi")
-        apart = written(apart.select("rep", "size", "label", *names), "apart")
-        rest = candidates(with_bands(apart, n, similarity), similarity).join(failed, ["a", "b"], "left_anti")
+        ends = labelled(labels, labelled(labels, failed, "a", "x"), "b", "y").where("x <> y")
+        ends = ends.select(F.explode(F.array("x", "y")).alias("label")).distinct()
+        apart = written(labelled(labels, reps, "rep", "label").join(ends, "label", "left_semi"), "apart")
+        rest = candidates(apart, similarity, every=True).join(failed, ["a", "b"], "left_anti")
         edges = edges.unionByName(verified(written(rest, "rest"), held, k, similarity).where("ok").select("a", "b"))
     labels = connected_components(edges).withColumnRenamed("node", "rep")
     classes = classes.join(labels, "rep", "left").select("s0", "s1", F.coalesce("component", "rep").alias("component"))

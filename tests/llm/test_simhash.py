@@ -156,7 +156,8 @@ def test_only_pairs_of_the_exact_similarity_are_linked(spark, monkeypatch):
             forest.join(a, b)
     want = {d: forest.root(d) for d in docs}
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    for hot in (4096, 3):
+    for hot, crowd in ((4096, 256), (3, 1)):
         monkeypatch.setattr(simhash, "HOT", hot)
+        monkeypatch.setattr(simhash, "CROWD", crowd)
         got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, k=5, similarity=0.8).collect()}
         assert got == want
