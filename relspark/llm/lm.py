@@ -1,6 +1,6 @@
 """Stupid-backoff scores of documents under the n-gram counts of all other documents.
 
-Documents are dealt into batches. A batch explodes into its n-grams, counts them, and sends each hash bucket a sorted
+Documents are gathered into batches, as they stand in their input partitions, and written compressed. A batch explodes into its n-grams, counts them, and sends each hash bucket a sorted
 block of hashes and counts (delta-coded: about four bytes an n-gram, where a row of its own would take forty). A bucket
 joins the blocks of all batches into its part of the count table and answers each block in its own order; a batch then
 joins the answers to its n-grams and sums the scores per document. N-grams frequent everywhere come once from each
@@ -14,14 +14,16 @@ no longer n-grams and start with the longest that they have, without a factor.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SEPARATORS
+from .common import small_batches, written
 from .substring import WORDS, mix
 
 BACKOFF = 0.4
@@ -121,22 +123,46 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     rows to each other. Other columns are ignored.
     """
     kind = docs.schema[key].dataType.simpleString()
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    count = F.size(F.array_remove(F.split("t", WORD_SEPARATORS, -1), ""))
-    size, words = (x or 0 for x in docs.agg(F.sum(F.octet_length("t")), F.sum(count)).first())
-    batches = max(1, math.ceil(size / BATCH_BYTES))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def whole() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            words = sum(len(x.as_py().split()) for x in t.column("t").cast(pa.binary()))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema) as out:
+                out.write_table(t)
+            data = zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
+            return pa.RecordBatch.from_pydict({"batch": pa.array([number], pa.int64()), "words": pa.array([words], pa.int64()), "texts": pa.array([data], pa.binary())})
+
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size >= BATCH_BYTES:
+                yield whole()
+                number, held, size = number + 1, [], 0
+        if held:
+            yield whole()
+
+    gathered = written(docs.mapInArrow(gather, "batch long, words long, texts binary"), "texts")
+    words = gathered.agg(F.sum("words")).first()[0] or 0
     buckets = max(1, math.ceil(3 * words / BUCKET_GRAMS))
-    docs = docs.withColumn("batch", F.pmod(F.xxhash64("k", F.substring("t", 1, 64)), F.lit(batches)).cast("int"))
-
-    def ask(t: pa.Table) -> pa.Table:
-        g = Grams(t.column("t").cast(pa.binary()).to_pylist())
-        edge, counts = g.buckets(buckets), g.counts()
-        used = np.flatnonzero(np.diff(edge))
-        rows = [(squeeze(np.diff(g.uniq[edge[b] : edge[b + 1]], prepend=np.uint64(0))), squeeze(counts[edge[b] : edge[b + 1]])) for b in used]
-        n = len(used)
-        batch = t.column("batch")[0].as_py()
-        blocks = [pa.array([r[i] for r in rows], pa.binary()) for i in range(2)]
-        return pa.Table.from_arrays([pa.array(used, pa.int32()), pa.array([batch] * n, pa.int32()), *blocks], names=["bucket", "batch", "hashes", "counts"])
+
+    def texts(data: pa.Scalar) -> pa.Table:
+        return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data.as_buffer())).read_all()
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for batch, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                g = Grams(texts(data).column("t").cast(pa.binary()).to_pylist())
+                edge, counts = g.buckets(buckets), g.counts()
+                used = np.flatnonzero(np.diff(edge))
+                rows = [(squeeze(np.diff(g.uniq[edge[u] : edge[u + 1]], prepend=np.uint64(0))), squeeze(counts[edge[u] : edge[u + 1]])) for u in used]
+                blocks = [pa.array([r[i] for r in rows], pa.binary()) for i in range(2)]
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([batch] * len(used), pa.int64()), *blocks], names=["bucket", "batch", "hashes", "counts"])
 
     def answer(t: pa.Table) -> pa.Table:
         blocks = [np.cumsum(expand(x), dtype=np.uint64) for x in t.column("hashes").to_pylist()]
@@ -146,15 +172,16 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         return pa.Table.from_arrays([t.column("batch"), t.column("bucket"), pa.array([squeeze(p.astype(np.uint64)) for p in parts], pa.binary())], names=["batch", "bucket", "totals"])
 
     def total(left: pa.Table, right: pa.Table) -> pa.Table:
-        g = Grams(left.column("t").cast(pa.binary()).to_pylist())
+        own = texts(left.column("texts")[0])
+        g = Grams(own.column("t").cast(pa.binary()).to_pylist())
         order = np.argsort(right.column("bucket").to_numpy())
         got = right.column("totals").to_pylist()
         totals = np.concatenate([np.zeros(0, np.uint64), *[expand(got[i]) for i in order]])
         s, three, two = g.scores(totals, words)
-        return pa.Table.from_arrays([left.column("k"), *map(pa.array, (g.sizes, three, two, s))], names=["k", "n_words", "n_trigrams", "n_bigrams", "log_score"])
+        return pa.Table.from_arrays([own.column("k"), *map(pa.array, (g.sizes, three, two, s))], names=["k", "n_words", "n_trigrams", "n_bigrams", "log_score"])
 
-    # Asking and scoring are one query that deals the texts once.
-    asked = docs.groupBy("batch").applyInArrow(ask, "bucket int, batch int, hashes binary, counts binary")
-    answered = asked.groupBy("bucket").applyInArrow(answer, "batch int, bucket int, totals binary")
-    out = docs.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(total, f"k {kind}, n_words long, n_trigrams long, n_bigrams long, log_score double")
+    asked = gathered.select("batch", "texts").mapInArrow(ask, "bucket int, batch long, hashes binary, counts binary")
+    answered = asked.groupBy("bucket").applyInArrow(answer, "batch long, bucket int, totals binary")
+    gathered = gathered.select("batch", "texts")
+    out = gathered.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(total, f"k {kind}, n_words long, n_trigrams long, n_bigrams long, log_score double")
     return out.withColumnRenamed("k", key)

@@ -6,8 +6,10 @@ blocked if its distrust reaches THRESHOLD and exceeds its trust. Scores are whol
 they don't depend on the order in which tasks add. Links are taken once for each pair of hosts; a host's links to
 itself don't count. Propagation starts from the restart mass and goes on until no score changes by more than TOLERANCE,
 a millionth of THRESHOLD; as a round's changes sum to at most 85 % of the last one's, that takes a number of rounds
-logarithmic in the seeds' total mass. sql() stops after ROUNDS rounds from the full seed mass and so differs from judge()
-where scores have not settled by then.
+logarithmic in the seeds' total mass. sql() takes ROUNDS rounds, after which one seed's changes are below TOLERANCE.
+
+Few rules are one expression. More than MOST_RULES are tables, joined on the suffixes of hosts and the prefixes of paths that
+some rule of that host has the length of, so that any number of rules will do.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from .common import written
 
 SCALE = 10**12
 DAMPING = 85  # per cent
-ROUNDS = 8  # of sql()
+ROUNDS = 102  # of sql()
 THRESHOLD = SCALE // 100
 #: Largest change of a host's score at which propagation stops.
 TOLERANCE = THRESHOLD // 10**6
@@ -41,8 +43,6 @@ def host_path(url: Column) -> tuple[Column, Column]:
 
 def match(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits, or nulls. A rule fits its host and all subdomains."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     rule = verdict = F.lit(None).cast("string")
     for v, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
@@ -50,6 +50,24 @@ def match(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column
     return rule, verdict
 
 
+def matched(own: DataFrame, rules: DataFrame) -> DataFrame:
+    """own (host, path and others) with rule and verdict of the longest rule that fits, or nulls. rules: (verdict, host, path).
+
+    Different hosts and paths are matched once. A url has a row for each suffix of its host and each length of a path that rules
+    of that suffix have, at most its own length; the longest match is a pre-aggregated maximum. Of equal rules the last verdict
+    by name holds.
+    """
+    listed = rules.select(F.col("host").alias("h"), F.col("path").alias("p"), "verdict").groupBy("h", "p").agg(F.max("verdict").alias("verdict"))
+    listed = written(listed.withColumn("n", F.char_length("p")), "rules")
+    lengths = listed.select("h", "n").distinct()
+    asked = written(own.select("host", "path").distinct(), "asked")
+    suffix = F.explode(F.expr("transform(sequence(1, size(split(host, '[.]', -1))), i -> substring_index(host, '.', -i))"))
+    ways = asked.select("host", "path", suffix.alias("h")).join(lengths, "h").where(F.char_length("path") >= F.col("n"))
+    fits = ways.select("host", "path", "h", F.expr("substring(path, 1, n)").alias("p")).join(listed, ["h", "p"])
+    best = fits.groupBy("host", "path").agg(F.max(F.struct((F.char_length("h") + F.col("n")).alias("size"), F.concat("h", "p").alias("rule"), "verdict")).alias("best"))
+    return own.join(best.select("host", "path", "best.rule", F.col("best.verdict").alias("own")), ["host", "path"], "left")
+
+
 def propagate(links: DataFrame, seeds: DataFrame, tolerance: int = TOLERANCE, damping: int = DAMPING) -> DataFrame:
     """(kind, host, score), settled. links: (kind, source, target, degree), seeds: (kind, host, mass)."""
     base = seeds.select("kind", "host", F.expr(f"mass * {100 - damping} DIV 100").alias("score"))
@@ -69,16 +87,22 @@ def propagate(links: DataFrame, seeds: DataFrame, tolerance: int = TOLERANCE, da
     raise RuntimeError("scores did not settle")
 
 
-def judge(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule] | DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, host, path, rule, verdict) of each row: the longest rule's verdict, else block or allow by the host's scores.
 
     Null urls and urls without "://" have an empty host, which is no seed, has no links and is allowed unless a rule
-    says else. Null html has no links. Repeated rows are judged alike; other columns are ignored.
+    says else. Null html has no links. Repeated rows are judged alike; other columns are ignored. rules: a list, or a table
+    (verdict, host, path) of any size.
     """
     host, path = host_path(F.col(url))
     own = pages.select(F.col(key).alias("_key"), host.alias("host"), path.alias("path"))
-    rule, verdict = match(F.col("host"), F.col("path"), rules)
-    own = own.withColumns({"rule": rule, "own": verdict})
+    if not isinstance(rules, DataFrame) and len(rules) > MOST_RULES:
+        rules = pages.sparkSession.createDataFrame(rules, "verdict string, host string, path string")
+    if isinstance(rules, DataFrame):
+        own = written(matched(own, rules), "matched")
+    else:
+        rule, verdict = match(F.col("host"), F.col("path"), rules)
+        own = own.withColumns({"rule": rule, "own": verdict})
     share = lambda v: F.sum((F.col("own") == v).cast("int"))
     hosts = own.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), share("allow").alias("a"), share("block").alias("b"))
     kinds = F.filter(F.array(F.when(F.expr("2 * a >= n"), F.lit("trust")), F.when(F.expr("2 * b >= n"), F.lit("distrust"))), lambda k: k.isNotNull())
@@ -111,14 +135,15 @@ seeds AS (SELECT 'trust' AS kind, host, {SCALE} AS mass FROM h WHERE 2 * a >= n
 ends AS (SELECT DISTINCT a, b FROM (SELECT host AS a, translate(unnest(regexp_extract_all(html, '{link}', 1)), '{UPPER}', '{LOWER}') AS b FROM own) WHERE a <> '' AND a <> b),
 ways AS (SELECT 'trust' AS kind, a AS source, b AS target FROM ends UNION ALL SELECT 'distrust', b, a FROM ends),
 links AS (SELECT *, count(*) OVER (PARTITION BY kind, source) AS degree FROM ways),
-s0 AS (SELECT kind, host, mass AS score FROM seeds)"""
+base AS (SELECT kind, host, mass * {100 - DAMPING} // 100 AS score FROM seeds),
+s0 AS (SELECT * FROM base)"""
     for n in range(ROUNDS):
         text += f""",
-s{n + 1} AS (SELECT kind, host, CAST(sum(score) AS BIGINT) AS score FROM (
+s{n + 1} AS MATERIALIZED (SELECT kind, host, CAST(sum(score) AS BIGINT) AS score FROM (
   SELECT l.kind, l.target AS host, sum((score // degree) * {DAMPING} // 100) AS score FROM links l JOIN s{n} s ON s.kind = l.kind AND s.host = l.source GROUP BY ALL
-  UNION ALL SELECT kind, host, mass * {100 - DAMPING} // 100 FROM seeds) GROUP BY kind, host HAVING sum(score) > 0)"""
+  UNION ALL FROM base) GROUP BY kind, host HAVING sum(score) > 0)"""
     return text + f""",
-last AS (SELECT * FROM s{ROUNDS} WHERE EXISTS (FROM links) UNION ALL SELECT * FROM s0 WHERE NOT EXISTS (FROM links)),
+last AS (SELECT * FROM s{ROUNDS} WHERE EXISTS (FROM links) UNION ALL SELECT kind, host, mass FROM seeds WHERE NOT EXISTS (FROM links)),
 bad AS (SELECT host FROM last GROUP BY host HAVING coalesce(max(score) FILTER (WHERE kind = 'distrust'), 0) >= {THRESHOLD}
   AND coalesce(max(score) FILTER (WHERE kind = 'distrust'), 0) > coalesce(max(score) FILTER (WHERE kind = 'trust'), 0))
 SELECT page_id, host, path, rule, coalesce(own, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM own

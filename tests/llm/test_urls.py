@@ -106,4 +106,19 @@ def test_scores_are_settled(spark):
     got = {r.host: r.verdict for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string, host string"), ORG).collect()}
     assert got == {h: "block" if d >= 0.01 else "allow" for h, d in want.items()}
     assert all(abs(d - 0.01) > 1e-4 for d in want.values())
+    con = duckdb.connect()
+    con.register("pages", spark.createDataFrame(pages, "page_id long, url string, html string, host string").drop("host").toPandas())
+    assert {r[1]: r[4] for r in con.execute(urls.sql(ORG)).fetchall()} == got
     assert got["c16.net"] == "block" and {got["c17.net"], got["e0.net"]} == {"allow"}
+
+
+def test_any_number_of_rules(spark, monkeypatch):
+    df = spark.createDataFrame(ROWS, "page_id long, url string, html string, host string")
+    more = [*ORG, ("allow", "sub.bad.com", "/a"), ("block", "sub.bad.com", "/a/b/c"), ("allow", "c.net", ""), ("block", "c.net", "/p#")]
+    want = slow(ROWS, more)
+    assert rows_of(urls.judge(df, more).collect()) == want
+    monkeypatch.setattr(urls, "MOST_RULES", 1)
+    assert rows_of(urls.judge(df, more).collect()) == want
+    table = spark.createDataFrame([*more, *(("block", f"x{i}.example", f"/{i}") for i in range(3000))], "verdict string, host string, path string")
+    assert rows_of(urls.judge(df, table).collect()) == want
+    assert urls.judge(df.where("false"), table).count() == 0
