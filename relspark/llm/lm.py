@@ -1,6 +1,6 @@
 """Stupid-backoff scores of documents under the n-gram counts of all other documents.
 
-Documents are gathered into batches, as they stand in their input partitions, and written compressed. A batch explodes into its n-grams, counts them, and sends each hash bucket a sorted
+Documents are gathered into batches, as they stand in their input partitions, and dealt compressed. A batch explodes into its n-grams, counts them, and sends each hash bucket a sorted
 block of hashes and counts (delta-coded: about four bytes an n-gram, where a row of its own would take forty). A bucket
 joins the blocks of all batches into its part of the count table and answers each block in its own order; a batch then
 joins the answers to its n-grams and sums the scores per document. N-grams frequent everywhere come once from each
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import WORD_SEPARATORS, partitions, small_batches
 from .substring import WORDS, mix
 
 BACKOFF = 0.4
@@ -131,24 +131,23 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
         def whole() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
-            words = sum(len(x.as_py().split()) for x in t.column("t").cast(pa.binary()))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, t.schema) as out:
                 out.write_table(t)
             data = zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
-            return pa.RecordBatch.from_pydict({"batch": pa.array([number], pa.int64()), "words": pa.array([words], pa.int64()), "texts": pa.array([data], pa.binary())})
+            return pa.RecordBatch.from_pydict({"batch": pa.array([number], pa.int64()), "texts": pa.array([data], pa.binary())})
 
         for b in batches:
-            held.append(b)
-            size += b.nbytes
-            if size >= BATCH_BYTES:
+            if held and size + b.nbytes > BATCH_BYTES:
                 yield whole()
                 number, held, size = number + 1, [], 0
+            held.append(b)
+            size += b.nbytes
         if held:
             yield whole()
 
-    gathered = written(docs.mapInArrow(gather, "batch long, words long, texts binary"), "texts")
-    words = gathered.agg(F.sum("words")).first()[0] or 0
+    words = docs.agg(F.sum(F.size(F.array_remove(F.split("t", WORD_SEPARATORS, -1), "")))).first()[0] or 0
+    gathered = docs.mapInArrow(gather, "batch long, texts binary").repartition(partitions(docs.sparkSession), "batch")
     buckets = max(1, math.ceil(3 * words / BUCKET_GRAMS))
 
     def texts(data: pa.Scalar) -> pa.Table:
@@ -180,8 +179,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         s, three, two = g.scores(totals, words)
         return pa.Table.from_arrays([own.column("k"), *map(pa.array, (g.sizes, three, two, s))], names=["k", "n_words", "n_trigrams", "n_bigrams", "log_score"])
 
-    asked = gathered.select("batch", "texts").mapInArrow(ask, "bucket int, batch long, hashes binary, counts binary")
+    # Asking and scoring are one query that deals the texts once.
+    asked = gathered.mapInArrow(ask, "bucket int, batch long, hashes binary, counts binary")
     answered = asked.groupBy("bucket").applyInArrow(answer, "batch long, bucket int, totals binary")
-    gathered = gathered.select("batch", "texts")
     out = gathered.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(total, f"k {kind}, n_words long, n_trigrams long, n_bigrams long, log_score double")
     return out.withColumnRenamed("k", key)

@@ -11,19 +11,18 @@ all fifteen pairs of fields miss none. A cell gives the edges of a spanning fore
 Plan "similar": WIDE bits of the set of shingles only find candidates, and documents are linked if the exact Jaccard
 similarity of their shingle sets reaches the wanted one. Rows are classes of equal sets. The radius is what all but one
 in a thousand pairs of that similarity keep; cells are bands of bits, as many as let all but one in a thousand such pairs
-share one. The length of a band grows with the logarithm of the number of classes. Large families are joined first, by as many
-pairs as they have members: a cell of over CROWD classes has a centre, and each class is verified with the nearest of the centres that it meets.
-Then a cell gives a spanning forest of the candidates that no links join yet, the nearest first, and these pairs are verified. Where
-one fails, every candidate pair that verified links don't join yet is verified too, so no candidate's link is lost.
-(Candidates that are no links and that no links join are verified pair by pair: their number can grow with the square of a family
-of nearly similar texts. In a cell, the members of its most frequent component are compared with the others only.)
+share one. The length of a band grows with the logarithm of the number of classes. A cell gives a spanning forest of its
+candidates; what they join is a family. A family's texts meet in one task (families above HOT in a task for each pair of
+blocks), where its fingerprints are compared with each other and the pairs within the radius that no link joins yet
+are verified, the nearest first. So each text travels once for each block of its family, no candidate pair leaves its task, and no
+candidate's link is lost. (Families of N texts above HOT cost N * N / HOT texts moved.)
 """
 
 from __future__ import annotations
 
 import math
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -33,14 +32,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_CELLS, cell_blocks, connected_components, partitions, small_batches, written
+from .common import cell_blocks, connected_components, small_batches, written
 from .substring import mix
 
 RADIUS = 4
 SEED = 42
 HOT = 4096
-#: Classes of a cell from which on they are first compared with its centre.
-CROWD = 256
 WIDE = 256
 #: Share of pairs at the wanted similarity that the bands may miss, and deviations that the radius allows (one in a thousand).
 MISS, DEVIATIONS = 0.001, 3.1
@@ -216,42 +213,16 @@ class Forest:
         return True
 
 
-def edges_of_groups(group: np.ndarray, side: np.ndarray, fps: np.ndarray, rep: np.ndarray, radius: int) -> tuple[list, list]:
-    """Spanning edges within runs of equal group numbers. side: 0 in groups compared with themselves, else 1 with 2."""
-    left: list = []
-    right: list = []
-    for a, b in pairs_of_groups(group, side, fps, rep, radius):
-        left += a
-        right += b
-    return left, right
-
-
-def most_frequent(group: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """The most frequent label of each group. group: ascending numbers from 0."""
-    order = np.lexsort((label, group))
-    g, x = group[order], label[order]
-    first = np.concatenate(([0], np.flatnonzero((np.diff(g) != 0) | (np.diff(x) != 0)) + 1))
-    count = np.diff(np.concatenate((first, [len(g)])))
-    out = np.empty(int(g[-1]) + 1, label.dtype)
-    best = np.lexsort((count, g[first]))
-    out[g[first][best]] = x[first][best]  # the last of each group stays
-    return out
-
-
-def pairs_of_groups(group: np.ndarray, side: np.ndarray, fps: np.ndarray, rep: np.ndarray, radius: int, size: np.ndarray | None = None, similarity: float = 0.0, label: np.ndarray | None = None, every: bool = False) -> Iterator[tuple[list, list]]:
-    """Edges in parts. With sizes, sets too unequal to be similar are left out and forests take the nearest pairs of a
-    part first; with labels, forests join these, or there are all pairs of unequal labels, the smaller rep first."""
+def hits(group: np.ndarray, side: np.ndarray, fps: np.ndarray, rep: np.ndarray, radius: int, size: np.ndarray | None = None, similarity: float = 0.0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(x, y), the rows of pairs within the radius, in parts, the nearest of a part first if there are sizes; sets too unequal in size
+    to be similar are then left out."""
     if not len(group):
         return
     first = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1))
     length = np.diff(np.concatenate((first, [len(group)])))
     number = np.repeat(np.arange(len(first)), length)
-    if label is None:
-        lane = np.flatnonzero((side != 1) & (length[number] > 1))
-        query = np.flatnonzero((side != 2) & (length[number] > 1))
-    else:  # of unequal labels, one isn't the most frequent of its group
-        lane = np.flatnonzero(length[number] > 1)
-        query = np.flatnonzero((length[number] > 1) & (label != most_frequent(number, label)[number]))
+    lane = np.flatnonzero((side != 1) & (length[number] > 1))
+    query = np.flatnonzero((side != 2) & (length[number] > 1))
     lanes = np.bincount(number[lane], minlength=len(first))
     queries = np.bincount(number[query], minlength=len(first))
     lane_at, query_at = np.cumsum(lanes) - lanes, np.cumsum(queries) - queries
@@ -277,7 +248,6 @@ def pairs_of_groups(group: np.ndarray, side: np.ndarray, fps: np.ndarray, rep: n
         which = np.repeat(np.arange(n), queries[some])
         place = np.arange(len(which)) - np.repeat(np.cumsum(queries[some]) - queries[some], queries[some])
         asks = query[query_at[some][which] + place]
-        forest = Forest()
         step = 1 << 13 if size is None else min(1 << 13, max(1, (1 << 15) // int(blocks.max())))  # two million hits at most
         for part in range(0, len(asks), step):
             mine, of = asks[part : part + step], which[part : part + step]
@@ -285,25 +255,33 @@ def pairs_of_groups(group: np.ndarray, side: np.ndarray, fps: np.ndarray, rep: n
             b = np.repeat(base[of], blocks[of]) + np.arange(len(q)) - np.repeat(np.cumsum(blocks[of]) - blocks[of], blocks[of])
             r, j = near(fps[mine], planes, valid, q, b, radius)
             x, y = mine[q[r]], back[64 * b[r] + j]
-            use = rep[x] != rep[y]
+            use = (rep[x] != rep[y]) & ((side[x] != 0) | (x < y))
             if size is not None:
                 use &= np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) * (1 - 1e-9)
-            if label is not None:
-                use &= label[x] != label[y]
             x, y = x[use], y[use]
-            if every:
-                a, c = rep[x], rep[y]
-                pairs = np.unique(np.stack([np.minimum(a, c), np.maximum(a, c)], axis=1), axis=0)
-                if len(pairs):
-                    yield pairs[:, 0].tolist(), pairs[:, 1].tolist()
-                continue
             if size is not None:
                 order = np.argsort(np.bitwise_count(fps[x] ^ fps[y]).sum(axis=1, dtype=np.int64), kind="stable")
                 x, y = x[order], y[order]
-            nodes = rep if label is None else label
-            edges = [(a, c) for a, c, p, q in zip(rep[x].tolist(), rep[y].tolist(), nodes[x].tolist(), nodes[y].tolist(), strict=True) if forest.join(p, q)]
-            if edges:
-                yield [e[0] for e in edges], [e[1] for e in edges]
+            if len(x):
+                yield x, y
+
+
+def edges_of_groups(group: np.ndarray, side: np.ndarray, fps: np.ndarray, rep: np.ndarray, radius: int, size: np.ndarray | None = None, similarity: float = 0.0, same: Callable[[int, int], bool] | None = None) -> Iterator[tuple[list, list]]:
+    """Edges of spanning forests within runs of equal group numbers, in parts. side: 0 in groups compared with themselves,
+    else 1 with 2. With same(), rows are joined only by pairs for which it holds."""
+    forest, root = Forest(), np.arange(len(rep))
+    for x, y in hits(group, side, fps, rep, radius, size, similarity):
+        apart = root[x] != root[y]
+        left: list = []
+        right: list = []
+        for i, j in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
+            if forest.root(i) != forest.root(j) and (same is None or same(i, j)):
+                forest.join(i, j)
+                left.append(int(rep[i]))
+                right.append(int(rep[j]))
+        if left:
+            root = np.fromiter(map(forest.root, range(len(rep))), np.int64, len(rep))
+            yield left, right
 
 
 def field_cells() -> list[Column]:
@@ -341,121 +319,80 @@ def with_bands(reps: DataFrame, n: int, similarity: float, bits: int = WIDE) ->
     return reps.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reps.schema) + ", cells array<long>")
 
 
-def links(reps: DataFrame, radius: int, similarity: float | None = None, every: bool = False) -> DataFrame:
-    """Edges (a, b) that span the components of distinct fingerprints (f0, ..., rep, cells) within the radius.
+def in_groups(rows: DataFrame, radius: int, similarity: float | None = None, words: int | None = None, together: int = 1 << 17) -> DataFrame:
+    """Edges (a, b) that span the links within groups of rows (cell, i, j, side, rep, own columns, fingerprints), sorted by groups.
 
-    With a similarity, reps have sizes and labels too and edges are candidates that span these, or all of unequal labels.
+    With a similarity, the first own column is the size of the set; words: shingle length for exact verification of the last column.
     """
-    own = [c for c in ("size", "label") if c in reps.columns and similarity is not None]
-    fields = [c for c in reps.columns if c not in ("rep", "cells", *own)]
-    names = [*own, *fields]
-    rows = reps.select("rep", *names, F.explode("cells").alias("cell"))
-    rows = cell_blocks(rows, ["rep"] if own else fields, HOT).select("cell", "i", "j", "side", "rep", *names)
+    sized = similarity is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(parts: list[list[np.ndarray]], last: bool):
-            """Whole groups with their numbers; what may go on in the next batch stays."""
-            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            cell, i, j = columns[:3]
-            changes = np.flatnonzero((np.diff(cell) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-            whole = len(cell) if last else int(changes[-1]) if len(changes) else 0
-            number = np.zeros(whole, np.int64)
-            number[changes[changes < whole]] = 1
-            return np.cumsum(number), [c[:whole] for c in columns[3:]], [[c[whole:] for c in columns]] if whole < len(cell) else []
-
-        def edges(number: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            side, rep, *rest = columns
-            more = dict(zip(own, rest, strict=False)) | ({"similarity": similarity, "every": every} if own else {})
-            fps = np.stack(rest[len(own) :], axis=1).view(np.uint64)
-            for x, y in pairs_of_groups(number, side, fps, rep, radius, **more):
+        def edges(cols: list) -> Iterator[pa.RecordBatch]:
+            cell, i, j, side, rep, *rest = cols
+            number = np.cumsum(np.concatenate(([0], (np.diff(cell) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0))))
+            texts = rest.pop() if words else None
+            size = rest.pop(0) if sized else None
+            kept: dict[int, np.ndarray] = {}
+            expand = zstandard.ZstdDecompressor().decompress
+
+            def own(n: int) -> np.ndarray:
+                if (found := kept.get(n)) is None:
+                    found = kept[n] = np.unique(shingles(expand(texts[n]), words))
+                return found
+
+            def same(x: int, y: int) -> bool:
+                p, q = own(x), own(y)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                return both > 0 and both / (len(p) + len(q) - both) >= similarity
+
+            fps = np.stack(rest, axis=1).view(np.uint64)
+            for x, y in edges_of_groups(number, side, fps, rep, radius, size, similarity or 0.0, same if words else None):
                 yield pa.RecordBatch.from_pydict({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
-        parts: list[list[np.ndarray]] = []
+        held: list | None = None
         for b in batches:
-            parts.append([c.to_numpy() for c in b.columns])
-            if sum(len(x[0]) for x in parts) >= 1 << 17:
-                number, columns, parts = flush(parts, False)
-                yield from edges(number, columns)
-        if parts:
-            yield from edges(*flush(parts, True)[:2])
+            new = [c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy() for c in b.columns]
+            held = new if held is None else [np.concatenate((p, q)) if isinstance(p, np.ndarray) else p + q for p, q in zip(held, new, strict=True)]
+            if len(held[0]) >= together:  # whole groups; the last one may go on in the next batch
+                changes = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0) | (np.diff(held[2]) != 0)) + 1
+                if len(changes):
+                    yield from edges([c[: changes[-1]] for c in held])
+                    held = [c[changes[-1] :] for c in held]
+        if held and len(held[0]):
+            yield from edges(held)
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def held_texts(pairs: DataFrame, docs: DataFrame, row: str, text: str) -> DataFrame:
-    """(id, words): the compressed words of each text of a pair, read once for all comparisons."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias(row)).distinct()
+def links(reps: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
+    """Edges (a, b) that span the components of distinct fingerprints (f0, ..., rep, cells) within the radius.
+
+    With a similarity, reps have sizes too and edges are candidates.
+    """
+    own = ["size"] if similarity is not None else []
+    fields = [c for c in reps.columns if c not in ("rep", "cells", *own)]
+    small_batches(reps.sparkSession)
+    rows = reps.select("rep", *own, *fields, F.explode("cells").alias("cell"))
+    rows = cell_blocks(rows, ["rep"] if own else fields, HOT).select("cell", "i", "j", "side", "rep", *own, *fields)
+    return in_groups(rows, radius, similarity)
+
+
+def verified_links(members: DataFrame, docs: DataFrame, row: str, text: str, k: int, similarity: float) -> DataFrame:
+    """Edges (a, b) of exact similarity that span what is linked within each family. members: (cell, rep, size, f0, ...)."""
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            out = [compress(b" ".join((x.as_py() or b"").lower().split())) for x in b.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "words"])
+            out = [compress(b" ".join((x.as_py() or b"").lower().split())) for x in b.column(b.schema.get_field_index("t")).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in range(len(names))), pa.array(out, pa.binary())], names=[*names, "words"])
 
     small_batches(docs.sparkSession)
-    # The texts are dealt at every size, whether or not the ids would fit into a broadcast.
-    return written(docs.select(row, F.col(text).cast("string")).join(ids.hint("merge"), row, "left_semi").mapInArrow(squeeze, "id long, words binary"), "held")
-
-
-def verified(pairs: DataFrame, held: DataFrame, k: int, similarity: float) -> DataFrame:
-    """pairs (a, b) with ok: whether the exact Jaccard similarity of the sets of shingles reaches the wanted one.
-
-    Both texts of a pair travel to the pair, so a text of very many pairs is compared in many tasks.
-    """
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand, last = zstandard.ZstdDecompressor().decompress, (None, None, None)
-        kept: tuple = (None, None)
-        for batch in batches:
-            a, b, ok = [], [], []
-            for x, y, i, words in zip(*(batch.column(n).to_pylist() for n in range(3)), batch.column(3), strict=True):
-                if i != kept[0] or i == y:
-                    own = np.unique(shingles(expand(words.as_buffer()), k))
-                    kept = (i, own) if i == x else kept
-                else:
-                    own = kept[1]
-                if last[:2] != (x, y):
-                    last = (x, y, own)
-                    continue
-                other = last[2]
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                a.append(x)
-                b.append(y)
-                ok.append(both > 0 and both / (len(own) + len(other) - both) >= similarity)
-                last = (None, None, None)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
-
-    small_batches(pairs.sparkSession)
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id")).join(held.hint("merge"), "id").select("a", "b", "id", "words")
-    sides = sides.repartition(partitions(pairs.sparkSession), "a", "b").sortWithinPartitions("a", "b", "id")
-    return written(sides.mapInArrow(compare, "a long, b long, ok boolean"), "verified")
-
-
-def candidates(reps: DataFrame, similarity: float, every: bool = False) -> DataFrame:
-    """Distinct candidate pairs (a < b)."""
-    small_batches(reps.sparkSession)
-    found = links(reps, similar_radius(similarity), similarity, every)
-    return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-
-
-def central_pairs(reps: DataFrame, similarity: float) -> DataFrame | None:
-    """Candidates (a < b) of classes in crowded cells with the nearest of their cells' centres; None if no cell is crowded."""
-    small_batches(reps.sparkSession)
-    names = [c for c in reps.columns if c != "cells"]
-    rows = reps.select(*names, F.explode("cells").alias("cell"))
-    crowded = written(rows.groupBy("cell").count().where(F.col("count") > CROWD).select("cell"), "crowded")
-    n = crowded.count()
-    if not n:
-        return None
-    small = lambda df: F.broadcast(df) if n <= BROADCAST_CELLS else df
-    rows = rows.join(small(crowded), "cell")
-    centres = rows.groupBy("cell").agg(F.min(F.struct(F.xxhash64("rep").alias("o"), *names)).alias("c"))
-    both = rows.join(small(written(centres, "centres")), "cell")
-    distance = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"c.{f}"))) for f in names if f.startswith("f")), F.lit(0))
-    alike = F.least("size", "c.size") >= F.greatest("size", "c.size") * (similarity * (1 - 1e-9))
-    both = both.where("rep <> c.rep").where(alike).select("rep", distance.alias("d"), F.col("c.rep").alias("b")).where(F.col("d") <= similar_radius(similarity))
-    nearest = both.groupBy("rep").agg(F.min(F.struct("d", "b")).alias("n"))
-    return written(nearest.select(F.least("rep", "n.b").alias("a"), F.greatest("rep", "n.b").alias("b")).distinct(), "central")
+    names = members.columns
+    # The texts are dealt at every size, whether or not the members would fit into a broadcast.
+    texts = docs.select(F.col(row).alias("rep"), F.col(text).cast("string").alias("t")).join(members.hint("merge"), "rep").select(*names, "t")
+    held = written(texts.mapInArrow(squeeze, ", ".join(f"{c} long" for c in names) + ", words binary"), "families")
+    rows = cell_blocks(held, ["rep"], HOT).select("cell", "i", "j", "side", *[c for c in names if c != "cell"], "words")
+    return written(in_groups(rows, similar_radius(similarity), similarity, k, 1 << 13), "verified")
 
 
 def similar_components(docs: DataFrame, row: str, text: str, k: int, similarity: float) -> DataFrame:
@@ -464,31 +401,9 @@ def similar_components(docs: DataFrame, row: str, text: str, k: int, similarity:
     names = [c for c in fps.columns if c.startswith("f") and c != row]
     classes = written(fps.groupBy("s0", "s1", "size", *names).agg(F.min(row).alias("rep")), "classes")
     reps = with_bands(classes.select("rep", "size", *names), classes.count(), similarity)
-
-    def labelled(labels: DataFrame | None, df: DataFrame, c: str, name: str) -> DataFrame:
-        if labels is None:
-            return df.withColumn(name, F.col(c))
-        return df.join(labels.select(F.col("node").alias(c), F.col("component").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
-
-    edges, held, labels = None, None, None
-    if (central := central_pairs(reps, similarity)) is not None:
-        held = held_texts(central.select("a", "b"), docs, row, text)
-        edges = verified(central, held, k, similarity).where("ok").select("a", "b")
-        labels = written(connected_components(edges), "labels")
-    found = candidates(labelled(labels, reps, "rep", "label"), similarity)
-    more = held_texts(found, docs if held is None else docs.join(held.select(F.col("id").alias(row)), row, "left_anti"), row, text)
-    held = more if held is None else held.unionByName(more)
-    judged = verified(found, held, k, similarity)
-    good = judged.where("ok").select("a", "b")
-    edges = good if edges is None else edges.unionByName(good)
-    failed = judged.where("NOT ok").select("a", "b")
-    if not failed.isEmpty():  # a forest without failed edges spans all candidates
-        labels = written(connected_components(edges), "labels")
-        ends = labelled(labels, labelled(labels, failed, "a", "x"), "b", "y").where("x <> y")
-        ends = ends.select(F.explode(F.array("x", "y")).alias("label")).distinct()
-        apart = written(labelled(labels, reps, "rep", "label").join(ends, "label", "left_semi"), "apart")
-        rest = candidates(apart, similarity, every=True).join(failed, ["a", "b"], "left_anti")
-        edges = edges.unionByName(verified(written(rest, "rest"), held, k, similarity).where("ok").select("a", "b"))
+    families = connected_components(links(reps, similar_radius(similarity), similarity))
+    members = families.select(F.col("node").alias("rep"), F.col("component").alias("cell")).join(classes, "rep").select("cell", "rep", "size", *names)
+    edges = verified_links(members, docs, row, text, k, similarity)
     labels = connected_components(edges).withColumnRenamed("node", "rep")
     classes = classes.join(labels, "rep", "left").select("s0", "s1", F.coalesce("component", "rep").alias("component"))
     return fps.join(classes, ["s0", "s1"]).select(row, *names, "component")
