@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import html
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +18,7 @@ HANDLE = r"(?<!\w)@[A-Za-z0-9_]{2,32}\b"
 TOKEN = r"([\p{L}\p{N}_']+)"
 CRISIS = r"(?i)\b(?:suicid(?:e|al)|kill myself|end my life|hurt myself|self[- ]?harm|hurt someone|kill someone)\b"
 DIAGNOSIS = r"(?i)\b(?:you (?:have|are suffering from)|diagnos(?:e|ed|is)|mental disorder)\b"
+CLAIM = r"(?i)\b(?:you (?:have|definitely have|are suffering from)|diagnos(?:e|ed|is)|mental disorder)\b"  # the verifier's own
 MEDICATION = r"(?i)\b(?:start|stop|increase|decrease|take)\s+(?:your\s+)?(?:dose|medication|antidepressant|ssri)\b"
 REFUSAL = r"(?i)\b(?:i\s+)?(?:cannot|can't|won't|do not|am not able to)\s+(?:diagnos\w*|recommend\s+medication|prescribe\w*)\b"
 MEDICAL_REQUEST = r"(?i)\b(?:diagnos(?:e|is)|what disorder|what medication|which medicine|change my dose|stop taking|clinical treatment plan)\b"
@@ -37,12 +42,31 @@ def squash(t: Column) -> Column:
 
 
 def unescape(t: Column) -> Column:
-    """The common character references; the ampersand comes last so that nothing is unescaped twice."""
+    """The common character references only; the ampersand comes last so that nothing is unescaped twice."""
     for k, v in ENTITIES.items():
         t = F.replace(t, F.lit(k), F.lit(v))
     return t
 
 
+@lru_cache
+def _python() -> tuple:
+    """Functions that no built-in gives, made when a session is there: composed characters without references, full case folding."""
+    over = lambda f: F.pandas_udf(lambda t: t.map(lambda x: x if x is None else f(x)), "string")
+    return over(lambda x: unicodedata.normalize("NFC", html.unescape(x))), over(str.casefold)
+
+
+def normal_form(t: Column) -> Column:
+    """Character references resolved and characters composed; texts that need neither are not sent to Python."""
+    pattern = r"&|[^\x00-\x7f]"
+    return F.coalesce(_python()[0](F.when(F.regexp_like(t, F.lit(pattern)), t)), t)
+
+
+def casefold(t: Column) -> Column:
+    """Lower case for comparisons, by full case folding where a text has other letters than ASCII ones."""
+    pattern = r"[^\x00-\x7f]"
+    return F.coalesce(_python()[1](F.when(F.regexp_like(t, F.lit(pattern)), t)), F.lower(t))
+
+
 def strip_html(t: Column, by: str = " ") -> Column:
     return F.regexp_replace(t, HTML, by)
 
@@ -55,7 +79,7 @@ def pii_counts(t: Column) -> dict[str, Column]:
 
 def redact(t: Column) -> Column:
     """Text without markup, with personal data named by kind. The order matters: an e-mail holds what looks like a handle."""
-    t = strip_html(unescape(F.coalesce(t, F.lit(""))))
+    t = strip_html(normal_form(F.coalesce(t, F.lit(""))))
     for pattern, name in ((EMAIL, "[EMAIL]"), (URL, "[URL]"), (PHONE, "[PHONE]"), (HANDLE, "[HANDLE]")):
         t = F.regexp_replace(t, pattern, name.replace("[", r"\[").replace("]", r"\]"))
     return squash(t)
@@ -67,7 +91,7 @@ def tokens(t: Column) -> Column:
 
 
 def normalized(t: Column) -> Column:
-    return F.array_join(tokens(redact(t)), " ")
+    return F.array_join(F.regexp_extract_all(casefold(redact(t)), F.lit(TOKEN), 1), " ")
 
 
 def fingerprint(*parts: Column) -> Column:

@@ -85,7 +85,7 @@ def verify(df: DataFrame) -> DataFrame:
     ground, ground_code = grounding(response, F.col("evidence"), F.col("cited"))
     blocked = F.exists("disallowed", lambda d: F.contains(F.replace(low, F.lit("_"), F.lit(" ")), F.replace(F.lower(d), F.lit("_"), F.lit(" "))))
     unsafe = {
-        "DIAGNOSTIC_CLAIM": T.has(F.col("_bare"), T.DIAGNOSIS),
+        "DIAGNOSTIC_CLAIM": T.has(F.col("_bare"), T.CLAIM),
         "MEDICATION_INSTRUCTION": T.has(F.col("_bare"), T.MEDICATION),
         "CRISIS_NOT_ESCALATED": crisis & (target != "ESCALATE"),
         "TASKRELIEF_BLOCKED_BY_CRISIS": crisis & action,

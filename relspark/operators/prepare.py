@@ -61,19 +61,26 @@ def trim(df: DataFrame, by: list[str], columns: list[str], low: float = 0.01, hi
     return out.select(df.columns)
 
 
-def balance(df: DataFrame, label: str, order: Column, share: float = 0.333) -> DataFrame:
-    """Every stride-th row of each class, in a fixed order, so that classes come near to share times the smallest bound.
+def balance(df: DataFrame, label: str, focus: object, order: Column, share: float = 0.333) -> DataFrame:
+    """Every stride-th row of each class, in a fixed order, so that the focus class is about as large as three others.
 
-    The target is the least of the class's size and three times any other's; the stride is what fits it.
+    The focus class comes to the least of its size and three times any other's, the others to share times that.
     """
-    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
-    strides = sizes.withColumn("_m", F.min("_n").over(Window.partitionBy()))  # a row for each class
-    target = F.greatest(F.floor(F.least(F.col("_n"), 3 * F.col("_m")) * F.lit(share)), F.lit(1))
-    strides = strides.select(label, F.ceil(F.col("_n") / target).cast("long").alias("_stride"))
+    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))  # a row for each class
+    mine = F.col(label) == F.lit(focus)
+    whole = F.min(F.when(mine, F.col("_n")).otherwise(3 * F.col("_n"))).over(Window.partitionBy())
+    target = F.greatest(F.when(mine, whole).otherwise(F.floor(whole * F.lit(share))), F.lit(1))
+    strides = sizes.withColumn("_stride", F.ceil(F.col("_n") / target).cast("long")).select(label, "_stride")
     numbered = df.withColumn("_i", F.row_number().over(Window.partitionBy(label).orderBy(order)) - 1).join(strides, label)
     return numbered.where(F.col("_i") % F.col("_stride") == 0).select(df.columns)
 
 
+def moving_average(value: str, by: list[str], order: str, half: int) -> Column:
+    """Mean of a row and `half` rows on either side; beyond the ends stand zeros."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(-half, half)
+    return F.coalesce(F.sum(value).over(w), F.lit(0.0)) / (2 * half + 1)
+
+
 def stratified_split(df: DataFrame, label: str, key: str, fraction: float, seed: int = 42) -> DataFrame:
     """df with chosen: a fixed share of each class (half up), by the order of a seeded digest of the key."""
     w = Window.partitionBy(label).orderBy(digest(str(seed), F.col(key)), key)
@@ -98,9 +105,13 @@ def leave_one_out(subjects: DataFrame, subject: str, seed: int = 5101) -> DataFr
 
 
 def quota_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42) -> DataFrame:
-    """About n rows, at least one of each stratum and in proportion: each stratum's first by digest. A sampling operator."""
-    sizes = df.groupBy(stratum).agg(F.count("*").alias("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy()))  # a row for each stratum
-    quota = sizes.select(stratum, F.greatest(F.lit(1), F.floor(F.lit(n) * F.col("_n") / F.col("_all"))).alias("_q"))
+    """n rows where there are as many: at least one of each stratum and in proportion, each stratum's first by digest; what
+    rounding down leaves comes from the largest stratum (of equal ones the first by name). A sampling operator."""
+    sizes = df.groupBy(stratum).agg(F.count("*").alias("_n"))  # a row for each stratum
+    every = Window.partitionBy()
+    quota = F.greatest(F.lit(1), F.floor(F.lit(n) * F.col("_n") / F.sum("_n").over(every)))
+    sizes = sizes.withColumn("_q", quota).withColumns({"_left": F.greatest(F.lit(n) - F.sum("_q").over(every), F.lit(0)), "_place": F.row_number().over(every.orderBy(F.desc("_n"), stratum))})
+    quota = sizes.select(stratum, (F.col("_q") + F.when(F.col("_place") == 1, F.col("_left")).otherwise(0)).alias("_q"))
     w = Window.partitionBy(stratum).orderBy(digest(str(seed), F.col(key)), key)
     return df.withColumn("_r", F.row_number().over(w)).join(quota, stratum).where("_r <= _q").select(df.columns)
 

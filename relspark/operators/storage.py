@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where unset a temporary folder, which also becomes the checkpoint folder."""
+    """spark.checkpoint.dir, or where unset in local mode a temporary folder, which also becomes the checkpoint folder. On a cluster it must be set."""
     sc = spark.sparkContext
     if path := sc.getConf().get("spark.checkpoint.dir"):
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(path)
         return path.rstrip("/")
     if not (path := sc.getCheckpointDir()):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="relspark-"))
         path = sc.getCheckpointDir()
     return path.rstrip("/")

@@ -17,14 +17,14 @@ def outlier_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.trim(df, ["l_returnflag"], ["l_extendedprice", "l_quantity"]).select("l_orderkey", "l_linenumber", "l_returnflag")
 
 
-@register("class_balance", """WITH s AS (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1), t AS (SELECT l_returnflag, n, min(n) OVER () AS m FROM s),
-d AS (SELECT l_returnflag, CAST(ceil(n / greatest(floor(least(n, 3 * m) * 0.333), 1)) AS BIGINT) AS stride FROM t),
+@register("class_balance", """WITH s AS (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1), t AS (SELECT min(CASE WHEN l_returnflag = 'N' THEN n ELSE 3 * n END) AS prop FROM s),
+d AS (SELECT l_returnflag, CAST(ceil(n / greatest(CASE WHEN l_returnflag = 'N' THEN prop ELSE floor(0.333 * prop) END, 1)) AS BIGINT) AS stride FROM s, t),
 r AS (SELECT l_orderkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS i FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_returnflag FROM r JOIN d USING (l_returnflag) WHERE i % stride = 0""")
 def class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", "l_suppkey")
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return prepare.balance(df, "l_returnflag", order).select("l_orderkey", "l_linenumber", "l_returnflag")
+    return prepare.balance(df, "l_returnflag", "N", order).select("l_orderkey", "l_linenumber", "l_returnflag")
 
 
 @register("baseline_ratio", """WITH m AS (SELECT user_id, median(value) FILTER (WHERE event_type = 'view') AS a, median(value) AS b FROM events GROUP BY 1)
@@ -77,7 +77,8 @@ def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", hashing.split_name(F.col("source")).alias("split"))
 
 
-@register("quota_sample", """WITH s AS (SELECT lang, greatest(1, floor(100 * count(*) / (SELECT count(*) FROM documents))) AS q FROM documents GROUP BY 1),
+@register("quota_sample", """WITH p AS (SELECT lang, count(*) AS n, greatest(1, floor(100 * count(*) / (SELECT count(*) FROM documents))) AS q FROM documents GROUP BY 1),
+s AS (SELECT lang, q + CASE WHEN row_number() OVER (ORDER BY n DESC, lang) = 1 THEN greatest(100 - sum(q) OVER (), 0) ELSE 0 END AS q FROM p),
 r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('42:' || doc_id), doc_id) AS r FROM documents) SELECT doc_id, lang FROM r JOIN s USING (lang) WHERE r <= q""")
 def quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.quota_sample(read(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 100)

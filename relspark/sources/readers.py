@@ -107,7 +107,7 @@ def prediction(df: DataFrame) -> DataFrame:
 
 def question_pages(df: DataFrame, question: str = "question", answer: str = "answer", least: int = 20) -> DataFrame:
     """(name, page): a Markdown page of each row whose cleaned texts are long enough, first questions only."""
-    clean = lambda c: T.squash(T.unescape(T.strip_html(F.coalesce(F.col(c), F.lit("")), "")))
+    clean = lambda c: T.squash(T.normal_form(T.strip_html(F.coalesce(F.col(c), F.lit("")), "")))
     rows = df.select(clean(question).alias("q"), clean(answer).alias("a")).where((F.length("q") >= least) & (F.length("a") >= least))
     rows = rows.groupBy(F.substring(F.lower("q"), 1, 100).alias("k")).agg(F.min(F.struct("q", "a")).alias("r")).select("r.*")
     return rows.select(F.concat(T.slug(F.col("q")), F.lit(".md")).alias("name"), F.concat(F.lit("# "), "q", F.lit("\n\n"), "a", F.lit("\n")).alias("page"))
