@@ -1,10 +1,11 @@
 """Stupid-backoff scores of documents under the n-gram counts of all other documents.
 
-Documents are dealt into batches. A batch explodes into its n-grams, counts them, and sends each hash bucket a sorted
-block of hashes and counts (delta-coded: about four bytes an n-gram, where a row of its own would take forty). A bucket
-joins the blocks of all batches into its part of the count table and answers each block in its own order; a batch then
-joins the answers to its n-grams and sums the scores per document. N-grams frequent everywhere come once from each
-batch, so no bucket is hot. Hashes have 64 bits.
+Documents are gathered into batches as they stand in their input partitions, and dealt compressed. A batch explodes into
+its n-grams, counts them, and sends each hash bucket a sorted block of hashes and counts (delta-coded: about six bytes an
+n-gram, where a row of its own would take forty). A bucket joins the blocks of all batches into its part of the count
+table and answers each block in its own order; a batch then joins the answers to its n-grams and sums the scores per
+document. N-grams frequent everywhere come once from each batch, so no bucket is hot. Hashes have 64 bits. Should a lost
+executor's input come back in another order, so that a batch has other texts than those counted, the task fails.
 
 With c(g) the occurrences of g in all other rows, N their words, the score of a word is c(uvw) / c(uv) if c(uvw) > 0,
 else BACKOFF * c(vw) / c(v) if c(vw) > 0, else BACKOFF ** 2 * max(c(w), UNSEEN) / max(N, 1); a text's first words have
@@ -14,19 +15,22 @@ no longer n-grams and start with the longest that they have, without a factor.
 from __future__ import annotations
 
 import math
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SEPARATORS
+from .common import WORD_SEPARATORS, partitions, small_batches
 from .substring import WORDS, mix
 
 BACKOFF = 0.4
 UNSEEN = 0.5
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 6_000_000
 BUCKET_GRAMS = 4_000_000
 
 SQL = """
@@ -67,27 +71,45 @@ def expand(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel()
 
 
+def ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values of x, and the place in them of each value of x."""
+    order = np.argsort(x)
+    x = x[order]
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    place = np.empty(len(x), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return x[new], place
+
+
 class Grams:
     """N-grams of a batch of texts: uniq are the sorted hashes, index the places in it of all, order after order."""
 
-    def __init__(self, texts: list[bytes | None], bits: int = 64) -> None:
+    def __init__(self, texts: Iterator[bytes | None], bits: int = 64) -> None:
         self.bits = bits
-        split = [(t or b"").split() for t in texts]
-        self.sizes = np.fromiter(map(len, split), np.int64, len(split))
-        n = int(self.sizes.sum())
-        w = np.fromiter((WORDS[x] for words in split for x in words), np.uint64, n)
-        self.doc = np.repeat(np.arange(len(split)), self.sizes)
+        parts = []
+        for t in texts:  # one text's words at a time
+            words = (t or b"").split()
+            parts.append(np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words)))
+        self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        w = np.concatenate([np.zeros(0, np.uint64), *parts])
+        del parts
+        n = len(w)
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.place = np.arange(n) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         two, three = np.flatnonzero(self.place >= 1), np.flatnonzero(self.place >= 2)
-        a, b, c = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-        pair = mix(w[two - 1] * a + mix(w[two] + b))
-        triple = mix(w[three - 2] * a + mix(w[three - 1] * c + mix(w[three] + b)))
         self.ends = [np.arange(n), two, three]
-        self.uniq, index = np.unique(np.concatenate((mix(w ^ c), pair, triple)) >> np.uint64(64 - bits), return_inverse=True)
+        a, b, c = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+        grams = np.empty(n + len(two) + len(three), np.uint64)
+        grams[:n] = mix(w ^ c)
+        grams[n : n + len(two)] = mix(w[two - 1] * a + mix(w[two] + b))
+        grams[n + len(two) :] = mix(w[three - 2] * a + mix(w[three - 1] * c + mix(w[three] + b)))
+        grams >>= np.uint64(64 - bits)
+        self.uniq, index = ranked(grams)
         self.index = np.split(index, [n, n + len(two)])
 
     def counts(self) -> np.ndarray:
-        return np.bincount(np.concatenate(self.index), minlength=len(self.uniq))
+        return sum(np.bincount(i, minlength=len(self.uniq)) for i in self.index)
 
     def buckets(self, n: int) -> np.ndarray:
         """Borders of the buckets in uniq: a bucket is a range of hashes."""
@@ -121,40 +143,73 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     rows to each other. Other columns are ignored.
     """
     kind = docs.schema[key].dataType.simpleString()
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    count = F.size(F.array_remove(F.split("t", WORD_SEPARATORS, -1), ""))
-    size, words = (x or 0 for x in docs.agg(F.sum(F.octet_length("t")), F.sum(count)).first())
-    batches = max(1, math.ceil(size / BATCH_BYTES))
+    words = docs.agg(F.sum(F.size(F.array_remove(F.split("t", WORD_SEPARATORS, -1), "")))).first()[0] or 0
     buckets = max(1, math.ceil(3 * words / BUCKET_GRAMS))
-    docs = docs.withColumn("batch", F.pmod(F.xxhash64("k", F.substring("t", 1, 64)), F.lit(batches)).cast("int"))
-
-    def ask(t: pa.Table) -> pa.Table:
-        g = Grams(t.column("t").cast(pa.binary()).to_pylist())
-        edge, counts = g.buckets(buckets), g.counts()
-        used = np.flatnonzero(np.diff(edge))
-        rows = [(squeeze(np.diff(g.uniq[edge[b] : edge[b + 1]], prepend=np.uint64(0))), squeeze(counts[edge[b] : edge[b + 1]])) for b in used]
-        n = len(used)
-        batch = t.column("batch")[0].as_py()
-        blocks = [pa.array([r[i] for r in rows], pa.binary()) for i in range(2)]
-        return pa.Table.from_arrays([pa.array(used, pa.int32()), pa.array([batch] * n, pa.int32()), *blocks], names=["bucket", "batch", "hashes", "counts"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def whole() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema) as out:
+                for b in held:
+                    out.write_batch(b)
+            data = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+            return pa.RecordBatch.from_pydict({"batch": pa.array([number], pa.int64()), "mark": pa.array([zlib.crc32(data)], pa.int64()), "texts": pa.array([data], pa.binary())})
+
+        for b in batches:
+            if held and size + b.nbytes > BATCH_BYTES:
+                yield whole()
+                number, held, size = number + 1, [], 0
+            held.append(b)
+            size += b.nbytes
+        if held:
+            yield whole()
+
+    def texts(data: pa.Scalar) -> pa.Table:
+        return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data.as_buffer())).read_all()
+
+    def grams(t: pa.Table) -> Grams:
+        return Grams(x.as_py() for x in t.column("t").cast(pa.binary()))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for batch, mark, data in zip(*(b.column(c) for c in ("batch", "mark", "texts")), strict=True):
+                g = grams(texts(data))
+                edge, counts = g.buckets(buckets), g.counts()
+                used = np.flatnonzero(np.diff(edge))
+                rows = [(squeeze(np.diff(g.uniq[edge[u] : edge[u + 1]], prepend=np.uint64(0))), squeeze(counts[edge[u] : edge[u + 1]])) for u in used]
+                n = len(used)
+                del g, counts
+                blocks = [pa.array([r[i] for r in rows], pa.binary()) for i in range(2)]
+                names = ["bucket", "batch", "mark", "hashes", "counts"]
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array([x.as_py()] * n, pa.int64()) for x in (batch, mark)), *blocks], names=names)
 
     def answer(t: pa.Table) -> pa.Table:
-        blocks = [np.cumsum(expand(x), dtype=np.uint64) for x in t.column("hashes").to_pylist()]
-        _, index = np.unique(np.concatenate(blocks), return_inverse=True)
-        totals = np.bincount(index, np.concatenate([expand(x) for x in t.column("counts").to_pylist()]))[index]
-        parts = np.split(totals, np.cumsum([len(b) for b in blocks])[:-1])
-        return pa.Table.from_arrays([t.column("batch"), t.column("bucket"), pa.array([squeeze(p.astype(np.uint64)) for p in parts], pa.binary())], names=["batch", "bucket", "totals"])
+        blocks = [np.cumsum(expand(x.as_py()), dtype=np.uint64) for x in t.column("hashes")]
+        edges = np.cumsum([len(b) for b in blocks])[:-1]
+        _, index = ranked(np.concatenate(blocks))
+        del blocks
+        totals = np.bincount(index, np.concatenate([expand(x.as_py()) for x in t.column("counts")]))[index]
+        parts = [squeeze(p.astype(np.uint64)) for p in np.split(totals, edges)]
+        return t.select(["batch", "mark", "bucket"]).append_column("totals", pa.array(parts, pa.binary()))
 
     def total(left: pa.Table, right: pa.Table) -> pa.Table:
-        g = Grams(left.column("t").cast(pa.binary()).to_pylist())
+        if len(left) != 1 or set(right.column("mark").to_pylist()) - {left.column("mark")[0].as_py()}:
+            raise RuntimeError("a batch came back with other texts than those counted")
+        own = texts(left.column("texts")[0])
+        g = grams(own)
         order = np.argsort(right.column("bucket").to_numpy())
-        got = right.column("totals").to_pylist()
-        totals = np.concatenate([np.zeros(0, np.uint64), *[expand(got[i]) for i in order]])
+        got = right.column("totals")
+        totals = np.concatenate([np.zeros(0, np.uint64), *(expand(got[int(i)].as_py()) for i in order)])
         s, three, two = g.scores(totals, words)
-        return pa.Table.from_arrays([left.column("k"), *map(pa.array, (g.sizes, three, two, s))], names=["k", "n_words", "n_trigrams", "n_bigrams", "log_score"])
+        return pa.Table.from_arrays([own.column("k"), *map(pa.array, (g.sizes, three, two, s))], names=["k", "n_words", "n_trigrams", "n_bigrams", "log_score"])
 
     # Asking and scoring are one query that deals the texts once.
-    asked = docs.groupBy("batch").applyInArrow(ask, "bucket int, batch int, hashes binary, counts binary")
-    answered = asked.groupBy("bucket").applyInArrow(answer, "batch int, bucket int, totals binary")
-    out = docs.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(total, f"k {kind}, n_words long, n_trigrams long, n_bigrams long, log_score double")
+    gathered = docs.mapInArrow(gather, "batch long, mark long, texts binary").repartition(partitions(docs.sparkSession), "batch")
+    asked = gathered.mapInArrow(ask, "bucket int, batch long, mark long, hashes binary, counts binary")
+    answered = asked.groupBy("bucket").applyInArrow(answer, "batch long, mark long, bucket int, totals binary")
+    out = gathered.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(total, f"k {kind}, n_words long, n_trigrams long, n_bigrams long, log_score double")
     return out.withColumnRenamed("k", key)
