@@ -30,7 +30,7 @@ from .substring import WORDS, mix
 
 BACKOFF = 0.4
 UNSEEN = 0.5
-BATCH_BYTES = 6_000_000
+BATCH_BYTES = 8_000_000
 BUCKET_GRAMS = 4_000_000
 
 SQL = """
@@ -156,7 +156,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             with pa.ipc.new_stream(sink, held[0].schema) as out:
                 for b in held:
                     out.write_batch(b)
-            data = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+            data = zstandard.ZstdCompressor(level=6).compress(sink.getvalue())
             return pa.RecordBatch.from_pydict({"batch": pa.array([number], pa.int64()), "mark": pa.array([zlib.crc32(data)], pa.int64()), "texts": pa.array([data], pa.binary())})
 
         for b in batches:
