@@ -19,6 +19,8 @@ from functools import lru_cache
 from typing import TYPE_CHECKING
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from .chunks import FIRST, Chunks, Kept
@@ -138,6 +140,36 @@ def text_encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
     return encode
 
 
+class Words(Chunks):
+    """Chunks are the lowered words of plain texts; Arrow numbers them, and each distinct one is looked up once a group.
+
+    others: ids of texts that aren't plain.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], others: Callable[[list[str]], list[bytes]]) -> None:
+        super().__init__(encode, KEPT)
+        self.others = others
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        other = [i for i, t in enumerate(texts) if t and not is_plain(t)]
+        hidden = set(other)
+        split = pc.ascii_split_whitespace(pa.array(["" if i in hidden else t.lower() for i, t in enumerate(texts)], pa.large_string()))
+        words = pc.dictionary_encode(split.values)
+        keys = words.dictionary.to_pylist()
+        new = [k for k in self.ids.need(set(keys)) if k]
+        self.ids.update(zip(new, self.encode(new), strict=True))
+        self.ids[""] = b""  # stands at the ends of a text with white space there
+        ids = list(map(self.ids.__getitem__, keys))
+        placed = pa.array(ids, pa.large_binary()).take(words.indices)
+        _, ends, data = placed.buffers()
+        edge = np.frombuffer(ends, np.int64, len(placed) + 1)[split.offsets.to_numpy()].tolist()
+        data = memoryview(data) if data else memoryview(b"")
+        out = [bytes(data[a:b]) for a, b in zip(edge, edge[1:], strict=False)]
+        for i, got in zip(other, self.others([texts[i] for i in other]), strict=True):
+            out[i] = got
+        return out
+
+
 @lru_cache(4)
 def encoder(path: str) -> Chunks:
     """Ids by the tokenizers library without special tokens; strings of special tokens are ordinary text."""
@@ -150,21 +182,34 @@ def encoder(path: str) -> Chunks:
     alphabet, known = byte_alphabet(), Kept(KEPT)
     blank, space = alphabet[32], " " if layout == "bytes" else ""
 
-    def learn(new: list[str]) -> None:
+    def learn(new: list[str]) -> list[bytes]:
+        out: list[bytes] = []
         for at in range(0, len(new), CALL):
             part = new[at : at + CALL]
             shown = [p.replace(" ", blank) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(alphabet) for p in part]
             got = model.encode(shown, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(got.ids, dtype="<u4").tobytes()
             ends = (np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(part) + 1)) * 4).tolist()
-            known.update((p, ids[a:b]) for p, a, b in zip(part, ends, ends[1:], strict=False))
+            out += [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        return out
 
     def by_pieces(keys: list[str]) -> list[bytes]:
         pieces = [pieces_of(k, space, split) for k in keys]
-        learn(list(known.need(set().union(*pieces))))
+        new = list(known.need(set().union(*pieces)))
+        known.update(zip(new, learn(new), strict=True))
         get = known.__getitem__
         return [get(ps[0]) if len(ps) == 1 else b"".join([get(p) for p in ps]) for ps in pieces]
 
+    def by_words(keys: list[str]) -> list[bytes]:
+        """Words of letters alone are their own pre-token, and not known yet."""
+        letters = [k for k in keys if k.isalpha()]
+        mixed = [k for k in keys if not k.isalpha()]
+        got = dict(zip(letters, learn(letters), strict=True)) | dict(zip(mixed, by_pieces(mixed), strict=True))
+        return [got[k] for k in keys]
+
+    if layout == "words":
+        return Words(by_words, lambda texts: by_library(whole, texts))
+
     def encode(keys: list[str]) -> list[bytes]:
         other = [k for k in keys if k[0] == WHOLE]
         if not other:
@@ -174,11 +219,9 @@ def encoder(path: str) -> Chunks:
         return [got[k] for k in keys]
 
     def parts(text: str) -> list[str]:
-        """Words of a plain text, or chunks at its single spaces, else the text as a whole."""
+        """Chunks of a plain text at its single spaces, else the text as a whole."""
         if not split or not is_plain(text):
             return [WHOLE + text]
-        if layout == "words":
-            return text.lower().split()
         if "  " in text or text[0] == " " or text[-1] == " " or " \n" in text or "\n " in text:
             return Chunks.cut(text)
         out = text.split(" ")
