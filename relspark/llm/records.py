@@ -25,8 +25,6 @@ from .common import ranges, small_batches
 
 MAGIC = b"RSPKREC1"
 HEADER = len(MAGIC) + 8
-#: Bytes of rows that are encoded together.
-GROUP_BYTES = 4 << 20
 
 
 def masked(data: bytes) -> int:
@@ -86,19 +84,6 @@ def parse(payload: bytes, width: int) -> tuple[int | None, np.ndarray]:
     return key if known else None, np.frombuffer(payload, f"<u{width}", offset=9)
 
 
-def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The batches, some together, so that their repeated words are looked up once."""
-    held, size = [], 0
-    for b in batches:
-        held.append(b)
-        size += b.nbytes
-        if size >= GROUP_BYTES:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = None, key: str = "doc_id", text: str = "text") -> list[tuple[str, int, int]]:
     """Encodes whole texts and writes them in ascending order of the key, a file for each range of keys.
 
@@ -122,7 +107,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = Non
         chunks, at, total, offsets = hf.encoder(tokenizer), HEADER, 0, []
         with where.open_output_stream(f"{own}.rec") as out:
             out.write(MAGIC + bytes([width]) + bytes(7))
-            for b in grouped(batches):
+            for b in batches:
                 for k, ids in zip(b.column(0).to_pylist(), chunks(b.column(1).to_pylist()), strict=True):
                     every = np.frombuffer(ids + end, "<u4")
                     data = frame(struct.pack("<?q", k is not None, k or 0) + every.astype(f"<u{width}").tobytes())
