@@ -25,7 +25,7 @@ def test_chunks_match_the_library(lib, spark, sf):
     rng = random.Random(3)
     bits = ["the", "THE", " ", " ", "  ", "\n", "\t", "é", "É", "ß", "İ", "Σ", "日", "😀", "'s", "'S", "1", "23", "!!", "\x00", "\x1f", "\u0301", "\u00a0", "in"]
     texts += ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 60))) for _ in range(1500)]
-    for x, ids in zip(texts, hf.encoder(WORD)(texts), strict=True):
+    for x, ids in zip(texts, hf.encoder(path)(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
 
 
@@ -97,6 +97,6 @@ def test_ranks_give_the_librarys_ids():
 
 
 def test_words_at_edges_have_the_librarys_ids():
-    texts = ["", " ", "\n", " A b ", "It's  THE\n\nend.", "x\ty", "İstanbul ÀÉ", "日本 語", "don't we'll I'VE 123abc", None, "ét", "\x00\x01 q", "<|endoftext|> hi", "word word"]
+    texts = ["", " ", "\n", " A b ", "It's  THE\n\nend.", "x\ty", "İstanbul ÀÉ", "日本 語", "don't we'll I'VE 123abc", None, "ét", "\x00\x01 q", "<|endoftext|> hi", "word word"]
     assert hf.encoder(WORD)(texts) == hf.by_library(hf.library(WORD), [t or "" for t in texts])
     assert hf.encoder(WORD)([None, ""]) == [b"", b""]
