@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relspark.operators.graph import connected_components
 from relspark.operators.storage import new_folder, shared_dir, written
 
-__all__ = ["cell_blocks", "connected_components", "new_folder", "partitions", "ranges", "shared_dir", "small_batches", "table", "written"]
+__all__ = ["cell_blocks", "connected_components", "exact_products", "finite", "new_folder", "partitions", "ranges", "shared_dir", "small_batches", "table", "whole_numbers", "written"]
 
 #: Most rows of (cell, blocks) that are broadcast, some megabytes.
 BROADCAST_CELLS = 100_000
@@ -62,3 +64,25 @@ def cell_blocks(rows: DataFrame, identity: list[str], most: int) -> DataFrame:
     rows = rows.withColumn("own", own).select(*kept, F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(other)).alias("p"))
     rows = rows.select("cell", "p.i", "p.j", "p.side", *[c for c in kept if c != "cell"])
     return rows.repartition(partitions(rows.sparkSession), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+
+
+def finite(vector: Column) -> Column:
+    """Whether a vector is there and all its components are finite numbers."""
+    return F.coalesce(F.forall(vector.cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
+def whole_numbers(lists: pa.ListArray, width: int, scale: float, limit: int) -> np.ndarray:
+    """floor(scale * x) of each vector's components in double precision, held to +-limit; (vectors, width), zeros after a vector's end."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    flat = np.clip(np.floor(scale * lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)), -limit, limit)
+    out = np.zeros((len(lists), width), np.int32)
+    rows = np.repeat(np.arange(len(lists)), sizes)
+    out[rows, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return out
+
+
+def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b.T of whole numbers: in doubles where every sum is exact there, else in 64-bit integers."""
+    most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * a.shape[1]
+    kind = np.float64 if most < 1 << 53 else np.int64
+    return (a.astype(kind) @ b.astype(kind).T).astype(np.int64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, lm, packing, quality, records, simhash, substring, toxicity, urls
+from . import bpe, codes, embeddings, exact, lexical, lm, packing, quality, records, simhash, substring, toxicity, urls
 from .common import new_folder, table
 
 
@@ -72,6 +72,20 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("log_score", F.round("log_score", 4))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return exact.top_k(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, n_docs, _ = lexical.index(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lexical.search(index, n_docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -83,4 +97,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": quality.SQL,
         "op9_substring_dedup": substring.SQL,
         "op10_lm_scoring": lm.SQL,
+        "op11_vector_codes": codes.sql(),
+        "op12_exact_top_k": exact.SQL,
+        "op13_lexical_search": lexical.SQL,
     }
