@@ -32,7 +32,6 @@ BLOCK, SHARD, ITEMS, RUN = 128, 1 << 22, 256, 64
 ROWS, NO_KEY = 1 << 14, 2**63 - 1
 #: A to Z become small letters, other ASCII characters than digits and letters separate terms.
 FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 SQL = r"""
 WITH d AS (SELECT doc_id, t.t AS term FROM documents, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t(t)),
@@ -122,8 +121,16 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"))
-    lengths = rows.select(F.regexp_count("text", F.lit(TERM)).cast("long").alias("n")).where("n > 0")
-    n_docs, n_terms = lengths.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs = terms = 0
+        for b in batches:
+            lengths = [len(terms_of(x)) for x in b.column(0).to_pylist()]
+            docs, terms = docs + sum(n > 0 for n in lengths), terms + sum(lengths)
+        yield pa.RecordBatch.from_pydict({"docs": [docs], "terms": [terms]})
+
+    counts = rows.select("text").mapInArrow(count, "docs long, terms long")
+    n_docs, n_terms = counts.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary: defaultdict[bytes, int] = defaultdict()
