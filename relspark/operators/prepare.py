@@ -27,18 +27,6 @@ def signal_windows(signal: Column, points: int, step: int) -> Column:
     return F.when(n >= points, F.transform(starts, lambda i: F.slice(signal, i + 1, F.lit(points)))).otherwise(F.array().cast("array<array<double>>"))
 
 
-def pulse_features(values: np.ndarray) -> dict[str, float]:
-    """Variability of beat intervals: rates, means, pairwise differences over 50 ms, spectrum."""
-    v = np.asarray(values, float)
-    near = np.abs(v[:, None] - v[None, :]) > 0.05
-    spectrum = np.abs(np.fft.rfft(v))
-    return {
-        "rate_mean": float(np.mean(1 / v)), "rate_sd": float(np.std(1 / v)), "rr_mean": float(v.mean()), "rr_sd": float(v.std()),
-        "rms": float(np.sqrt(np.mean(v * v))), "nn50": float(max(1, near.sum())), "pnn50": float(max(1, near.sum()) / len(v) ** 2),
-        "power_mean": float(spectrum.mean()), "power_sd": float(spectrum.std()), "power_sum": float(spectrum.sum()),
-    }
-
-
 def baseline_ratio(df: DataFrame, by: list[str], neutral: Column, columns: list[str]) -> DataFrame:
     """Columns divided by the group's neutral median; where all of a group's are missing by its median over all rows, then 1.
 

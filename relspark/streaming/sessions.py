@@ -7,7 +7,6 @@ Idle sessions are forgotten after a timeout, if one is given.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from relspark.operators.storage import new_folder
+
 OUTPUT = "seq long, session long, active boolean, state string, late boolean, notify boolean"
 STATE = "flags string, active boolean, last_us long, sent_us long"
 
@@ -67,8 +68,7 @@ def events_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
 
 def run_available(spark: SparkSession, path: str, out: str | None = None) -> DataFrame:
     """Runs over what is there and returns the states written: exactly once, by the sink's log and the checkpoint."""
-    base = out or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="relspark-stream-")
-    base = f"{base}/stream-{uuid.uuid4().hex}"
+    base = f"{out}/stream-{uuid.uuid4().hex}" if out else new_folder(spark, "stream")
     glob = path.rsplit("/", 1)
     states = session_states(events_stream(spark, f"{glob[0]}/{glob[1].replace('events.parquet', 'events.parque[t]')}"))
     query = states.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start(f"{base}/out")

@@ -232,7 +232,6 @@ def test_windows_and_alignment(spark):
     moved = prepare.coral(da, ["p", "q"], prepare.moments(da, ["p", "q"]), prepare.moments(db, ["p", "q"]))
     m, c = prepare.moments(moved, ["p", "q"])
     assert np.allclose(m, b.mean(axis=0), atol=1e-6) and np.allclose(c, np.cov(b.T), atol=1e-3)
-    assert prepare.pulse_features(np.array([0.8, 0.9]))["nn50"] == 2
 
 
 def test_readers_and_writers(spark, tmp_path):
