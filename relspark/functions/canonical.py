@@ -37,8 +37,10 @@ def json_double(x: Column) -> Column:
         return F.when(n == 0, "0.0").when((ten < -4) | (ten >= 16), power).when(ten < 0, small).otherwise(large)
 
     # The platform's own text may have a digit too many: fewer digits are taken where they read back as x.
-    fewer = [F.format_string(f"%.{n}e", F.abs(x)) for n in (14, 15)]
-    shortest = F.coalesce(*[F.when(t.try_cast("double") == F.abs(x), t) for t in fewer], F.abs(x).cast("string"))
+    size = F.abs(x)
+    reads = lambda n: F.when(F.format_string(f"%.{n}e", size).try_cast("double") == size, F.format_string(f"%.{n}e", size))
+    least = F.when(size < 2.3e-308, F.coalesce(*map(reads, range(14))))  # digits fade out below the normal numbers
+    shortest = F.coalesce(least, *map(reads, (14, 15, 16)), size.cast("string"))
     body = F.get(F.transform(F.array(shortest), text), F.lit(0))
     sign = F.when(F.startswith(x.cast("string"), F.lit("-")), "-").otherwise("")
     return F.when(F.isnan(x), "NaN").when(x == float("inf"), "Infinity").when(x == float("-inf"), "-Infinity").otherwise(F.concat(sign, body))
