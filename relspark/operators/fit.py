@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relspark.functions.numeric import CLIP, logit, rms_distance
+from relspark.functions.numeric import CLIP, logit, rms_distance, sigmoid
+from relspark.operators import ranks
 
 
 def scale_of(mad: Column, std: Column) -> Column:
@@ -18,9 +19,11 @@ def scale_of(mad: Column, std: Column) -> Column:
 
 def robust_profile(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """n, median, scale by group, of a long table with a value in each row: medians first, then deviations from them."""
-    medians = df.groupBy(*by).agg(F.percentile(value, 0.5).alias("median"), F.stddev_samp(value).alias("_sd"), F.count(value).alias("n"))
-    off = df.join(medians.select(*by, "median"), by).groupBy(*by).agg(F.percentile(F.abs(F.col(value) - F.col("median")), 0.5).alias("_mad"))
-    return medians.join(off, by).select(*by, "n", "median", scale_of(F.col("_mad"), F.col("_sd")).alias("scale"))
+    spread = df.groupBy(*by).agg(F.stddev_samp(value).alias("_sd"))
+    medians = ranks.quantiles(df, value, by, {"median": 0.5})
+    off = df.join(medians.select(*by, "median"), by).withColumn("_off", F.abs(F.col(value) - F.col("median")))
+    mad = ranks.quantiles(off, "_off", by, {"_mad": 0.5}).select(*by, "_mad")
+    return medians.join(mad, by).join(spread, by).select(*by, "n", "median", scale_of(F.col("_mad"), F.col("_sd")).alias("scale"))
 
 
 def long_form(df: DataFrame, array: str, *keep: str) -> DataFrame:
@@ -34,14 +37,8 @@ def profile_arrays(df: DataFrame, array: str) -> tuple[list[float], list[float]]
 
 
 def order_statistic(df: DataFrame, value: str, rank: Column, by: list[str]) -> DataFrame:
-    """The rank-th smallest value (from 1) by group; rank may use n, the group's rows.
-
-    Equal values are summed first, so the sort is over distinct values.
-    """
-    cells = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.withColumns({"_upto": F.sum("_c").over(w), "n": F.sum("_c").over(Window.partitionBy(*by))})
-    return cells.where(F.col("_upto") >= rank).groupBy(*by).agg(F.min(value).alias(value), F.first("n").alias("n"))
+    """The rank-th smallest value (from 1) by group; rank may use n, the group's rows."""
+    return ranks.order_statistics(df, value, by, {"_found": rank}).select(*by, F.col("_found").alias(value), "n")
 
 
 def higher_quantile(q: float) -> Column:
@@ -99,3 +96,40 @@ def platt(df: DataFrame, y: str, x: str, l2: float = 1e-4, steps: int = 100) ->
 
 def logits(df: DataFrame, p: str, name: str = "x") -> DataFrame:
     return df.withColumn(name, logit(F.col(p), CLIP))
+
+
+def temperature_steps(df: DataFrame, y: str, logits: str, floor: float = 1e-3, most: int = 60, tolerance: float = 1e-10) -> tuple[float, float]:
+    """(temperature, loss) of least mean loss of sigmoid(logit / t), with t = exp(x) + floor, by quasi-Newton steps from x = 0.
+
+    One pass takes the loss and its slope at five step lengths at once; the longest that lowers the loss enough is taken, and two
+    slopes give the curvature for the next step. Ends when the slope is below the tolerance or no step helps. Null rows are
+    left out; without rows the temperature is 1 + floor and the loss NaN.
+    """
+    rows = df.where(F.col(y).isNotNull() & F.col(logits).isNotNull())
+
+    def at(xs: list[float]) -> list[tuple[float, float]]:
+        out = []
+        for x in xs:
+            t = math.exp(x) + floor
+            z = F.col(logits) / t
+            out += [F.avg(F.greatest(z, F.lit(0.0)) - z * F.col(y) + F.log1p(F.exp(-F.abs(z)))), F.avg((sigmoid(z) - F.col(y)) * z * (-math.exp(x) / t))]
+        row = rows.agg(*out).first()
+        return [(row[2 * i], row[2 * i + 1]) for i in range(len(xs))]
+
+    x, ((loss, slope),) = 0.0, at([0.0])
+    if loss is None:
+        return math.exp(x) + floor, math.nan
+    curvature = max(abs(slope), 1e-3)
+    for _ in range(most):
+        if abs(slope) < tolerance:
+            break
+        step = max(-2.0, min(2.0, -slope / curvature))
+        trials = [x + step * 0.4**k for k in range(5)]
+        found = at(trials)
+        k = next((k for k, (f, _) in enumerate(found) if f <= loss + 1e-4 * slope * (trials[k] - x)), None)
+        if k is None:
+            break
+        change = (found[k][1] - slope) / (trials[k] - x)
+        curvature = change if change > 1e-12 else curvature / 2
+        x, (loss, slope) = trials[k], found[k]
+    return math.exp(x) + floor, loss

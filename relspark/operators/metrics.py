@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relspark.functions.numeric import clip_probability
+from relspark.operators import ranks
 
 
 def safe(n: Column, d: Column, default: float | None = 0.0) -> Column:
@@ -60,12 +61,11 @@ def confusion(df: DataFrame, y: str, predicted: Column, by: list[str]) -> DataFr
 def auroc(df: DataFrame, y: str, p: str, by: list[str], default: float | None = None) -> DataFrame:
     """Area under the ROC curve by group; `default` where a class is missing.
 
-    Rows are first summed by score, so that a group's sort is over its distinct scores, and ties count one half.
+    Rows are first summed by score and ties count one half; scores are counted in ranges, so that a group is never in one task.
     """
     cells = df.groupBy(*by, p).agg(F.count("*").alias("_n"), F.sum(y).cast("long").alias("_y"))
-    w = Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum(F.col("_n") - F.col("_y")).over(w), F.lit(0))
-    cells = cells.withColumn("_wins", F.col("_y") * (below + (F.col("_n") - F.col("_y")) / 2.0))
+    cells = ranks.running(cells, by, [F.col(p)], {"_upto": F.col("_n") - F.col("_y")})
+    cells = cells.withColumn("_wins", F.col("_y") * (F.col("_upto") - (F.col("_n") - F.col("_y")) / 2.0))
     ones, all_ = F.sum("_y"), F.sum("_n")
     out = cells.groupBy(*by).agg(F.sum("_wins").alias("_w"), ones.alias("positives"), (all_ - ones).alias("negatives"))
     return out.select(*by, "positives", "negatives", safe(F.col("_w"), F.col("positives") * F.col("negatives"), default).alias("auroc"))
@@ -73,10 +73,9 @@ def auroc(df: DataFrame, y: str, p: str, by: list[str], default: float | None =
 
 def aurc(df: DataFrame, wrong: str, confidence: str, tie: str, by: list[str]) -> DataFrame:
     """Area under the risk-coverage curve by group, by trapezoids; equal confidences in the order of `tie`."""
-    w = Window.partitionBy(*by).orderBy(F.desc(confidence), F.asc(tie))
-    rows = w.rowsBetween(Window.unboundedPreceding, 0)
-    curve = df.withColumns({"_risk": F.avg(wrong).over(rows), "_k": F.row_number().over(w), "_n": F.count("*").over(Window.partitionBy(*by))})
-    curve = curve.withColumn("_before", F.lag("_risk").over(w))
+    curve = ranks.running(df.select(*by, F.col(wrong).cast("double").alias("_x"), F.col(confidence).alias("_c"), F.col(tie).alias("_t")), by, [F.desc("_c"), F.asc("_t")], {"_w": F.col("_x"), "_k": F.lit(1).cast("long")})
+    before = F.when(F.col("_k") > 1, (F.col("_w") - F.col("_x")) / (F.col("_k") - 1))
+    curve = curve.withColumns({"_risk": F.col("_w") / F.col("_k"), "_before": before, "_n": F.col("_all__k")})
     return curve.groupBy(*by).agg(F.coalesce(F.sum((F.col("_risk") + F.col("_before")) / 2 / F.col("_n")), F.lit(0.0)).alias("aurc"), F.count("*").alias("n"))
 
 

@@ -116,16 +116,3 @@ def paired(left: DataFrame, right: DataFrame, place: str) -> DataFrame:
     if a != b or out.count() != a:
         raise ValueError(f"{a} rows and {b} rows don't pair by {place}")
     return out
-
-
-def water_fill(sizes: list[int], target: int) -> list[int]:
-    """How many to take of each bin: one of each that has any, then round by round one of each with room, those with the most room first."""
-    out = [min(1, s) for s in sizes]
-    left = target - sum(out)
-    if left < 0 and any(out):
-        raise ValueError("fewer wanted than bins")
-    while left > 0 and (room := [i for i, s in enumerate(sizes) if out[i] < s]):
-        for i in sorted(room, key=lambda i: (sizes[i] - out[i], sizes[i], -i), reverse=True)[:left]:
-            out[i] += 1
-            left -= 1
-    return out

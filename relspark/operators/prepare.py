@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relspark.functions.hashing import digest
+from relspark.functions.numeric import is_finite
+from relspark.operators import ranks
 
 
 def label_windows(df: DataFrame, by: str, index: str, label: str, points: int, step: int) -> DataFrame:
@@ -30,22 +32,46 @@ def signal_windows(signal: Column, points: int, step: int) -> Column:
 def baseline_ratio(df: DataFrame, by: list[str], neutral: Column, columns: list[str]) -> DataFrame:
     """Columns divided by the group's neutral median; where all of a group's are missing by its median over all rows, then 1.
 
-    A baseline is at least 1e-8. Medians are aggregates joined back, a row for each group.
+    A baseline is at least 1e-8. Medians are a row for each group, from ranges of values.
     """
-    m = df.groupBy(*by).agg(*[F.percentile(F.when(neutral, F.col(c)), 0.5).alias(f"_n_{c}") for c in columns], *[F.percentile(c, 0.5).alias(f"_a_{c}") for c in columns])
-    none = F.coalesce(*[F.col(f"_n_{c}") for c in columns]).isNull()
-    m = m.select(*by, *[F.greatest(F.coalesce(F.when(none, F.col(f"_a_{c}")).otherwise(F.col(f"_n_{c}")), F.lit(1.0)), F.lit(1e-8)).alias(f"_b_{c}") for c in columns])
+    both = {f"_n_{c}": F.when(neutral, F.col(c)) for c in columns} | {f"_a_{c}": F.col(c) for c in columns}
+    m = ranks.column_quantiles(df, by, both, {"m": 0.5})
+    none = F.coalesce(*[F.col(f"_n_{c}_m") for c in columns]).isNull()
+    m = m.select(*by, *[F.greatest(F.coalesce(F.when(none, F.col(f"_a_{c}_m")).otherwise(F.col(f"_n_{c}_m")), F.lit(1.0)), F.lit(1e-8)).alias(f"_b_{c}") for c in columns])
     out = df.join(m, by)
     return out.select(*df.columns, *[(F.col(c) / F.col(f"_b_{c}")).alias(f"{c}_ratio") for c in columns])
 
 
+def robust_baseline(whole: DataFrame, windows: DataFrame, by: list[str], feature: str, value: str) -> DataFrame:
+    """(by..., feature, value, origin): a signal's features from the whole of it, or from its windows where the whole has failed.
+
+    Both tables are long. The whole has failed if any of its features is missing or not finite; then each feature is the median of
+    the windows where it is finite (origin `windows`), null if there is none (origin `none`). Signals that only have windows count too.
+    """
+    finite = lambda df: df.where(is_finite(F.col(value)))
+    good = whole.groupBy(*by).agg(F.min(is_finite(F.col(value)).cast("int")).alias("_ok"))
+    kept = whole.join(good.where("_ok = 1").select(*by), by, "left_semi").select(*by, feature, value, F.lit("whole").alias("origin"))
+    names = whole.select(*by, feature).unionByName(windows.select(*by, feature)).distinct()
+    left = names.join(good.where("_ok = 1").select(*by), by, "left_anti")
+    medians = ranks.quantiles(finite(windows.join(good.where("_ok = 1").select(*by), by, "left_anti")), value, [*by, feature], {"_m": 0.5})
+    rest = left.join(medians, [*by, feature], "left").select(*by, feature, F.col("_m").alias(value), F.when(F.col("_m").isNull(), "none").otherwise("windows").alias("origin"))
+    return kept.unionByName(rest)
+
+
+def robust_scaled(df: DataFrame, by: list[str], columns: list[str], clip: float) -> DataFrame:
+    """df with <column>_z: distance from the group's median over its interquartile range (1e-6 at least), held to +-clip."""
+    q = ranks.column_quantiles(df, by, {c: F.col(c) for c in columns}, {"low": 0.25, "mid": 0.5, "high": 0.75})
+    out = df.join(q, by) if by else df.crossJoin(F.broadcast(q))  # without groups one row
+    z = {c: (F.col(c) - F.col(f"{c}_mid")) / F.greatest(F.col(f"{c}_high") - F.col(f"{c}_low"), F.lit(1e-6)) for c in columns}
+    return out.select(*df.columns, *[F.least(F.greatest(v, F.lit(-clip)), F.lit(clip)).alias(f"{c}_z") for c, v in z.items()])
+
+
 def trim(df: DataFrame, by: list[str], columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Rows none of whose columns lies strictly outside its group's quantiles (linear interpolation)."""
-    q = df.groupBy(*by).agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"_q_{c}") for c in columns])
-    inside = [F.col(c).between(F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]) for c in columns]
+    q = ranks.column_quantiles(df, by, {c: F.col(c) for c in columns}, {"low": low, "high": high})
     out = df.join(q, by)
-    for c in inside:
-        out = out.where(c)
+    for c in columns:
+        out = out.where(F.col(c).between(F.col(f"{c}_low"), F.col(f"{c}_high")))
     return out.select(df.columns)
 
 
@@ -59,8 +85,8 @@ def balance(df: DataFrame, label: str, focus: object, order: Column, share: floa
     whole = F.min(F.when(mine, F.col("_n")).otherwise(3 * F.col("_n"))).over(Window.partitionBy())
     target = F.greatest(F.when(mine, whole).otherwise(F.floor(whole * F.lit(share))), F.lit(1))
     strides = sizes.withColumn("_stride", F.ceil(F.col("_n") / target).cast("long")).select(label, "_stride")
-    numbered = df.withColumn("_i", F.row_number().over(Window.partitionBy(label).orderBy(order)) - 1).join(strides, label)
-    return numbered.where(F.col("_i") % F.col("_stride") == 0).select(df.columns)
+    rows = ranks.numbered(df, [label], [order]).join(strides, label)
+    return rows.where((F.col("_i") - 1) % F.col("_stride") == 0).select(df.columns)
 
 
 def moving_average(value: str, by: list[str], order: str, half: int) -> Column:
@@ -71,13 +97,34 @@ def moving_average(value: str, by: list[str], order: str, half: int) -> Column:
 
 def stratified_split(df: DataFrame, label: str, key: str, fraction: float, seed: int = 42) -> DataFrame:
     """df with chosen: a fixed share of each class (half up), by the order of a seeded digest of the key."""
-    w = Window.partitionBy(label).orderBy(digest(str(seed), F.col(key)), key)
-    n = F.count("*").over(Window.partitionBy(label))
-    return df.withColumn("chosen", F.row_number().over(w) <= F.floor(n * F.lit(fraction) + 0.5))
+    rows = ranks.numbered(df, [label], [digest(str(seed), F.col(key)), F.col(key)])
+    return rows.withColumn("chosen", F.col("_i") <= F.floor(F.col("_n") * F.lit(fraction) + 0.5)).drop("_i", "_n")
 
 
 def equal_bins(df: DataFrame, value: str, tie: str, bins: int, by: list[str]) -> DataFrame:
-    return df.withColumn("bin", F.ntile(bins).over(Window.partitionBy(*by).orderBy(value, tie)))
+    """df with bin, from 1: as many rows in each bin of a group as can be, the first bins one more."""
+    rows = ranks.numbered(df, by, [F.col(value), F.col(tie)])
+    small, more = F.floor(F.col("_n") / bins), F.col("_n") % bins
+    edge = more * (small + 1)
+    place = F.col("_i") - 1
+    number = F.when(place < edge, F.floor(place / (small + 1))).otherwise(more + F.floor((place - edge) / F.greatest(small, F.lit(1))))
+    return rows.withColumn("bin", (number + 1).cast("int")).drop("_i", "_n")
+
+
+def choose_subjects(df: DataFrame, subject: str, ratio: str, fraction: float, bins: int, seed: int = 42) -> DataFrame:
+    """(subject, ratio, bin, chosen): a share of the subjects (half to even, at least one, not all), spread over bins of their ratio.
+
+    Bins are equal runs by (ratio, subject), at most as many as are chosen; each gives its part by the level that `target` rises to,
+    its subjects in the order of a seeded digest. One subject alone is chosen. A subject without a ratio comes first.
+    """
+    rows = df.select(subject, ratio)
+    n = rows.count()
+    target = n if n <= 1 else min(n - 1, max(1, round(n * fraction)))
+    rows = equal_bins(rows, ratio, subject, max(1, min(max(1, bins), n, target)), [])
+    takes = ranks.level(rows.groupBy("bin").agg(F.count("*").alias("_size")), "bin", "_size", target).select("bin", "take")
+    order = [digest(str(seed), F.col(subject)), F.col(subject)]
+    rows = ranks.numbered(rows, ["bin"], order).join(F.broadcast(takes), "bin")  # a row for each bin
+    return rows.select(subject, ratio, "bin", (F.col("_i") <= F.col("take")).alias("chosen"))
 
 
 def leave_one_out(subjects: DataFrame, subject: str, seed: int = 5101) -> DataFrame:
@@ -100,8 +147,8 @@ def quota_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42)
     quota = F.greatest(F.lit(1), F.floor(F.lit(n) * F.col("_n") / F.sum("_n").over(every)))
     sizes = sizes.withColumn("_q", quota).withColumns({"_left": F.greatest(F.lit(n) - F.sum("_q").over(every), F.lit(0)), "_place": F.row_number().over(every.orderBy(F.desc("_n"), stratum))})
     quota = sizes.select(stratum, (F.col("_q") + F.when(F.col("_place") == 1, F.col("_left")).otherwise(0)).alias("_q"))
-    w = Window.partitionBy(stratum).orderBy(digest(str(seed), F.col(key)), key)
-    return df.withColumn("_r", F.row_number().over(w)).join(quota, stratum).where("_r <= _q").select(df.columns)
+    rows = ranks.numbered(df, [stratum], [digest(str(seed), F.col(key)), F.col(key)])
+    return rows.join(quota, stratum).where("_i <= _q").select(df.columns)
 
 
 def moments(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from relspark.catalog import read, register
 from relspark.functions import text as T
-from relspark.operators import cascade, policy, prepare
+from relspark.operators import cascade, fit, policy, prepare, ranks
 from relspark.plans.measures import r6
-from relspark.plans.sessions import CASCADE, POLICY, inferences
+from relspark.plans.sessions import CASCADE_STEPS, POLICY, inferences
 
-DECIDED = CASCADE.replace("WITH i AS", "WITH i AS").split("SELECT seq, gate AS state FROM h")[0] + """, d2 AS (
+DECIDED = CASCADE_STEPS + """, d2 AS (
 SELECT seq, gate AS state FROM h WHERE gate IS NOT NULL UNION ALL SELECT seq, CASE WHEN active THEN 'RELIABLE_ELEVATED' WHEN c > 0.45 THEN 'MONITOR' ELSE 'RELIABLE_LOW' END FROM live),
 r AS (SELECT h.*, d2.state, session % 5 AS fold, CASE WHEN k >= 50 THEN 1 ELSE 0 END AS y, coalesce(gate, '') <> 'DATA_INVALID' AS valid, CASE WHEN coalesce(gate, '') <> 'DATA_INVALID' AND h.d <= 4 THEN CAST(c <= 0.4 AS INT) + CAST(1 - c <= 0.4 AS INT) END AS n_set FROM h JOIN d2 USING (seq))"""
 
@@ -120,10 +120,51 @@ def task_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.agg(F.count("*").alias("tasks"), F.count_if(F.col("there").isNull()).alias("missing"), F.count("there").alias("found"))
 
 
-@register("robust_clip", "SELECT l_orderkey, l_linenumber, round(least(greatest((l_extendedprice - 30000.0) / 9000.0, -3.0), 3.0), 6) AS z FROM lineitem")
+@register("robust_clip", """WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, [0.25, 0.5, 0.75]) AS q FROM lineitem GROUP BY 1)
+SELECT l_orderkey, l_linenumber, round(least(greatest((l_extendedprice - q[2]) / greatest(q[3] - q[1], 1e-6), -1.2), 1.2), 6) AS z FROM lineitem JOIN q USING (l_returnflag)""")
 def robust_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = F.least(F.greatest((F.col("l_extendedprice") - 30000.0) / 9000.0, F.lit(-3.0)), F.lit(3.0))
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(z, 6).alias("z"))
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
+    out = prepare.robust_scaled(rows, ["l_returnflag"], ["l_extendedprice"], 1.2)
+    return out.select("l_orderkey", "l_linenumber", F.round("l_extendedprice_z", 6).alias("z"))
+
+
+SUBJECTS = "SELECT c_custkey AS subject, coalesce(avg(CAST(o_orderpriority IN ('1-URGENT', '2-HIGH') AS INT)), 0) AS ratio FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1"
+
+
+@register("stratified_subjects", f"""WITH s AS ({SUBJECTS}), n AS (SELECT least(count(*) - 1, greatest(1, CAST(round_even(count(*) * 0.17, 0) AS BIGINT))) AS target FROM s),
+b AS (SELECT *, CAST(ntile(7) OVER (ORDER BY ratio, subject) AS INT) AS bin FROM s), z AS (SELECT bin, count(*) AS size FROM b GROUP BY 1),
+u AS (SELECT bin, row_number() OVER (ORDER BY unit, size DESC, bin) AS i FROM (SELECT bin, size, unnest(range(size)) AS unit FROM z)), t AS (SELECT bin, count(*) AS take FROM u, n WHERE i <= target GROUP BY 1)
+SELECT subject, round(ratio, 6) AS ratio, bin, row_number() OVER (PARTITION BY bin ORDER BY sha256('42:' || subject), subject) <= take AS chosen FROM b JOIN t USING (bin)""")
+def stratified_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sixth of the customers, spread evenly over seven bins of their share of urgent orders."""
+    urgent = F.avg(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int"))
+    ratios = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("subject")).agg(urgent.alias("r"))
+    subjects = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject")).join(ratios, "subject", "left").select("subject", F.coalesce("r", F.lit(0.0)).alias("ratio"))
+    return r6(prepare.choose_subjects(subjects, "subject", "ratio", 0.17, 7), "ratio")
+
+
+BROKEN = "CASE WHEN event_type = 'error' THEN CAST('NaN' AS DOUBLE) ELSE 0.4 + least(value, 160) / 200 END"
+
+
+@register("robust_baseline", f"""WITH b AS (SELECT user_id, event_id // 1250 AS w, {BROKEN} AS x FROM events),
+f AS (SELECT user_id, w, unnest(['rr_mean', 'rms']) AS feature, unnest([avg(x), sqrt(avg(x * x))]) AS value FROM b GROUP BY user_id, w),
+g AS (SELECT user_id, unnest(['rr_mean', 'rms']) AS feature, unnest([avg(x), sqrt(avg(x * x))]) AS value FROM b GROUP BY user_id),
+m AS (SELECT user_id, feature, median(value) AS value FROM f WHERE isfinite(value) GROUP BY ALL)
+SELECT g.user_id, g.feature, round(CASE WHEN isfinite(g.value) THEN g.value ELSE m.value END, 6) AS value, CASE WHEN isfinite(g.value) THEN 'whole' WHEN m.value IS NULL THEN 'none' ELSE 'windows' END AS origin FROM g LEFT JOIN m USING (user_id, feature)""")
+def robust_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' beat intervals, of which errors break the whole recording and their own windows."""
+    rows = read(spark, sf_dir, "events").select("user_id", F.floor(F.col("event_id") / 1250).alias("w"), F.expr(BROKEN).alias("x"))
+    features = lambda *by: ranks.melted(rows.groupBy(*by).agg(F.avg("x").alias("a"), F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("r")), list(by), {"rr_mean": F.col("a"), "rms": F.col("r")})
+    return r6(prepare.robust_baseline(features("user_id"), features("user_id", "w"), ["user_id"], "column", "value"), "value").withColumnRenamed("column", "feature")
+
+
+@register("temperature_steps", """WITH e AS (SELECT 3 * ln((value + 1) / 18) AS l, CASE WHEN value + event_id % 7 * 8 > 42 THEN 1 ELSE 0 END AS y FROM events),
+t AS (SELECT 0.5 + 0.005 * i AS t FROM range(1500) AS r(i)), f AS (SELECT t, avg(greatest(l / t, 0) - l / t * y + ln(1 + exp(-abs(l / t)))) AS loss FROM e, t GROUP BY 1) SELECT round(min(loss), 5) AS loss FROM f""")
+def temperature_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least loss that a temperature reaches; the SQL tries a grid."""
+    rows = read(spark, sf_dir, "events").select((3 * F.log((F.col("value") + 1) / 18)).alias("l"), (F.col("value") + F.col("event_id") % 7 * 8 > 42).cast("int").alias("y"))
+    _, loss = fit.temperature_steps(rows, "y", "l")
+    return spark.range(1).select(F.round(F.lit(loss), 5).alias("loss"))
 
 
 @register("merged_groups", """WITH RECURSIVE m AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey * 10 + c_custkey % 10 END AS g FROM customer),

@@ -80,19 +80,18 @@ def inferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-CASCADE = """WITH i AS (SELECT event_id AS seq, user_id AS session, ts, value AS f1, CAST(json_extract(props, '$.k') AS DOUBLE) AS k, event_id AS e,
+CASCADE_STEPS = """WITH i AS (SELECT event_id AS seq, user_id AS session, ts, value AS f1, CAST(json_extract(props, '$.k') AS DOUBLE) AS k, event_id AS e,
   CASE WHEN event_id % 47 <> 0 THEN value / (value + 20.0) END AS pr FROM events),
 g AS (SELECT *, greatest(abs(f1 - 20.0) / 20.0, abs(k - 50.0) / 30.0) AS z, sqrt((pow((f1 - 20.0) / 20.0, 2) + pow((k - 50.0) / 30.0, 2)) / 2) AS d,
   1.0 / (1.0 + exp(-(ln(least(greatest(pr, 1e-7), 1 - 1e-7)) - ln(1 - least(greatest(pr, 1e-7), 1 - 1e-7))))) AS c FROM i),
 h AS (SELECT *, CASE WHEN e % 53 = 0 OR e % 41 = 0 OR e % 43 = 0 OR k / 100 < 0.02 OR z >= 15 OR pr IS NULL THEN 'DATA_INVALID'
   WHEN d > 4 OR (CASE WHEN c <= 0.4 THEN 1 ELSE 0 END + CASE WHEN 1 - c <= 0.4 THEN 1 ELSE 0 END) <> 1 OR greatest(c, 1 - c) < 0.6 THEN 'OOD_OR_UNCERTAIN' END AS gate FROM g),
 counted AS (SELECT *, sum(CASE WHEN c >= 0.65 THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n FROM h WHERE gate IS NULL),
-live AS (SELECT *, coalesce(last_value(CASE WHEN c >= 0.65 AND n >= 2 THEN 1 WHEN c <= 0.45 THEN 0 END IGNORE NULLS) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) = 1 AS active FROM counted)
-SELECT seq, gate AS state FROM h WHERE gate IS NOT NULL
-UNION ALL SELECT seq, CASE WHEN active THEN 'RELIABLE_ELEVATED' WHEN c > 0.45 THEN 'MONITOR' ELSE 'RELIABLE_LOW' END FROM live"""
+live AS (SELECT *, coalesce(last_value(CASE WHEN c >= 0.65 AND n >= 2 THEN 1 WHEN c <= 0.45 THEN 0 END IGNORE NULLS) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) = 1 AS active FROM counted)"""
 
 
-@register("reliability_cascade", CASCADE)
+@register("reliability_cascade", CASCADE_STEPS + """ SELECT seq, gate AS state FROM h WHERE gate IS NOT NULL
+UNION ALL SELECT seq, CASE WHEN active THEN 'RELIABLE_ELEVATED' WHEN c > 0.45 THEN 'MONITOR' ELSE 'RELIABLE_LOW' END FROM live""")
 def reliability_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.decide(inferences(spark, sf_dir), POLICY).select("seq", "state")
 

@@ -44,10 +44,6 @@ def test_groups_pairs_and_bins(spark):
     assert {r.k: r.cluster for r in policy.merged_groups(members, "k", "g", near).collect()} == {1: 1, 2: 2, 3: 1, 4: 1, 5: 1, 6: 6}
     with pytest.raises(ValueError):
         policy.paired(members.select("k"), members.limit(3).select("k"), "k")
-    assert policy.water_fill([5, 0, 2, 9], 8) == [3, 0, 2, 3]
-    assert policy.water_fill([1, 1], 9) == [1, 1]
-    with pytest.raises(ValueError):
-        policy.water_fill([1, 1, 1], 2)
 
 
 def test_normal_form_and_claims(spark):
