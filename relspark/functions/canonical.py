@@ -14,9 +14,9 @@ CONTROLS = {chr(i): f"\\u{i:04x}" for i in range(32) if chr(i) not in ESCAPES}
 
 def json_string(s: Column) -> Column:
     """A quoted string; other letters than ASCII ones stay as they are."""
-    over = lambda c, pairs: reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), pairs.items(), c)
-    s = over(s, ESCAPES)
-    return F.concat(F.lit('"'), F.when(F.regexp_like(s, F.lit(r"[\x00-\x1f]")), over(s, CONTROLS)).otherwise(s), F.lit('"'))
+    s = reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), ESCAPES.items(), s)
+    rare = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(t).alias("t")) for c, t in CONTROLS.items()])
+    return F.concat(F.lit('"'), F.when(F.regexp_like(s, F.lit(r"[\x00-\x1f]")), F.aggregate(rare, s, lambda a, r: F.replace(a, r["c"], r["t"]))).otherwise(s), F.lit('"'))
 
 
 def json_double(x: Column) -> Column:
