@@ -2,17 +2,20 @@
 
 Each text gets counts in one pass without a shuffle. Rules are rates that junk has much of; a rule rejects from a
 cutoff on. Labelled rows that the base rules keep are split by the MD5 of the key as text: a quarter of them learn, the
-rest is the holdout. Learning rows give a path of ever stricter rule sets: step t has, for each rule, the lowest cutoff of
-the grid that turns away at most SHARES[t] thousandths of the good ones, if its gain there (bad rows turned away, each good
-one counting COST times) is positive. The holdout certifies the steps: from the mildest on, a step passes if a binomial test rejects "its
-rules together turn away at least RISK of the good rows": P(Bin(n, RISK) <= k) <= LEVEL / groups, k of the n good holdout
-rows being turned away by any rule. This is the exact (Clopper-Pearson) upper bound below RISK; testing stops at the first
-step that fails (fixed sequence), Bonferroni covers the groups. So with probability 1 - LEVEL no group loses more than RISK
-of its good rows to all rules together. Of the steps that pass, the one of largest gain on both parts is taken, ties going to the
-mildest, and none without gain.
-
-A stratum with enough good holdout rows to certify anything, if none is turned away, is a group of its own. Smaller ones
-take the rules of the group of all labelled rows: the limit then holds for all rows taken together, not for the small stratum alone. Strata
+rest is the holdout. Learning rows give a path of rule sets, each one cutoff stricter than the one before. For each rule and each of
+SHARES, a cutoff is the lowest of the grid that turns away at most so many thousandths of the good ones; it counts if its gain (bad rows
+turned away, each good one counting COST times) is positive. Cutoffs join the path one at a time, by their share, then the greatest gain: the
+path begins with the single best rule, and a rule that only looks good on the learning rows comes after those that are.
+
+The holdout certifies the steps: a step passes if a binomial test rejects "its rules together turn away at least RISK of the good
+rows": P(Bin(n, RISK) <= k) <= LEVEL / tests, k of the n good holdout rows being turned away by any rule. This is the exact (Clopper-Pearson)
+upper bound below RISK; testing stops at the first step that fails (fixed sequence; k never falls along the path), Bonferroni covers the
+tests, whose number depends on the strata's sizes only. Of the steps that pass, the one of largest gain on both parts is taken, ties going to the mildest, and none without gain.
+
+A stratum with enough good holdout rows to certify anything, if none is turned away, has a path of its own. If that certifies nothing, it
+takes the steps of the path of all rows that its own holdout certifies, by a test of its own. So with probability 1 - LEVEL no such stratum
+loses more than RISK of its good rows to all rules together. Smaller strata, for which no such statement can be made, take the mildest
+step of the path of all rows only, and only if that is certified on all rows: the limit then holds for all rows taken together. Strata
 without any labelled row keep their rows.
 """
 
@@ -59,17 +62,21 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 v AS (SELECT doc_id, lang, base_failed, unnest([{", ".join(f"{{'rule': '{n}', 'v': {e.replace(' DIV ', ' // ')}}}" for n, e in RULES.items())}], recursive := true) FROM b),
 o AS (SELECT doc_id, row_number() OVER () AS r, lang, quality = 1 AS good, md5(CAST(doc_id AS VARCHAR)) < '{LEARN}' AS learn FROM b JOIN labels USING (doc_id) WHERE NOT base_failed AND quality IN (0, 1)),
 z AS (SELECT lang, count(*) FILTER (WHERE good AND NOT learn) AS n FROM o GROUP BY 1),
-y AS (SELECT {LEVEL} / (count(*) + 1) AS level FROM z),
-own AS (SELECT lang, CASE WHEN pow(1 - {RISK}, n) <= level THEN 's' || lang ELSE '{POOL}' END AS grp FROM z, y),
-x2 AS (SELECT lang, grp FROM own UNION SELECT lang, '{POOL}' FROM z),
+own AS (SELECT lang, pow(1 - {RISK}, n) <= {LEVEL} / (2 * count(*) OVER () + 1) AS able FROM z),
+y AS (SELECT {LEVEL} / (2 * count(*) FILTER (WHERE able) + 1) AS level FROM own),
+x2 AS (SELECT lang, 's' || lang AS grp FROM own WHERE able UNION ALL SELECT lang, '{POOL}' FROM own),
 c AS (SELECT grp, rule, cutoff, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND v >= cutoff) AS k, count(*) FILTER (WHERE NOT good AND v >= cutoff) AS bad
   FROM o JOIN x2 USING (lang) JOIN v USING (doc_id) CROSS JOIN (SELECT unnest({GRID}) AS cutoff) WHERE learn GROUP BY ALL),
 p AS (SELECT grp, rule, t, arg_min(cutoff, cutoff) AS cutoff, arg_min(bad - {COST} * k, cutoff) AS gain FROM c CROSS JOIN (SELECT unnest({SHARES}) AS share, unnest(range({len(SHARES)})) AS t) WHERE 1000 * k <= share * n GROUP BY ALL),
-h AS (SELECT r, x2.grp, good, learn, d.t, bool_or(coalesce(v.v >= p.cutoff, false)) AS hit FROM o JOIN x2 USING (lang) CROSS JOIN (SELECT unnest(range({len(SHARES)})) AS t) d JOIN v ON v.doc_id = o.doc_id LEFT JOIN p ON p.grp = x2.grp AND p.t = d.t AND p.rule = v.rule AND p.gain > 0 GROUP BY ALL),
-q AS (SELECT grp, t, count(*) FILTER (WHERE good AND NOT learn) AS n, count(*) FILTER (WHERE good AND hit AND NOT learn) AS k, count(*) FILTER (WHERE NOT good AND hit) - {COST} * count(*) FILTER (WHERE good AND hit) AS gain FROM h GROUP BY ALL),
-s AS (SELECT grp, t, gain, CASE WHEN k >= n * {RISK} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1 - {RISK})))) END <= level AS ok FROM q, y),
-g AS (SELECT grp, arg_max(t, gain * 1000 - t) AS t FROM (SELECT *, bool_and(ok) OVER (PARTITION BY grp ORDER BY t) AS passed FROM s) WHERE passed AND gain > 0 GROUP BY 1),
-broken AS (SELECT v.doc_id, string_agg(DISTINCT v.rule, ',' ORDER BY list_position({list(RULES)}, v.rule)) AS broken FROM v JOIN own USING (lang) JOIN g USING (grp) JOIN p ON p.grp = g.grp AND p.t = g.t AND p.rule = v.rule AND p.gain > 0 WHERE v.v >= p.cutoff GROUP BY 1)
+path AS (SELECT grp, rule, cutoff, row_number() OVER (PARTITION BY grp ORDER BY min(t), any_value(gain) DESC, list_position({list(RULES)}, rule), cutoff DESC) AS j FROM p WHERE gain > 0 GROUP BY grp, rule, cutoff),
+u AS (SELECT lang, 's' || lang AS grp, 's' || lang AS unit FROM own WHERE able UNION ALL SELECT lang, '{POOL}', 's' || lang FROM own WHERE able UNION ALL SELECT lang, '{POOL}', '{POOL}' FROM own),
+h AS (SELECT r, u.grp, u.unit, good, learn, min(path.j) AS first FROM o JOIN u USING (lang) JOIN v ON v.doc_id = o.doc_id LEFT JOIN path ON path.grp = u.grp AND path.rule = v.rule AND v.v >= path.cutoff GROUP BY ALL),
+q AS (SELECT h.grp, unit, j, count(*) FILTER (WHERE good AND NOT learn) AS n, count(*) FILTER (WHERE good AND first <= j AND NOT learn) AS k, count(*) FILTER (WHERE NOT good AND first <= j) - {COST} * count(*) FILTER (WHERE good AND first <= j) AS gain FROM h JOIN path ON path.grp = h.grp GROUP BY ALL),
+s AS (SELECT grp, unit, j, gain, CASE WHEN k >= n * {RISK} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1 - {RISK})))) END <= level AS ok FROM q, y),
+g AS (SELECT grp, unit, arg_max(j, gain * 1000 - j) AS j FROM s WHERE ok AND gain > 0 GROUP BY 1, 2),
+e AS (SELECT lang, CASE WHEN a.j IS NOT NULL THEN 's' || lang ELSE '{POOL}' END AS grp, coalesce(a.j, CASE WHEN able THEN b.j WHEN w.j IS NOT NULL THEN 1 END) AS j
+  FROM own LEFT JOIN g a ON a.grp = 's' || lang AND a.unit = a.grp LEFT JOIN g b ON b.grp = '{POOL}' AND b.unit = 's' || lang LEFT JOIN g w ON w.grp = '{POOL}' AND w.unit = w.grp),
+broken AS (SELECT v.doc_id, string_agg(DISTINCT v.rule, ',' ORDER BY list_position({list(RULES)}, v.rule)) AS broken FROM v JOIN e USING (lang) JOIN path p ON p.grp = e.grp AND p.j <= e.j AND p.rule = v.rule WHERE v.v >= p.cutoff GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND broken IS NULL AS kept, coalesce(broken, '') AS broken FROM b LEFT JOIN broken USING (doc_id)
 """
 
@@ -136,36 +143,41 @@ def thresholds(features: DataFrame, labels: DataFrame, key: str = "doc_id", stra
     known = written(known, "known")
     strata = written(known.groupBy("stratum").agg(F.count_if(F.expr("good AND NOT learn")).alias("n")), "strata")
     found = strata.count()
-    level /= found + 1
-    own = F.pow(F.lit(1 - risk), "n") <= level
-    groups = strata.select("stratum", F.when(own, F.concat(F.lit("s"), "stratum")).otherwise(POOL).alias("group"))
+    strata = strata.select("stratum", (F.pow(F.lit(1 - risk), "n") <= level / (2 * found + 1)).alias("able"), F.concat(F.lit("s"), "stratum").alias("own"))
+    level /= 2 * strata.where("able").count() + 1
     small = lambda df: F.broadcast(df) if found <= BROADCAST_ROWS else df
-    known = known.join(small(groups), "stratum").withColumn("group", F.explode(F.array_distinct(F.array("group", F.lit(POOL)))))
+    known = known.join(small(strata), "stratum")
 
     rank = F.expr(f"transform(v, x -> size(filter(array({', '.join(map(str, GRID))}), c -> c <= x)))")
-    cells = known.where("learn").select("group", "good", F.posexplode(rank).alias("rule", "rank")).groupBy("group", "rule", "rank").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    groups = F.explode(F.expr(f"IF(able, array(own, '{POOL}'), array('{POOL}'))"))
+    cells = known.where("learn").withColumn("group", groups).select("group", "good", F.posexplode(rank).alias("rule", "rank")).groupBy("group", "rule", "rank").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
     cells = cells.groupBy("group", "rule").agg(F.sum("good").alias("n"), F.collect_list(F.struct("rank", "good", "bad")).alias("cells"))  # at most a cell for each rank
     above = lambda what: f"aggregate(cells, 0L, (a, c) -> IF(c.rank > at, a + c.{what}, a))"
     cutoffs = F.transform(F.array(*map(F.lit, GRID)), lambda c, i: F.struct(c.alias("cutoff"), i.alias("at")))
     at = cells.select("group", "rule", "n", "cells", F.inline(cutoffs)).withColumns({"k": F.expr(above("good")), "bad": F.expr(above("bad"))})
     steps = at.select("group", "rule", "cutoff", "k", "bad", F.inline(F.array(*[F.struct(F.lit(t).alias("t"), F.expr(f"1000 * k <= {share} * n").alias("fits")) for t, share in enumerate(SHARES)])))
     steps = steps.where("fits").groupBy("group", "rule", "t").agg(F.min(F.struct("cutoff", (F.col("bad") - COST * F.col("k")).alias("gain"))).alias("best"))
-    steps = steps.where("best.gain > 0").select("group", F.struct("t", "rule", "best.cutoff").alias("s"))
-    path = written(steps.groupBy("group").agg(F.collect_list("s").alias("path")), "path")  # at most a cutoff for each rule and step
-
-    hits = [F.expr(f"exists(path, s -> s.t = {t} AND v[s.rule] >= s.cutoff)") for t in range(len(SHARES))]
-    judged = known.join(small(path), "group").select("group", "good", "learn", *[h.alias(f"h{t}") for t, h in enumerate(hits)])
-    sums = judged.groupBy("group").agg(
-        F.count_if(F.expr("good AND NOT learn")).alias("n"),
-        F.array(*[F.struct(F.lit(t).alias("t"), F.count_if(F.expr(f"good AND NOT learn AND h{t}")).alias("k"), (F.count_if(F.expr(f"NOT good AND h{t}")) - COST * F.count_if(F.expr(f"good AND h{t}"))).alias("gain")) for t in range(len(SHARES))]).alias("steps"),
-    )
-    tests = sums.select("group", "n", F.inline("steps")).withColumn("fails", (tail("k", "n", risk) > F.lit(level)).cast("int"))
-    mildest_first = Window.partitionBy("group").orderBy("t")  # a row for each step
-    passed = tests.withColumn("failed", F.sum("fails").over(mildest_first)).where("failed = 0 AND gain > 0")
-    chosen = passed.groupBy("group").agg(F.max_by("t", F.struct("gain", -F.col("t"))).alias("t")).join(path, "group")
-    names = ", ".join(f"'{n}'" for n in RULES)
-    chosen = chosen.select("group", F.expr(f"map_from_entries(transform(filter(path, s -> s.t = chosen_t), s -> struct(array({names})[s.rule] AS rule, s.cutoff AS cutoff)))".replace("chosen_t", "t")).alias("cutoffs"))
-    return groups.join(chosen, "group").select("stratum", "cutoffs")
+    steps = steps.where("best.gain > 0").groupBy("group", "rule", "best.cutoff").agg(F.min("t").alias("t"), F.min(-F.col("best.gain")).alias("loss"))
+    path = F.sort_array(F.collect_list(F.struct("t", "loss", "rule", (-F.col("cutoff")).alias("less"), "cutoff")))  # at most a cutoff for each rule and share
+    path = written(steps.groupBy("group").agg(path.alias("path")), "path")
+
+    units = F.inline(F.expr(f"IF(able, array(struct(own AS group, own AS unit), struct('{POOL}' AS group, own AS unit), struct('{POOL}' AS group, '{POOL}' AS unit)), array(struct('{POOL}' AS group, '{POOL}' AS unit)))"))
+    first = F.expr("array_min(transform(path, (s, i) -> IF(v[s.rule] >= s.cutoff, i + 1, NULL)))")  # the step from which on a row is turned away
+    judged = known.select("good", "learn", "v", units).join(small(path), "group").select("group", "unit", "good", "learn", first.alias("j"))
+    held = F.expr("good AND NOT learn")
+    sums = judged.groupBy("group", "unit", "j").agg(F.count_if(held).alias("k"), (F.count_if(~F.col("good")) - COST * F.count_if("good")).alias("gain"))
+    unit = Window.partitionBy("group", "unit")  # a row for each step
+    tests = sums.withColumn("n", F.sum("k").over(unit)).where("j IS NOT NULL")
+    tests = tests.withColumns({c: F.sum(c).over(unit.orderBy("j")) for c in ("k", "gain")})
+    passed = tests.where((tail("k", "n", risk) <= F.lit(level)) & (F.col("gain") > 0))
+    chosen = written(passed.groupBy("group", "unit").agg(F.max_by("j", F.struct("gain", -F.col("j"))).alias("j")), "steps")
+    of = lambda group, unit, name: chosen.where(group & unit).select(F.col("unit").alias(f"unit_{name}"), F.col("j").alias(name))
+    pooled = F.col("group") == POOL
+    taken = strata.join(of(~pooled, F.col("unit") != POOL, "mine"), F.col("own") == F.col("unit_mine"), "left").join(of(pooled, F.col("unit") != POOL, "lent"), F.col("own") == F.col("unit_lent"), "left").join(of(pooled, F.col("unit") == POOL, "every"), F.lit(POOL) == F.col("unit_every"), "left")
+    taken = taken.select("stratum", F.when(F.col("mine").isNotNull(), F.col("own")).otherwise(POOL).alias("group"), F.coalesce("mine", F.when(F.col("able"), F.col("lent")).when(F.col("every").isNotNull(), 1)).alias("j"))
+    least = lambda n: F.array_min(F.transform(F.filter(F.slice("path", F.lit(1), F.col("j")), lambda s: s["rule"] == n), lambda s: s["cutoff"]))
+    every = F.create_map(*[x for n, name in enumerate(RULES) for x in (F.lit(name), least(n))])
+    return taken.where("j IS NOT NULL").join(path, "group").select("stratum", F.map_filter(every, lambda _, c: c.isNotNull()).alias("cutoffs"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", label: str = "quality", carry: list[str] | None = None) -> DataFrame:

@@ -41,10 +41,16 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), UPPER, LOWER), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+def strength(rule: Rule) -> tuple[int, int, str]:
+    """What decides between rules that fit: the length, then the longer host, then the later verdict by name (block)."""
+    verdict, host, path = rule
+    return len(host + path), len(host), verdict
+
+
 def match(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits, or nulls. A rule fits its host and all subdomains."""
     rule = verdict = F.lit(None).cast("string")
-    for v, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    for v, h, p in sorted(rules, key=strength):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, v).otherwise(verdict)
     return rule, verdict
@@ -54,8 +60,7 @@ def matched(own: DataFrame, rules: DataFrame) -> DataFrame:
     """own (host, path and others) with rule and verdict of the longest rule that fits, or nulls. rules: (verdict, host, path).
 
     Different hosts and paths are matched once. A url has a row for each suffix of its host and each length of a path that rules
-    of that suffix have, at most its own length; the longest match is a pre-aggregated maximum. Of equal rules the last verdict
-    by name holds.
+    of that suffix have, at most its own length; the strongest match (see strength) is a pre-aggregated maximum.
     """
     listed = rules.select(F.col("host").alias("h"), F.col("path").alias("p"), "verdict").groupBy("h", "p").agg(F.max("verdict").alias("verdict"))
     listed = written(listed.withColumn("n", F.char_length("p")), "rules")
@@ -64,7 +69,7 @@ def matched(own: DataFrame, rules: DataFrame) -> DataFrame:
     suffix = F.explode(F.expr("transform(sequence(1, size(split(host, '[.]', -1))), i -> substring_index(host, '.', -i))"))
     ways = asked.select("host", "path", suffix.alias("h")).join(lengths, "h").where(F.char_length("path") >= F.col("n"))
     fits = ways.select("host", "path", "h", F.expr("substring(path, 1, n)").alias("p")).join(listed, ["h", "p"])
-    best = fits.groupBy("host", "path").agg(F.max(F.struct((F.char_length("h") + F.col("n")).alias("size"), F.concat("h", "p").alias("rule"), "verdict")).alias("best"))
+    best = fits.groupBy("host", "path").agg(F.max(F.struct((F.char_length("h") + F.col("n")).alias("size"), F.char_length("h").alias("host"), F.concat("h", "p").alias("rule"), "verdict")).alias("best"))
     return own.join(best.select("host", "path", "best.rule", F.col("best.verdict").alias("own")), ["host", "path"], "left")
 
 
@@ -122,7 +127,7 @@ def judge(pages: DataFrame, rules: list[Rule] | DataFrame, key: str = "page_id",
 
 def sql(rules: list[Rule]) -> str:
     """The same rows in DuckDB over the table pages."""
-    cases = sorted(rules, key=lambda r: -len(r[1] + r[2]))
+    cases = sorted(rules, key=strength, reverse=True)
     fits = lambda r: f"((host = '{r[1]}' OR ends_with(host, '.{r[1]}')) AND starts_with(path, '{r[2]}'))"
     case = lambda f: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{f(r)}'" for r in cases) + " END"
     link = LINK.replace("'", "''")

@@ -97,3 +97,34 @@ def test_sql_where_cutoffs_are_certified(spark):
     sf = "/root/testdata/sf0.01"
     assert oracle.compare(spark, oracle.connect(sf), sf, queries.queries()["op5_quality_rules"], quality.SQL) is None
     assert queries.queries()["op5_quality_rules"](spark, sf).where("broken <> '' AND NOT base_failed").count() > 10
+
+
+def test_a_rule_that_only_fits_the_learning_rows_spoils_nothing(spark):
+    """In `es` a second rule gains on the learning rows and turns away good holdout rows: the first rule alone is certified."""
+    import hashlib
+
+    docs, labels = [], []
+    for i in range(1400):
+        learns = hashlib.md5(str(i).encode()).hexdigest() < quality.LEARN
+        bad = i % 7 == 0
+        odd = "!" if bad and learns and i % 2 else "!" if not bad and not learns and i % 9 == 0 else ""
+        docs.append((i, " ".join(f"w{i}x{j}" + ("$$" if bad and i % 35 else "") + odd for j in range(60)), "es"))
+        labels.append((i, 0 if bad else 1))
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    assert quality.thresholds(quality.counts(df), lab).first().cutoffs.keys() == {"symbols"}
+    out = {r.doc_id: r.kept for r in quality.judge(df, lab).collect()}
+    assert all(out[i] == bool(i % 7 or not i % 35) for i in range(1400))
+
+
+def test_small_strata_take_the_mildest_rule_only(spark):
+    docs, labels = [], []
+    for i in range(3000):
+        bad, lang = i % 5 == 0, "xx" if i >= 2900 else "en"
+        mark = "$$$" if bad and i % 15 else "!" if bad else ""
+        docs.append((i, " ".join(f"w{i}x{j}{mark}" for j in range(60)), lang))
+        labels.append((i, 0 if bad else 1))
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r.stratum: set(r.cutoffs) for r in quality.thresholds(quality.counts(df), lab).collect()}
+    assert got == {"en": {"symbols", "exclaims"}, "xx": {"symbols"}}

@@ -122,3 +122,21 @@ def test_any_number_of_rules(spark, monkeypatch):
     table = spark.createDataFrame([*more, *(("block", f"x{i}.example", f"/{i}") for i in range(3000))], "verdict string, host string, path string")
     assert rows_of(urls.judge(df, table).collect()) == want
     assert urls.judge(df.where("false"), table).count() == 0
+
+
+def test_equal_rules_are_decided_alike_on_either_side_of_the_limit(spark, monkeypatch):
+    """Rules of one length and repeated rules: as a list, as a table and in SQL."""
+    import duckdb
+
+    rules = [("block", "b.com", "/xyz"), ("allow", "a.b.com", "/x"), ("allow", "c.com", "/x"), ("block", "c.com", "/x"), ("block", "d.com", "/"), ("allow", "d.com", "/")]
+    pages = [(1, "http://a.b.com/xyz", None), (2, "http://c.com/xy", None), (3, "http://d.com/", None), (4, "http://b.com/xyz", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    listed = sorted(map(tuple, urls.judge(df, rules).collect()))
+    monkeypatch.setattr(urls, "MOST_RULES", 3)
+    assert sorted(map(tuple, urls.judge(df, rules).collect())) == listed and sorted(map(tuple, urls.judge(df, rules[::-1]).collect())) == listed
+    assert [(r[3], r[4]) for r in listed] == [("a.b.com/x", "allow"), ("c.com/x", "block"), ("d.com/", "block"), ("b.com/xyz", "block")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    cur = con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({urls.sql(rules)})")
+    assert sorted(cur.fetchall()) == listed
