@@ -18,7 +18,7 @@ def test_same_rows_as_sql(spark, sf, name):
 
 def test_names_and_columns(spark, sf):
     found = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 14))
     got = found["op2_simhash_near_dedup"](spark, sf)
     assert got.columns == ["doc_id", "fingerprint", "component_id"] and all(len(r.fingerprint) == 16 for r in got.collect())
     assert found["op8_toxicity"](spark, sf).columns == ["doc_id", "held_out", "score", "predicted"]
