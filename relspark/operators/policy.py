@@ -87,7 +87,7 @@ def evidence_filter(evidence: Column, least: float) -> tuple[Column, Column]:
 
     What scores too low or has no resolved licence goes. If nothing is left, the reason says whether a licence was missing.
     """
-    unresolved = lambda e: F.lower(F.trim(F.coalesce(e["license"], F.lit("")))).isin(UNRESOLVED)
+    unresolved = lambda e: F.lower(F.regexp_replace(F.coalesce(e["license"], F.lit("")), r"^\s+|\s+$", "")).isin(UNRESOLVED)
     kept = F.filter(evidence, lambda e: (e["score"] >= least) & ~unresolved(e))
     n = F.coalesce(F.size(kept), F.lit(0))
     reason = F.when((n <= 0) & F.coalesce(F.exists(evidence, unresolved), F.lit(False)), "EVIDENCE_LICENSE_UNRESOLVED").when(n <= 0, "EVIDENCE_INSUFFICIENT").when(n < F.size(evidence), "EVIDENCE_FILTERED")
@@ -110,9 +110,12 @@ def merged_groups(members: DataFrame, key: str, group: str, near: DataFrame) ->
 
 
 def paired(left: DataFrame, right: DataFrame, place: str) -> DataFrame:
-    """Rows of both by their place; raises if the numbers of rows differ or a place lacks its partner."""
-    a, b = left.count(), right.count()
-    out = left.join(right, place)
-    if a != b or out.count() != a:
-        raise ValueError(f"{a} rows and {b} rows don't pair by {place}")
-    return out
+    """Rows of both by their place, each once on either side; reading the rows raises where a place lacks its partner or repeats.
+
+    One full outer join: what doesn't pair is found as it is read, without counting either input.
+    """
+    sides = [df.groupBy(place).agg(F.count("*").alias(f"_n{i}"), F.first(F.struct(*[c for c in df.columns if c != place])).alias(f"_r{i}")) if len(df.columns) > 1 else df.groupBy(place).agg(F.count("*").alias(f"_n{i}")) for i, df in enumerate((left, right))]
+    out = sides[0].join(sides[1], place, "full")
+    wrong = (F.coalesce("_n0", F.lit(0)) != 1) | (F.coalesce("_n1", F.lit(0)) != 1)
+    out = out.where(F.when(wrong, F.raise_error(F.concat(F.lit("doesn't pair: "), F.col(place).cast("string"))).cast("boolean")).otherwise(True))
+    return out.select(place, *[f"_r{i}.*" for i in range(2) if f"_r{i}" in out.columns])

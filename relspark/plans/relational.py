@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from relspark.catalog import read, register
 
 
-@register("scan_filter_project", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-01' AND l_quantity > 45")
+@register("scan_filter_project", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01' AND l_quantity > 45")
 def scan_filter_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = read(spark, sf_dir, "lineitem").where("l_shipdate < TIMESTAMP_NTZ '1995-01-01' AND l_quantity > 45")
+    df = read(spark, sf_dir, "lineitem").where("l_shipdate < TIMESTAMP_NTZ '1998-01-01' AND l_quantity > 45")
     return df.select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
 
 

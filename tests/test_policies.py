@@ -42,8 +42,11 @@ def test_groups_pairs_and_bins(spark):
     members = spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, "b"), (5, "b"), (6, None)], "k long, g string")
     near = spark.createDataFrame([(3, 4)], "a long, b long")
     assert {r.k: r.cluster for r in policy.merged_groups(members, "k", "g", near).collect()} == {1: 1, 2: 2, 3: 1, 4: 1, 5: 1, 6: 6}
-    with pytest.raises(ValueError):
-        policy.paired(members.select("k"), members.limit(3).select("k"), "k")
+    with pytest.raises(Exception, match="doesn't pair"):
+        policy.paired(members.select("k"), members.limit(3).select("k"), "k").collect()
+    with pytest.raises(Exception, match="doesn't pair: 1"):
+        policy.paired(members, members.unionByName(members.where("k = 1")).select("k", F.lit(1).alias("x")), "k").collect()
+    assert policy.paired(members, members.select("k", F.lit(1).alias("x")), "k").where("x = 1").count() == 6
 
 
 def test_normal_form_and_claims(spark):
