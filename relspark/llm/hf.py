@@ -6,6 +6,7 @@ pre-token goes to the model once. Any other chunk, and any other layout, goes th
 
 A byte-level vocabulary whose merges make tokens in ascending order of their ids, each token being what its own bytes
 merge to, is a table of ranks: plain texts then go through tiktoken, which gives the same ids (tested) several times as fast.
+So do the words of a vocabulary that marks their ends.
 """
 
 from __future__ import annotations
@@ -61,6 +62,8 @@ FOREIGN = re.compile("[^\x00-\u024f]").search
 #: Marks the key of a whole text that isn't plain; plain texts hold no such character.
 WHOLE = "\x01"
 STOPS = frozenset(".,;:!?")
+#: Stands after a word whose end the vocabulary marks; words hold no white space.
+MARK = b"\n"
 
 
 def is_plain(text: str) -> bool:
@@ -99,23 +102,44 @@ def by_library(whole: Tokenizer, texts: list[str]) -> list[bytes]:
 
 
 def ranks(layout: dict, whole: Tokenizer) -> dict[bytes, int] | None:
-    """The vocabulary as ranks of byte strings, if merging by rank is sure to give the same ids; else None."""
-    from tokenizers import Tokenizer
+    """The vocabulary as ranks of byte strings, if merging by rank is sure to give the same ids; else None.
+
+    A vocabulary that marks the ends of words has MARK as the last byte of such tokens, and MARK after each word to be encoded:
+    no word holds it, and the ids of marked bytes are below all merges, so that it joins the last byte first.
+
+    Merging by rank takes the leftmost pair whose joined bytes are the lowest token, the library the leftmost pair whose
+    listed merge is lowest. Merges make tokens in ascending order of ids, each once, so both orders are the same, and
+    the ways can part only where a pair x, y joins to a token t whose listed merge is another pair. Then all merges so far inside
+    t's span, which end at its borders, are those that t alone would see, in the same order; so the library, given t
+    alone, also arrives at x, y, and can't join it. That each token alone merges to itself is checked here, so no such pair
+    exists, in words of any length.
+    """
+    from tokenizers import Tokenizer, models
 
-    model = layout["model"]
-    if known_layout(layout)[0] != "bytes" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+    model, kind = layout["model"], known_layout(layout)[0]
+    end = model.get("end_of_word_suffix") or ""
+    if (kind, bool(end)) not in (("bytes", False), ("words", True)) or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
         return None
-    vocab = model["vocab"]
-    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
-    back = {c: b for b, c in byte_alphabet().items()}
-    single = {t: i for t, i in vocab.items() if len(t) == 1 and t in back}
-    if len(single) < 256 or any(a >= b for a, b in zip([max(single.values()), *made], made, strict=False)):
+
+    def last(t: str) -> bool:
+        return bool(end) and t.endswith(end)
+
+    vocab, back = model["vocab"], {c: b for b, c in byte_alphabet().items()}
+    pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    single = [*back, *(c + end for c in back if end)]
+    if any(t not in vocab for t in single) or any(last(a) or last(b) != last(a + b) for a, b in pairs):
         return None
-    shown = {i: t for t, i in vocab.items()}
-    tokens = [*single.values(), *made]
-    if Tokenizer(whole.model).encode([shown[i] for i in tokens], is_pretokenized=True, add_special_tokens=False).ids != tokens:
+    made = [vocab[a + b] for a, b in pairs]
+    if any(a >= b for a, b in zip([max(vocab[t] for t in single), *made], made, strict=False)):
         return None
-    return {bytes(back[c] for c in shown[i]): i for i in tokens}
+    marked = byte_alphabet()[MARK[0]]
+    tokens = [t for t in (*single, *(a + b for a, b in pairs)) if not end or t == marked or marked not in t]
+    inner, final = [t for t in tokens if not last(t)], [t.removesuffix(end) for t in tokens if last(t)]
+    free = Tokenizer(models.BPE(vocab=vocab, merges=pairs) if end else whole.model)
+    for alone, shown, suffix in ((free, inner, ""), (Tokenizer(whole.model), final, end)):
+        if alone.encode(shown, is_pretokenized=True, add_special_tokens=False).ids != [vocab[t + suffix] for t in shown]:
+            return None
+    return {bytes(back[c] for c in t.removesuffix(end)) + MARK * last(t): vocab[t] for t in tokens}
 
 
 #: Runs on which a pattern with look-ahead or a merge of one long word could take long.
@@ -140,6 +164,36 @@ def text_encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
     return encode
 
 
+#: Letters of the longest word that is merged by ranks.
+LONGEST = 4096
+
+
+def marked_words(path: str, whole: Tokenizer) -> Callable[[list[str]], list[bytes]] | None:
+    """Pre-tokens -> ids by ranks with marked ends, if these are sure to give the library's ids."""
+    with open(path, encoding="utf-8") as f:
+        table = ranks(json.load(f), whole)
+    if table is None or MARK not in table:
+        return None
+    import tiktoken
+
+    merge = tiktoken.Encoding(path, pat_str=r"[^\n]+\n", mergeable_ranks=table, special_tokens={})
+    final = np.zeros(max(table.values()) + 1, dtype=bool)
+    final[[i for t, i in table.items() if len(t) > 1 and t.endswith(MARK)]] = True
+    mark = MARK.decode()
+
+    def learn(new: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(new), CALL):
+            part = new[at : at + CALL]
+            ids = merge.encode_to_numpy(mark.join(part) + mark, disallowed_special=())
+            ends = ((np.flatnonzero(final[ids]) + 1) * 4).tolist()
+            data = ids.astype("<u4").tobytes()
+            out += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
+    return learn
+
+
 class Words(Chunks):
     """Chunks are the lowered words of plain texts; Arrow numbers them, and each distinct one is looked up once a group.
 
@@ -181,8 +235,11 @@ def encoder(path: str) -> Chunks:
         layout, split = known_layout(json.load(f))
     alphabet, known = byte_alphabet(), Kept(KEPT)
     blank, space = alphabet[32], " " if layout == "bytes" else ""
+    by_rank = marked_words(path, whole) if layout == "words" else None
 
     def learn(new: list[str]) -> list[bytes]:
+        if by_rank and not any(len(p) > LONGEST for p in new):
+            return by_rank(new)
         out: list[bytes] = []
         for at in range(0, len(new), CALL):
             part = new[at : at + CALL]

@@ -100,3 +100,17 @@ def test_words_at_edges_have_the_librarys_ids():
     texts = ["", " ", "\n", " A b ", "It's  THE\n\nend.", "x\ty", "İstanbul ÀÉ", "日本 語", "don't we'll I'VE 123abc", None, "ét", "\x00\x01 q", "<|endoftext|> hi", "word word"]
     assert hf.encoder(WORD)(texts) == hf.by_library(hf.library(WORD), [t or "" for t in texts])
     assert hf.encoder(WORD)([None, ""]) == [b"", b""]
+
+
+def test_words_by_ranks_with_marked_ends():
+    whole, rng = hf.library(WORD), random.Random(5)
+    learn = hf.marked_words(WORD, whole)
+    words = ["".join(rng.choice("abcdeilnorstu") for _ in range(rng.randrange(1, 30))) for _ in range(4000)]
+    words += ["".join(rng.choice("aeéüßñøžɏ日w/<>") for _ in range(rng.randrange(1, 9))) for _ in range(2000)] + ["a" * 5000, "</w>", "1", "!!"]
+    alone = Tokenizer(whole.model)
+    alphabet = hf.byte_alphabet()
+    for w, ids in zip(words, learn(words), strict=True):
+        shown = "".join(alphabet[b] for b in w.encode())
+        assert np.frombuffer(ids, "<u4").tolist() == alone.encode([shown], is_pretokenized=True, add_special_tokens=False).ids
+    layout = {"model": {"type": "BPE"}, "pre_tokenizer": None, "normalizer": None}
+    assert hf.ranks(layout, whole) is None
