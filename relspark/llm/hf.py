@@ -151,7 +151,8 @@ def text_encoder(path: str) -> Callable[[list[str | None]], list[bytes]]:
     """texts -> little-endian uint32 ids, null being empty: by ranks where that is sure to give the library's ids."""
     whole = library(path)
     with open(path, encoding="utf-8") as f:
-        table = ranks(json.load(f), whole)
+        layout = json.load(f)
+    table = ranks(layout, whole) if known_layout(layout)[0] == "bytes" else None
     if table is None:
         return encoder(path)
     import tiktoken
