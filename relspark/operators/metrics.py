@@ -107,3 +107,15 @@ def threshold_search(df: DataFrame, y: str, p: str, steps: int = 101) -> DataFra
     full = grid.join(cells, "i", "left").na.fill(0, ["y", "n"])
     full = full.withColumns({"tp": F.sum("y").over(w), "hits": F.sum("n").over(w), "positives": F.sum("y").over(Window.partitionBy())})
     return full.select("i", "tp", (F.col("hits") - F.col("tp")).alias("fp"), safe(2.0 * F.col("tp"), F.col("hits") + F.col("positives")).alias("f1"))
+
+
+def fold_confusion(df: DataFrame, fold: str, predicted: str, label: Column | str, predictions: list[int], labels: list[int]) -> DataFrame:
+    """(predicted, label, mean, std): each cell's share of its fold's rows in per cent, over folds; a cell that a fold lacks is 0 there.
+
+    std is that of the folds at hand, not of a population they were drawn from.
+    """
+    df = df.select(fold, F.col(predicted).alias("_p"), (F.col(label) if isinstance(label, str) else label).alias("_y"))
+    cells = [(p, y) for p in predictions for y in labels]
+    folds = df.groupBy(fold).agg(F.count("*").alias("_n"), *[F.count_if((F.col("_p") == p) & (F.col("_y") == y)).alias(f"_c{i}") for i, (p, y) in enumerate(cells)])
+    rows = F.inline(F.array(*[F.struct(F.lit(p).alias("predicted"), F.lit(y).alias("label"), (100 * F.col(f"_c{i}") / F.col("_n")).alias("pct")) for i, (p, y) in enumerate(cells)]))
+    return folds.select(rows).groupBy("predicted", "label").agg(F.avg("pct").alias("mean"), F.stddev_pop("pct").alias("std"))

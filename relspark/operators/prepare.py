@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relspark.functions.hashing import digest
-from relspark.functions.numeric import is_finite
+from relspark.functions.numeric import is_finite, ratio
 from relspark.operators import ranks
 
 
@@ -169,3 +169,9 @@ def coral(df: DataFrame, columns: list[str], source: tuple[np.ndarray, np.ndarra
     a = root(cs, -0.5) @ root(ct, 0.5)
     moved = [sum(((F.col(c) - float(ms[i])) * float(a[i, j]) for i, c in enumerate(columns)), F.lit(float(mt[j]))) for j in range(len(columns))]
     return df.withColumns(dict(zip(columns, moved, strict=True)))
+
+
+def over_baseline(windows: DataFrame, baseline: DataFrame, by: list[str], features: str, base: str) -> DataFrame:
+    """windows with each feature divided by the baseline vector of its group; null where that is 0 or missing."""
+    out = windows.join(baseline.select(*by, base), by, "left")
+    return out.withColumn(features, ratio(F.col(features), F.coalesce(F.col(base), F.array()))).drop(base)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructType
 
 from relspark.functions import text as T
 
@@ -111,7 +111,3 @@ def question_pages(df: DataFrame, question: str = "question", answer: str = "ans
     rows = df.select(clean(question).alias("q"), clean(answer).alias("a")).where((F.length("q") >= least) & (F.length("a") >= least))
     rows = rows.groupBy(F.substring(F.lower("q"), 1, 100).alias("k")).agg(F.min(F.struct("q", "a")).alias("r")).select("r.*")
     return rows.select(F.concat(T.slug(F.col("q")), F.lit(".md")).alias("name"), F.concat(F.lit("# "), "q", F.lit("\n\n"), "a", F.lit("\n")).alias("page"))
-
-
-def empty_schema(*names: str) -> StructType:
-    return StructType([StructField(n, StringType()) for n in names])

@@ -10,13 +10,6 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StructType
-
-
-def sorted_fields(kind: DataType) -> DataType:
-    if isinstance(kind, StructType):
-        return StructType(sorted(([f.__class__(f.name, sorted_fields(f.dataType), f.nullable) for f in kind]), key=lambda f: f.name))
-    return ArrayType(sorted_fields(kind.elementType), kind.containsNull) if isinstance(kind, ArrayType) else kind
 
 
 def json_lines(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -76,6 +69,11 @@ def split_issues(df: DataFrame, split: str, group: str, fingerprint: str, requir
     return missing.unionByName(over(group, "GROUP_LEAKAGE")).unionByName(over(fingerprint, "DUPLICATE_LEAKAGE"))
 
 
+def uri(path: str) -> str:
+    """A path as a URI, for what tasks write on their own."""
+    return path if ":/" in path else f"file://{os.path.abspath(path)}"
+
+
 def pages(df: DataFrame, folder: str, name: str = "name", page: str = "page") -> None:
     """A text file for each row, written by the tasks that hold the rows, by a temporary name and a rename."""
 
