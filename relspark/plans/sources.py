@@ -33,7 +33,7 @@ def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("quoted_csv_files", "SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents WHERE doc_id IS NOT NULL")
 def quoted_csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts with line ends, quotes and commas through CSV; a null text comes back empty."""
+    """Whole texts with line ends, quotes and commas through CSV; an empty text comes back null."""
     path = new_folder(spark, "texts")
     writers.csv(read(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", "text"), path)
     return readers.records(spark, path).select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))

@@ -19,8 +19,10 @@ def json_lines(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 
 def csv(df: DataFrame, path: str, places: dict[str, int] | None = None) -> None:
-    """CSV with a header; the columns named in places get that many decimals."""
-    df.withColumns({c: F.format_string(f"%.{n}f", c) for c, n in (places or {}).items()}).write.option("header", True).mode("overwrite").csv(path)
+    """CSV with a header; the columns named in places get that many decimals. Quotes are doubled and white space stays, so that
+    records() gives the same texts back, empty ones as null."""
+    out = df.withColumns({c: F.format_string(f"%.{n}f", c) for c, n in (places or {}).items()}).write
+    out.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).mode("overwrite").csv(path)
 
 
 def canonical(payload: Any) -> str:

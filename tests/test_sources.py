@@ -49,3 +49,11 @@ def test_text_files(spark, tmp_path):
     writers.pages(df, writers.uri(str(tmp_path)))
     assert [r.content for r in readers.text_folder(spark, str(tmp_path)).collect()] == ["x\ny"]
     assert readers.text_folder(spark, str(tmp_path)).where(F.length("id") != 64).count() == 0
+
+
+def test_csv_gives_texts_back(spark, tmp_path):
+    texts = ['say "x", y', " a \n\nb\t", "back\\slash\\", '"', "\\\"", "", None, "a\rb", "c\r\nd", '","', "# x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(1)
+    writers.csv(df, str(tmp_path / "x"))
+    got = {int(r.i): r.t for r in readers.records(spark, str(tmp_path / "x")).collect()}
+    assert got == {i: t or None for i, t in enumerate(texts)}
