@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-PLANS = ("sessions", "measures", "preparation", "texts", "dialogues", "relational", "policies", "signals", "streams", "assistant", "releases", "reports", "sources")
+PLANS = ("sessions", "measures", "preparation", "texts", "dialogues", "relational", "policies", "signals", "streams", "assistant", "releases", "reports", "sources", "replies")
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
