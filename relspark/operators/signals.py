@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relspark.operators import ranks
+
 #: Intervals further apart than this count as a pair (seconds), least number of intervals.
 APART, LEAST = 0.05, 3
 #: Fixed values of the filter: zero crossings of the sinc on either side, Kaiser's beta.
@@ -126,30 +128,34 @@ def in_chunks(df: DataFrame, position: str, size: int, overlap: int) -> DataFram
 
 
 def smoothed(df: DataFrame, by: list[str], position: str, value: Column, half: int = 2, size: int = 1 << 16) -> DataFrame:
-    """df with chunk and smooth: the mean of 2 * half + 1 neighbouring positions; places without a row (or value) count as zeros."""
+    """df with chunk, smooth, the mean of 2 * half + 1 neighbouring positions (places without a row or value count as zeros), and near, its values."""
     dealt = in_chunks(df.withColumn("_v", value), position, size, half)
     near = Window.partitionBy(*by, "chunk").orderBy(position).rangeBetween(-half, half)
-    return dealt.withColumn("smooth", F.coalesce(F.sum("_v").over(near), F.lit(0.0)) / (2 * half + 1)).where("own").drop("own", "_v")
+    dealt = dealt.withColumns({"smooth": F.coalesce(F.sum("_v").over(near), F.lit(0.0)) / (2 * half + 1), "near": F.count("_v").over(near)})
+    return dealt.where("own").drop("own", "_v")
 
 
 def peaks(df: DataFrame, by: list[str], position: str, value: str, threshold: float, size: int = 1 << 16) -> DataFrame:
     """(by..., peak, height): of each run of the smoothed standardised signal above its mean the first greatest position.
 
-    A run ends where the signal falls below the mean, not where it only meets it; only heights above the threshold count. Runs
-    are numbered by chunk and then by the chunks before (a row for each chunk), so that a series' rows never meet in one task.
-    A constant series has no peaks. Rows without a position or value are left out.
+    Rows are taken in order of position (of one position by value), neighbours are rows: gaps between positions don't count. A row
+    without a value is a place that adds nothing; a place without a value within reach lies in no run. A run ends where the signal
+    falls below the mean, not where it only meets it; only heights above the threshold count. Runs are numbered by chunk and then
+    by the chunks before (a row for each chunk), so that a series' rows never meet in one task. A constant series has no peaks. Rows
+    without a position are left out.
     """
-    df = df.where(F.col(position).isNotNull() & F.col(value).isNotNull()).select(*by, F.col(position).alias("_p"), F.col(value).cast("double").alias("_x"))
+    df = df.where(F.col(position).isNotNull()).select(*by, F.col(position).alias("_at"), F.col(value).cast("double").alias("_x"))
     moments = df.groupBy(*by).agg(F.avg("_x").alias("_mean"), F.stddev_pop("_x").alias("_sd")).where("_sd > 0")
-    smooth = smoothed(df.join(moments, by), by, "_p", (F.col("_x") - F.col("_mean")) / F.col("_sd"), size=size).select(*by, "_p", "chunk", "smooth")
+    places = ranks.numbered(df, by, [F.col("_at"), F.col("_x")]).withColumn("_i", F.col("_i") - 1)
+    smooth = smoothed(places.join(moments, by), by, "_i", (F.col("_x") - F.col("_mean")) / F.col("_sd"), size=size).where("near > 0").select(*by, "_i", "_at", "chunk", "smooth")
     base = smooth.groupBy(*by).agg(F.avg("smooth").alias("_base"))
     rows = smooth.join(base, by)
     below = (F.col("smooth") < F.col("_base")).cast("long")
     before = rows.groupBy(*by, "chunk").agg(F.sum(below).alias("_n"))
     before = before.select(*by, "chunk", (F.sum("_n").over(Window.partitionBy(*by).orderBy("chunk")) - F.col("_n")).alias("_before"))
-    rows = rows.withColumn("_in", F.sum(below).over(Window.partitionBy(*by, "chunk").orderBy("_p"))).where("smooth > _base").join(before, [*by, "chunk"])
-    runs = rows.groupBy(*by, (F.col("_in") + F.col("_before")).alias("_run")).agg(F.max(F.struct("smooth", (-F.col("_p")).alias("p"))).alias("_top"))
-    return runs.where(F.col("_top.smooth") > threshold).select(*by, (-F.col("_top.p")).alias("peak"), F.col("_top.smooth").alias("height"))
+    rows = rows.withColumn("_in", F.sum(below).over(Window.partitionBy(*by, "chunk").orderBy("_i"))).where("smooth > _base").join(before, [*by, "chunk"])
+    runs = rows.groupBy(*by, (F.col("_in") + F.col("_before")).alias("_run")).agg(F.max(F.struct("smooth", (-F.col("_i")).alias("i"), F.col("_at").alias("p"))).alias("_top"))
+    return runs.where(F.col("_top.smooth") > threshold).select(*by, F.col("_top.p").alias("peak"), F.col("_top.smooth").alias("height"))
 
 
 def filter_bank(up: int, down: int) -> tuple[np.ndarray, int]:

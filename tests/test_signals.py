@@ -1,8 +1,10 @@
 """Signal features against slow forms."""
 
+import duckdb
 import numpy as np
 import pytest
 
+from relspark import catalog
 from relspark.operators import signals as S
 
 
@@ -89,3 +91,18 @@ def test_peaks_in_chunks_are_those_of_the_whole(spark):
     for size in (1 << 16, 50, 7):
         got = [(r.s, r.peak) for r in S.peaks(df, ["s"], "i", "v", 0.3, size=size).collect()]
         assert sorted(got) == [("a", p) for p in slow_peaks(x["a"], 0.3)] + [("b", p) for p in slow_peaks(x["b"], 0.3)]
+
+
+def test_peaks_go_by_rows_not_by_gaps(spark):
+    """As in SQL's frame of rows: gaps between positions don't count, a row without a value adds nothing."""
+    rng = np.random.default_rng(8)
+    x = np.sin(np.arange(300) / 7) + rng.normal(size=300) * 0.2
+    at = np.cumsum(rng.integers(1, 4, 300)) * 1000 - 50_000  # negative positions, too
+    df = spark.createDataFrame([("a", int(p), float(v)) for p, v in zip(at, x, strict=True)], "s string, i long, v double")
+    for size in (1 << 16, 50):
+        assert sorted(r.peak for r in S.peaks(df, ["s"], "i", "v", 0.3, size=size).collect()) == [at[p] for p in slow_peaks(x, 0.3)]
+    held = spark.createDataFrame([("a", i, v) for i, v in enumerate([0.0, 9.0, None, None, None, None, None, None, 9.0, 0.0, 0.0, 0.0])], "s string, i long, v double")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT * FROM (VALUES (0, 0.0), (1, 9.0), (2, NULL), (3, NULL), (4, NULL), (5, NULL), (6, NULL), (7, NULL), (8, 9.0), (9, 0.0), (10, 0.0), (11, 0.0)) AS t(event_id, value)")
+    got = [(r.peak, pytest.approx(r.height, abs=1e-6)) for r in S.peaks(held, ["s"], "i", "v", 0.3).collect()]
+    assert sorted(got) == sorted(con.execute(catalog.oracle_sql()["signal_peaks"]).fetchall())
