@@ -70,7 +70,7 @@ def triangles(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if 0 < top < n - 1:
                 left = int(foot_errors(y[: top + 1]).argmin())
                 right = top + 1 + int(foot_errors(y[: top - 1 if top else None : -1])[::-1].argmin())  # of equals the nearest to the top
-                base[r], index[r] = place[right] - place[left], n / y[top]
+                base[r], index[r] = (right - left) * (place[-1] - place[0]) / (n - 1), n / y[top]
     return base, index
 
 
@@ -82,6 +82,11 @@ def spectra(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return steps.mean() / (n * mean), steps.std() / (n * mean), amplitude.sum(axis=1)
 
 
+def means(x: np.ndarray) -> np.ndarray:
+    """Mean of each row, added up one after the other as SQL does: of values with few decimals it often lies between two roundings."""
+    return np.cumsum(x, axis=1)[:, -1] / x.shape[1]
+
+
 def pulse_arrays(intervals: list[np.ndarray]) -> tuple[np.ndarray, list[str | None]]:
     """PULSE features (rows, 12) of lists of intervals, NaN where there is a problem, and the problems."""
     out, problem = np.full((len(intervals), len(PULSE)), np.nan), ["TOO_FEW_INTERVALS"] * len(intervals)
@@ -93,7 +98,7 @@ def pulse_arrays(intervals: list[np.ndarray]) -> tuple[np.ndarray, list[str | No
         flat = np.sort(x, axis=1).ravel()
         near = np.maximum(pairs_apart(flat, np.repeat(np.arange(len(x)), n), n * np.arange(len(x))), 1)
         rate = 1 / x
-        out[rows] = np.stack([rate.mean(axis=1), rate.std(axis=1), *triangles(x), near, near / n**2, x.mean(axis=1), x.std(axis=1), np.sqrt((x * x).mean(axis=1)), *spectra(x)], axis=1)
+        out[rows] = np.stack([rate.mean(axis=1), rate.std(axis=1), *triangles(x), near, near / n**2, means(x), x.std(axis=1), np.sqrt((x * x).mean(axis=1)), *spectra(x)], axis=1)
     for i in good:
         problem[i] = None if np.isfinite(out[i]).all() else "TOO_LITTLE_VARIATION"
         if problem[i]:

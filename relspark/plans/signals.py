@@ -35,7 +35,7 @@ def pulse_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = F.floor(F.unix_micros("ts") / (86400 * DAYS * 1_000_000)).cast("long")
     beats = df.groupBy("user_id", span.alias("span")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", (0.4 + F.least("value", F.lit(160.0)) / 200).alias("x")))).alias("b"))  # a user's ten days
     out = signals.pulse_features(beats.select("user_id", "span", F.col("b.x").alias("beats")), "beats")
-    return out.select("user_id", "span", F.size("beats").cast("long").alias("beats"), "problem", F.col("nn50").cast("long").alias("nn50"), *[F.round(c, 6).alias(c) for c in signals.PULSE if c != "nn50"])
+    return out.select("user_id", "span", F.size("beats").cast("long").alias("beats"), "problem", F.col("nn50").cast("long").alias("nn50"), *[(F.round(F.col(c) * 1e6) / 1e6).alias(c) for c in signals.PULSE if c != "nn50"])  # DuckDB rounds the product
 
 
 @register("signal_peaks", """WITH z AS (SELECT event_id AS i, (value - avg(value) OVER ()) / stddev_pop(value) OVER () AS z FROM events),

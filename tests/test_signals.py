@@ -6,6 +6,7 @@ import pytest
 
 from relspark import catalog
 from relspark.operators import signals as S
+from relspark.plans import signals as plans
 
 
 def triangle(v):
@@ -106,3 +107,16 @@ def test_peaks_go_by_rows_not_by_gaps(spark):
     con.execute("CREATE TABLE events AS SELECT * FROM (VALUES (0, 0.0), (1, 9.0), (2, NULL), (3, NULL), (4, NULL), (5, NULL), (6, NULL), (7, NULL), (8, 9.0), (9, 0.0), (10, 0.0), (11, 0.0)) AS t(event_id, value)")
     got = [(r.peak, pytest.approx(r.height, abs=1e-6)) for r in S.peaks(held, ["s"], "i", "v", 0.3).collect()]
     assert sorted(got) == sorted(con.execute(catalog.oracle_sql()["signal_peaks"]).fetchall())
+
+
+def test_pulse_means_halfway_between_roundings_are_those_of_sql(spark, tmp_path):
+    """Means of values of few decimals lie halfway between two roundings, so that the order of the sum decides."""
+    rng = np.random.default_rng(9)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT range AS event_id, TIMESTAMP '2024-01-01' + to_minutes(range::INT % 20) AS ts, range // 20 AS user_id, 0.0::DOUBLE AS value FROM range(4000)")
+    con.executemany("UPDATE events SET value = ? WHERE event_id = ?", [(round(float(v), 2), i) for i, v in enumerate(rng.exponential(50, 4000))])
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    assert con.execute(f"SELECT count(*) FROM ({plans.PULSE_SQL})").fetchone()[0] == 200
+    want = con.execute(f"SELECT user_id, rr_mean, tinn FROM ({plans.PULSE_SQL}) ORDER BY 1").fetchall()
+    got = plans.pulse_features(spark, str(tmp_path)).select("user_id", "rr_mean", "tinn").orderBy("user_id").collect()
+    assert [tuple(r) for r in got] == [pytest.approx(w, abs=1e-9) for w in want]
