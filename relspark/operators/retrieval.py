@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,14 +58,41 @@ def only_new(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return df.join(known.select(key), key, "left_anti")
 
 
+def cosines(lists: pa.ListArray) -> np.ndarray:
+    """Cosine of smoothed tf-idf of two documents for each list of (side, hashes of terms), 0 where either has no terms."""
+    out, parts = np.zeros(len(lists)), lists.flatten()
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    terms = parts.field("h")
+    n = terms.value_lengths().to_numpy(zero_copy_only=False)
+    x, row, side = terms.flatten().to_numpy(zero_copy_only=False), np.repeat(row, n), np.repeat(parts.field("side").to_numpy(zero_copy_only=False), n)
+    if not len(x):
+        return out
+    order = np.lexsort((x, row))
+    x, row, side = x[order], row[order], side[order]
+    start = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (row[1:] != row[:-1])])
+    a, b, row = np.add.reduceat((side == 0).astype(float), start), np.add.reduceat((side == 1).astype(float), start), row[start]
+    idf = np.log(3.0 / (1 + (a > 0) + (b > 0))) + 1
+    a, b = a * idf, b * idf
+    ab, aa, bb = (np.bincount(row, v, len(lists)) for v in (a * b, a * a, b * b))
+    norm = np.sqrt(aa * bb)
+    return np.divide(ab, norm, out=out, where=norm > 0)
+
+
 def tfidf_cosine(df: DataFrame, pair: str, side: str, terms: str) -> DataFrame:
     """(pair, similarity): cosine of smoothed tf-idf of two term lists, each pair a corpus of its own; 0 without terms.
 
-    idf = ln((1 + 2) / (1 + documents with the term)) + 1, counts unscaled, vectors of length 1.
+    idf = ln((1 + 2) / (1 + documents with the term)) + 1, counts unscaled, vectors of length 1. Terms are equal by 64-bit hashes. A pair's
+    lists meet in one row; if df is partitioned by pair before terms are taken from texts, only texts are moved.
     """
-    tf = df.select(pair, side, F.explode(terms).alias("t")).groupBy(pair, "t").agg(F.sum((F.col(side) == 0).cast("double")).alias("a"), F.sum((F.col(side) == 1).cast("double")).alias("b"))
-    idf = F.log(F.lit(3.0) / (1 + (F.col("a") > 0).cast("int") + (F.col("b") > 0).cast("int"))) + 1
-    sums = tf.withColumns({"a": F.col("a") * idf, "b": F.col("b") * idf}).groupBy(pair).agg(F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
-    norm = F.sqrt(F.col("aa") * F.col("bb"))
-    out = df.select(pair).distinct().join(sums, pair, "left")
-    return out.select(pair, F.when(norm > 0, F.col("ab") / norm).otherwise(F.lit(0.0)).alias("similarity"))
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cosines(b.column(1)))], names=[pair, "similarity"])
+
+    sides = F.when(F.col(side) == 0, 0).when(F.col(side) == 1, 1).otherwise(2)
+    hashes = F.coalesce(F.transform(terms, lambda t: F.xxhash64(t)), F.array().cast("array<bigint>"))
+    rows = df.groupBy(pair).agg(F.collect_list(F.struct(sides.alias("side"), hashes.alias("h"))).alias("_l"))
+    return rows.mapInArrow(similar, f"`{pair}` {dict(df.dtypes)[pair]}, similarity double")
