@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from relspark.functions.numeric import CLIP, logit, rms_distance, sigmoid
 from relspark.operators import ranks
+from relspark.operators.storage import written
 
 
 def scale_of(mad: Column, std: Column) -> Column:
@@ -20,9 +21,9 @@ def scale_of(mad: Column, std: Column) -> Column:
 def robust_profile(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """n, median, scale by group, of a long table with a value in each row: medians first, then deviations from them."""
     spread = df.groupBy(*by).agg(F.stddev_samp(value).alias("_sd"))
-    medians = ranks.quantiles(df, value, by, {"median": 0.5})
-    off = df.join(medians.select(*by, "median"), by).withColumn("_off", F.abs(F.col(value) - F.col("median")))
-    mad = ranks.quantiles(off, "_off", by, {"_mad": 0.5}).select(*by, "_mad")
+    dealt = ranks.cells(df, value, by)
+    medians = written(ranks.cell_quantiles(dealt, by, {"median": 0.5}), "medians")
+    mad = ranks.cell_quantiles(ranks.distances(dealt, by, medians, "median"), by, {"_mad": 0.5}).select(*by, "_mad")
     return medians.join(mad, by).join(spread, by).select(*by, "n", "median", scale_of(F.col("_mad"), F.col("_sd")).alias("scale"))
 
 

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import few, written
 
 
 def same(by: list[str], other: dict[str, str]) -> Column:
@@ -45,13 +45,31 @@ def numbered(df: DataFrame, by: list[str], order: list[Column], name: str = "_i"
     return running(df, by, order, {name: F.lit(1).cast("long")}).withColumnRenamed(f"_all_{name}", size)
 
 
+def cells(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by..., _v, _c, _part) in ranges: each value of a group and how many rows have it."""
+    found = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    return in_ranges(found, [*map(F.col, by), F.col("_v")])
+
+
+def distances(dealt: DataFrame, by: list[str], centers: DataFrame, center: str) -> DataFrame:
+    """Cells of the distances from a group's center (by..., center), of cells. Rows aren't read again, nor brought together by group.
+
+    Few values have one distance, so that equal ones needn't be summed.
+    """
+    off = dealt.join(few(centers), by).select(*by, F.abs(F.col("_v") - F.col(center)).alias("_v"), "_c")
+    return in_ranges(off, [*map(F.col, by), F.col("_v")])
+
+
 def order_statistics(df: DataFrame, value: str, by: list[str], ranks: dict[str, Column]) -> DataFrame:
     """(by..., n, names...): for each name the value of a rank from 1, of a group's n rows that have a value. Ranks may use n.
 
     Equal values are summed first. Only ranges that hold a wanted rank are looked into.
     """
-    cells = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    dealt = in_ranges(cells, [*map(F.col, by), F.col("_v")])
+    return ranked(cells(df, value, by), by, ranks)
+
+
+def ranked(dealt: DataFrame, by: list[str], ranks: dict[str, Column]) -> DataFrame:
+    """order_statistics of cells."""
     other = {c: f"_by{i}" for i, c in enumerate(by)}
     parts = dealt.groupBy("_part", *by).agg(F.sum("_c").alias("_t"))
     group = Window.partitionBy(*by)
@@ -59,16 +77,22 @@ def order_statistics(df: DataFrame, value: str, by: list[str], ranks: dict[str,
     wanted = parts.select(F.col("_part").alias("_p"), *[F.col(c).alias(o) for c, o in other.items()], "n", "_before", "_t", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in ranks.items()])).alias("_w"))
     wanted = wanted.where((F.col("_w.rank") > F.col("_before")) & (F.col("_w.rank") <= F.col("_before") + F.col("_t")))
     rows = dealt.join(wanted, (F.col("_part") == F.col("_p")) & same(by, other))
-    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy("_part", *by, "_w.name").orderBy("_v"))
+    inside = Window.partitionBy("_part", *by, "_w.name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("_before") + F.sum("_c").over(inside)
     found = rows.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_w.rank")) & (F.col("_upto") - F.col("_c") < F.col("_w.rank")))
     return found.groupBy(*by).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("_w.name") == k, F.col("_v"))).alias(k) for k in ranks])
 
 
 def quantiles(df: DataFrame, value: str, by: list[str], shares: dict[str, float]) -> DataFrame:
     """(by..., n, names...): quantiles by linear interpolation between neighbouring ranks."""
+    return cell_quantiles(cells(df, value, by), by, shares)
+
+
+def cell_quantiles(dealt: DataFrame, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """quantiles of cells."""
     place = {k: (F.col("n") - 1) * F.lit(float(q)) for k, q in shares.items()}
     ranks = {f"_{side}_{k}": f(p) + 1 for k, p in place.items() for side, f in (("lo", F.floor), ("hi", F.ceil))}
-    found = order_statistics(df, value, by, ranks)
+    found = ranked(dealt, by, ranks)
     low, high = (lambda k: F.col(f"_lo_{k}")), (lambda k: F.col(f"_hi_{k}"))
     return found.select(*by, "n", *[(low(k) + (high(k) - low(k)) * (p - F.floor(p))).alias(k) for k, p in place.items()])
 

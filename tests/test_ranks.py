@@ -25,6 +25,25 @@ def test_quantiles_and_numbers_of_hot_groups(spark):
     assert ranks.order_statistics(df, "v", [], {"least": F.lit(1), "most": F.col("n")}).first()[:] == (751, float(min(groups["hot"])), 4.0)
 
 
+def test_profile_never_brings_a_groups_rows_together(spark, monkeypatch):
+    """Deviations come from counted values that stay in their ranges: before, a task took a whole group's rows."""
+    rng = np.random.default_rng(3)
+    groups = {"hot": np.round(rng.normal(size=900), 2), "one": np.array([4.0]), "even": np.array([1.0, 2.0, 4.0, 9.0]), "ties": np.array([0.0] * 9 + [3.0] * 20 + [6.0] * 9)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("hot", None), (None, 1.0)], "g string, v double")
+    plans, deal = [], ranks.in_ranges
+    monkeypatch.setattr(ranks, "in_ranges", lambda x, order: plans.append(x._jdf.queryExecution().executedPlan().toString()) or deal(x, order))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.g: (r.n, r.median, r.scale) for r in fit.robust_profile(df, "v", ["g"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(g" not in plans[1] and "SortMergeJoin" not in plans[1]
+    assert got.keys() == groups.keys()
+    for g, vs in groups.items():
+        mad = np.median(np.abs(vs - np.median(vs))) * 1.4826
+        assert got[g] == pytest.approx((len(vs), np.median(vs), mad if mad > 1e-8 else np.std(vs, ddof=1) if len(vs) > 1 and np.std(vs, ddof=1) > 1e-8 else 1.0))
+
+
 def poured(sizes, target):
     """One unit at a time to the bin that has the least, of equals the largest, then the first."""
     out = dict.fromkeys(sizes, 0)
