@@ -148,11 +148,17 @@ def peaks(df: DataFrame, by: list[str], position: str, value: str, threshold: fl
     falls below the mean, not where it only meets it; only heights above the threshold count. Runs are numbered by chunk and then
     by the chunks before (a row for each chunk), so that a series' rows never meet in one task. A constant series has no peaks. Rows
     without a position are left out.
+
+    Values are summed before they are standardised, and sums are rounded to about 11 digits of the series' scale (by a power of ten): equal sums
+    of decimals are equal heights, whatever the order of a sum and the mean's last bits.
     """
     df = df.where(F.col(position).isNotNull()).select(*by, F.col(position).alias("_at"), F.col(value).cast("double").alias("_x"))
     moments = df.groupBy(*by).agg(F.avg("_x").alias("_mean"), F.stddev_pop("_x").alias("_sd")).where("_sd > 0")
     places = ranks.numbered(df, by, [F.col("_at"), F.col("_x")]).withColumn("_i", F.col("_i") - 1)
-    smooth = smoothed(places.join(moments, by), by, "_i", (F.col("_x") - F.col("_mean")) / F.col("_sd"), size=size).where("near > 0").select(*by, "_i", "_at", "chunk", "smooth")
+    step = F.pow(F.lit(10.0), F.floor(F.log10(F.abs("_mean") + F.col("_sd"))) - 11)
+    places = smoothed(places, by, "_i", F.col("_x"), size=size).where("near > 0").join(moments, by)
+    total = F.rint(F.col("smooth") * 5 / step) * step
+    smooth = places.select(*by, "_i", "_at", "chunk", ((total - F.col("near") * F.col("_mean")) / F.col("_sd") / 5).alias("smooth"))
     base = smooth.groupBy(*by).agg(F.avg("smooth").alias("_base"))
     rows = smooth.join(base, by)
     below = (F.col("smooth") < F.col("_base")).cast("long")

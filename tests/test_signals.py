@@ -109,6 +109,18 @@ def test_peaks_go_by_rows_not_by_gaps(spark):
     assert sorted(got) == sorted(con.execute(catalog.oracle_sql()["signal_peaks"]).fetchall())
 
 
+def test_equal_heights_of_a_run_are_the_first_place(spark):
+    """Equal sums of decimals, which rounding would tell apart: as in whole numbers."""
+    c = np.random.default_rng(10).integers(0, 30, 3000)
+    s = np.convolve(c, np.full(5, 1), mode="same")
+    runs = np.cumsum(s * len(s) < s.sum())
+    top = {r: np.flatnonzero((runs == r) & (s * len(s) > s.sum())) for r in np.unique(runs)}
+    want = [int(i[np.argmax(s[i])]) for i in top.values() if len(i) and s[i].max() / 5 - c.mean() > 0.3 * c.std()]
+    for parts, by in ((1, 100), (7, 100), (3, 1e-6)):
+        df = spark.createDataFrame([("a", i, float(v / by)) for i, v in enumerate(c.tolist())], "s string, i long, v double").repartition(parts)
+        assert sorted(r.peak for r in S.peaks(df, ["s"], "i", "v", 0.3).collect()) == want
+
+
 def test_pulse_means_halfway_between_roundings_are_those_of_sql(spark, tmp_path):
     """Means of values of few decimals lie halfway between two roundings, so that the order of the sum decides."""
     rng = np.random.default_rng(9)
